@@ -37,8 +37,14 @@ def pick(df: DataFrame, *names: str, **casts: str) -> DataFrame:
     return plain.select(*out)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most about 4 MB, however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text of a table of documents, whatever else it holds."""
+    small_batches(df.sparkSession)
     return pick(df, "doc_id", "text", doc_id="long", text="string")
 
 
