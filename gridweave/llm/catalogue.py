@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .decontamination import contamination_report, decontaminate
 from .exact_dedup import exact_dedup
+from .language import fit_languages, predict_languages
 from .packing import pack
 from .simhash import simhash_dedup
 from .token_counts import line_token_counts
 from .token_files import read_token_files, write_token_files
+from .url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+#: Fixed rules of op2.
+ALLOW = ["example.com/en/7", "net/de/"]
+BLOCK = ["com/en/", "example.net/de/8", "org/es/"]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_urls(_table(spark, sf_dir, "pages"), ALLOW, BLOCK)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = predict_languages(docs, fit_languages(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), limit=1024)
 
@@ -86,10 +105,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_url_filter": op2_url_filter,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_language_id": op8_language_id,
         "op10_token_counts": op10_token_counts,
     }
 
