@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .decontamination import contamination_report, decontaminate
 from .exact_dedup import exact_dedup
 from .language import fit_languages, predict_languages
+from .line_dedup import line_report
 from .packing import pack
 from .simhash import simhash_dedup
+from .substring_dedup import substring_dedup
 from .token_counts import line_token_counts
 from .token_files import read_token_files, write_token_files
 from .url_filter import filter_urls
@@ -65,6 +67,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "doc0", "start0", "end0", F.round("similarity", 6).alias("similarity"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -110,7 +121,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_token_files": op5_token_files,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_language_id": op8_language_id,
+        "op9_line_dedup": op9_line_dedup,
         "op10_token_counts": op10_token_counts,
     }
 

@@ -100,6 +100,29 @@ def least_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with columns named by position, and those names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
+def column_at(df: DataFrame, name: str) -> str:
+    """The positional name (see plain_names) of a column."""
+    if name in df.columns:
+        return f"c{df.columns.index(name)}"
+    low = [c.lower() for c in df.columns]
+    if name.lower() in low:
+        return f"c{low.index(name.lower())}"
+    raise ValueError(f"no column {name!r} among {df.columns}")
+
+
+def keep_where(df: DataFrame, udf, *columns: str) -> DataFrame:
+    """The rows, with all columns, for which a boolean pandas UDF over some columns holds."""
+    small_batches(df.sparkSession)
+    plain, _ = plain_names(df)
+    return plain.where(udf(*(F.col(column_at(df, c)) for c in columns))).toDF(*df.columns)
+
+
 def group_bounds(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
     """Where groups of equal keys begin in a sorted table, and its end."""
     if not table.num_rows:

@@ -21,11 +21,12 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, pick, stash
+from .common import documents, keep_where, pick, stash
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of UTF-8: what is not part of a word becomes a space, A-Z become a-z.
@@ -160,3 +161,19 @@ def contamination_report(found: DataFrame) -> DataFrame:
     hit = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("spans") / 2, F.lit(1)).cast("int")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("spans", 2 * i) - F.try_element_at("spans", 2 * i - 1), F.lit(0)))
     rows = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _clean(block, window: int):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        own = _windows(block, window)
+        return pd.Series([not own.scan(normal_words(t.encode() if isinstance(t, str) else None))[0] for t in texts], index=texts.index, dtype=bool)
+
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, all columns kept, in which no window of any item occurs."""
+    for block in _blocks(benchmark, block_bytes):
+        docs = keep_where(docs, _clean(docs.sparkSession.sparkContext.broadcast(block), window), "text")
+    return docs

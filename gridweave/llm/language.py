@@ -27,11 +27,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, pick
+from .common import documents, keep_where, pick
 
 SAMPLE_ROWS = 1600
 LONGEST = 100_000
@@ -358,6 +359,20 @@ def predict_languages(docs: DataFrame, model: Model | None) -> DataFrame:
     return documents(docs).mapInArrow(_predict(held), "doc_id long, lang_pred string, score double")
 
 
+def keep_known_language(docs: DataFrame, model: Model | None, least_score: float) -> DataFrame:
+    """The rows, all columns kept, whose text has a known language with at least that score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        if held.value is None:
+            return pd.Series(False, index=texts.index)
+        got = [x for part in _parts([t if isinstance(t, str) else None for t in texts]) for x in zip(*text_scores(held.value, part))]
+        return pd.Series([label != UNKNOWN and score >= least_score for label, score in got], index=texts.index, dtype=bool)
+
+    return keep_where(docs, known, "text")
+
+
 def language_spans(model: Model, text: str | None) -> list[tuple[int, int, str, float]]:
     """Runs of words with one label: (start, end, label, mean marginal) by character offsets."""
     w = split_words([text or ""])

@@ -20,13 +20,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, group_bounds, least_partitions, stash, whole_groups
+from .common import column_at, documents, group_bounds, least_partitions, plain_names, stash, whole_groups
 from .components import connected_components
+from .members import member_filter, passes
+from .occurrences import doc_key
 
 GROUP_ROWS = 1500
 #: Node pairs (times rows) that one slab of groups may reach.
@@ -66,6 +69,15 @@ def _fingerprints(shingle: int, seed: int):
     return run
 
 
+def _keyed_fingerprints(shingle: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.array([fingerprint(t, shingle, seed) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), pa.array(got.view(np.int64))], names=["doc", "h", "fp"])
+
+    return run
+
+
 def simhash(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row per row."""
     return documents(docs).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
@@ -193,6 +205,15 @@ def near_links(fps: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS) ->
     return dealt.mapInArrow(_stars(min(w for _, w in blocks), budget), "u long, v long")
 
 
+def _classes(held: DataFrame, budget: int, group_rows: int, scope: str) -> DataFrame:
+    """held: doc_id, fp. Returns fp, component_id."""
+    least = stash(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", scope)
+    roots = connected_components(near_links(least.select("fp"), budget, group_rows), scope)
+    classes = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return classes.join(named, "root").select("fp", "component_id")
+
+
 def simhash_dedup(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42, group_rows: int = GROUP_ROWS, scope: str = "default") -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable by links, its own included.
 
@@ -200,11 +221,31 @@ def simhash_dedup(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int
     A null doc_id takes part but is never a component's id unless it is all the component has.
     """
     held = stash(simhash(docs, shingle, seed), "simhash", scope)
-    least = stash(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", scope)
-    roots = connected_components(near_links(least.select("fp"), budget, group_rows), scope)
-    classes = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Only fingerprints with links need a lookup of their class.
-    linked = classes.where("root <> fp").join(named, "root").select("fp", "component_id")
-    own = classes.where("root = fp").join(named, "root").select("fp", "component_id")
-    return held.join(linked.unionByName(own), "fp").select("doc_id", "fp", "component_id")
+    return held.join(_classes(held, budget, group_rows, scope), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_each(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42, group_rows: int = GROUP_ROWS, scope: str = "default") -> DataFrame:
+    """The table, all columns kept, with one document of each group of near-duplicates: the
+    smallest doc_id (null last); of rows that repeat it, the smallest hash of the text; of rows
+    that repeat both, any one. Only rows that may go are shuffled."""
+    spark = docs.sparkSession
+    source = documents(docs).withColumn("doc", doc_key(F.col("doc_id"))).withColumn("h", F.xxhash64("text")).select("doc", "h", "text")
+    held = stash(source.mapInArrow(_keyed_fingerprints(shingle, seed), "doc long, h long, fp long"), "simhash", scope)
+    classes = _classes(held.select(F.col("doc").alias("doc_id"), "fp"), budget, group_rows, scope)
+    keyed = held.groupBy("doc", "h", "fp").agg(F.count("*").alias("copies")).join(classes, "fp")
+    stays = keyed.where("doc = component_id").groupBy("component_id").agg(F.min("h").alias("h0"))
+    judged = keyed.join(stays, "component_id").withColumn("stays", (F.col("doc") == F.col("component_id")) & (F.col("h") == F.col("h0")))
+    gone = stash(judged.where("not stays or copies > 1").select("doc", "h", "stays"), "simhash-gone", scope)
+    bits = spark.sparkContext.broadcast(member_filter(gone.select(F.xxhash64("doc", "h"))))
+
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, keys.to_numpy(np.int64)), index=keys.index)
+
+    plain, names = plain_names(docs)
+    plain = plain.withColumn("__doc", doc_key(F.col(column_at(docs, "doc_id")).cast("long"))).withColumn("__h", F.xxhash64(F.col(column_at(docs, "text")).cast("string")))
+    plain = plain.withColumn("__may", may(F.xxhash64("__doc", "__h")))
+    candidates = plain.where("__may").join(gone, (F.col("__doc") == F.col("doc")) & (F.col("__h") == F.col("h")), "left").where("stays is null or stays")
+    once = candidates.where("stays").dropDuplicates(["__doc", "__h"])
+    kept = plain.where("not __may").select(*names).unionByName(candidates.where("stays is null").select(*names)).unionByName(once.select(*names))
+    return kept.toDF(*docs.columns)
