@@ -37,6 +37,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         pre = self.library.pre_tokenizer
         self.splits = "ByteLevel" in type(pre).__name__ and self.library.normalizer is None and self.library.post_processor is None and not pre.add_prefix_space
         self.token_bytes = token_bytes(path) if self.splits else None
@@ -45,14 +46,39 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes words, each after a space, by one call and finds each one's ids by their bytes."""
-        ids = np.array(self.library.encode(" " + " ".join(new), add_special_tokens=False).ids, "<u4")
-        ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in new])
-        at = (4 * np.searchsorted(np.cumsum(self.token_bytes[ids]), ends)).tolist()
-        flat, a = ids.tobytes(), 0
-        for w, b in zip(new, at):
-            self.words[w] = flat[a : b + 4]
-            a = b + 4
+        """Encodes words, each after a space, many to a call, and finds each one's ids by their bytes."""
+        lots = [new[i : i + 500] for i in range(0, len(new), 500)]
+        got = self.library.encode_batch_fast([" " + " ".join(lot) for lot in lots], add_special_tokens=False)
+        for lot, e in zip(lots, got):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in lot])
+            at = (4 * np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 4).tolist()
+            flat, a = ids.tobytes(), 0
+            for w, b in zip(lot, at):
+                self.words[w] = flat[a:b]
+                a = b
+
+    def _recall(self, seen: set[str]) -> list[str]:
+        """Makes ``words`` hold all of ``seen`` that can be cut off; returns the newly encoded.
+
+        Words are kept in two generations: those met again move to the young one, so that only
+        words not met for a while are forgotten.
+        """
+        if len(self.words) > REMEMBERED // 2:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        new = []
+        for w in seen:
+            if w not in words:
+                ids = older.get(w)
+                if ids is not None:
+                    words[w] = ids
+                # A piece that is empty or has white space at an end was not cut off at a boundary.
+                elif w and w.strip() == w:
+                    new.append(w)
+        if new:
+            self._learn(new)
+        return new
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """One entry per text; null counts as empty."""
@@ -63,14 +89,8 @@ class Encoder:
         seen: set[str] = set()
         for p in cut:
             seen.update(p[1:])
+        new = self._recall(seen)
         words = self.words
-        # A piece that is empty or has white space at an end was not cut off at a boundary.
-        new = [w for w in seen if w not in words and w and w.strip() == w]
-        if len(words) + len(new) > REMEMBERED:
-            words.clear()
-            new = [w for w in seen if w and w.strip() == w]
-        if new:
-            self._learn(new)
         out: list[bytes] = []
         whole = []
         for i, (p, first) in enumerate(zip(cut, self._ids([p[0] for p in cut]))):
