@@ -8,9 +8,17 @@ its text): rows that repeat both are one document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches, stash
+from .members import member_filter, passes
+
 NO_ID = (1 << 63) - 1
 
 
@@ -18,15 +26,38 @@ def doc_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id, F.lit(NO_ID))
 
 
-def first_links(rows: DataFrame) -> DataFrame:
+def _may_repeat(bits):
+    """Leaves the marks out that pass no filter, and rows without any."""
+
+    def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = b.column("marks")
+            g, pos = marks.flatten().field("g"), marks.flatten().field("pos")
+            sizes = pc.list_value_length(marks).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(passes(bits.value, g.to_numpy())) if len(g) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(b.num_rows), sizes)[some]
+            at = pa.array(some)
+            yield pa.RecordBatch.from_arrays([g.take(at), b.column("doc").take(pa.array(row)), b.column("h").take(pa.array(row)), pos.take(at)], names=["g", "doc", "h", "pos"])
+
+    return do
+
+
+def first_links(rows: DataFrame, scope: str = "default") -> DataFrame:
     """rows: doc, h, marks (array of struct g long, pos int). Returns doc, h, pos and of the
-    first occurrence doc0, h0, pos0, for every occurrence but the first."""
-    marks = rows.select("doc", "h", F.explode("marks").alias("m")).select("m.g", "doc", "h", "m.pos")
-    repeated = marks.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    found = marks.join(repeated, "g")
-    first = found.groupBy("g").agg(F.min(F.struct("doc", "h", "pos")).alias("f"))
-    other = (F.col("doc") != F.col("f.doc")) | (F.col("h") != F.col("f.h")) | (F.col("pos") != F.col("f.pos"))
-    return found.join(first, "g").where(other).select("doc", "h", "pos", F.col("f.doc").alias("doc0"), F.col("f.h").alias("h0"), F.col("f.pos").alias("pos0"))
+    first occurrence doc0, h0, pos0, for every occurrence but the first.
+
+    Fingerprints are counted first; a filter of fixed size then keeps nearly all others out of
+    the shuffle that brings the occurrences of one fingerprint together.
+    """
+    spark = rows.sparkSession
+    repeated = stash(rows.select(F.explode("marks.g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeated-marks", scope)
+    bits = spark.sparkContext.broadcast(member_filter(repeated))
+    found = rows.select("doc", "h", "marks").transform(in_batches, _may_repeat(bits), "g long, doc long, h long, pos int")
+    # Aggregated within tasks first; written, so that the join below can be split where a fingerprint is frequent.
+    first = found.groupBy("g").agg(F.min(F.struct("doc", "h", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = stash(first.select("g", F.col("f.doc").alias("doc0"), F.col("f.h").alias("h0"), F.col("f.pos").alias("pos0")), "first-marks", scope)
+    other = (F.col("doc") != F.col("doc0")) | (F.col("h") != F.col("h0")) | (F.col("pos") != F.col("pos0"))
+    return found.join(first, "g").where(other).select("doc", "h", "pos", "doc0", "h0", "pos0")
 
 
 def pairs(links: DataFrame) -> DataFrame:
