@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, keep_where, pick, stash
+from .common import documents, give_back, in_batches, keep_where, pick, stash
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of UTF-8: what is not part of a word becomes a space, A-Z become a-z.
@@ -149,7 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     block = next(blocks)
     while block is not None:
         after = next(blocks, None)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), window, after is not None), "doc_id long, n_words long, spans array<long>, items array<string>, " + ("offsets array<long>" if after is None else "text string"))
+        out = out.transform(in_batches, _scan(spark.sparkContext.broadcast(block), window, after is not None), "doc_id long, n_words long, spans array<long>, items array<string>, " + ("offsets array<long>" if after is None else "text string"))
         if after is not None:
             out = stash(out, "decontamination", scope)
         block = after
@@ -167,7 +167,9 @@ def _clean(block, window: int):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         own = _windows(block, window)
-        return pd.Series([not own.scan(normal_words(t.encode() if isinstance(t, str) else None))[0] for t in texts], index=texts.index, dtype=bool)
+        out = [not own.scan(normal_words(t.encode() if isinstance(t, str) else None))[0] for t in texts]
+        give_back()
+        return pd.Series(out, index=texts.index, dtype=bool)
 
     return clean
 

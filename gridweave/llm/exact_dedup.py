@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, documents, stash
+from .common import ASCII_SPACE, documents, in_batches, stash
 
 #: Entries that a memtable holds before it is flushed.
 MEMTABLE_ROWS = 200_000
@@ -90,7 +90,7 @@ def _memtables(limit: int):
 
 def flush_runs(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS, scope: str = "default") -> DataFrame:
     """Level 0: sorted runs of (digest, points, keep_id, keep_row, n) with Bloom filters."""
-    runs = rows.mapInArrow(_memtables(memtable_rows), "digest binary, points long, keep_id long, keep_row long, n long")
+    runs = rows.transform(in_batches, _memtables(memtable_rows), "digest binary, points long, keep_id long, keep_row long, n long")
     return stash(runs, "lsm-level0", scope, **{"parquet.bloom.filter.enabled#digest": "true"})
 
 
@@ -122,7 +122,7 @@ def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _hit_filter(hits: DataFrame) -> np.ndarray:
     """The Bloom filter over hit digests: at most 2**(FILTER_BITS-5) words reach the driver."""
-    words = hits.select("digest").mapInArrow(_filter_words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = hits.select("digest").transform(in_batches, _filter_words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     bits[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
     return bits
@@ -151,11 +151,11 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, digest_byte
     """
     spark = docs.sparkSession
     source = documents(docs).withColumn("row", F.monotonically_increasing_id())
-    rows = stash(source.mapInArrow(_digests(digest_bytes), "row long, doc_id long, digest binary, points long"), "lsm-rows", scope)
+    rows = stash(source.transform(in_batches, _digests(digest_bytes), "row long, doc_id long, digest binary, points long"), "lsm-rows", scope)
     index = stash(compact(flush_runs(rows, memtable_rows, scope)), "lsm-level1", scope)
     hits = index.where("n > 1")
     bits = spark.sparkContext.broadcast(_hit_filter(hits))
-    texts = source.mapInArrow(_hit_rows(bits, digest_bytes), "row long, digest binary, norm binary")
+    texts = source.transform(in_batches, _hit_rows(bits, digest_bytes), "row long, digest binary, norm binary")
     # Grouping by the bytes is the verification; copies collapse before the shuffle.
     verified = texts.groupBy("digest", "norm").agg(F.count("*").alias("copies"))
     collisions = stash(verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "lsm-collisions", scope)

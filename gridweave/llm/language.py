@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, keep_where, pick
+from .common import documents, give_back, in_batches, keep_where, pick
 
 SAMPLE_ROWS = 1600
 LONGEST = 100_000
@@ -47,11 +47,10 @@ _EDGE = np.uint32(7)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point, whether it is a letter and its lower case if that is one character."""
     n = sys.maxunicode + 1
-    chars = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(n)]
-    alpha = np.fromiter((c.isalpha() for c in chars), bool, n)
+    alpha = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
     lower = np.arange(n, dtype=np.uint32)
     for i in np.flatnonzero(alpha).tolist():
-        low = chars[i].lower()
+        low = chr(i).lower()
         if len(low) == 1:
             lower[i] = ord(low)
     return alpha, lower
@@ -336,7 +335,7 @@ def _predict(held):
     return run
 
 
-def _parts(texts: list[str | None], limit: int = 1_000_000) -> Iterator[list[str | None]]:
+def _parts(texts: list[str | None], limit: int = 400_000) -> Iterator[list[str | None]]:
     """Runs of texts of about limit characters together."""
     part, size = [], 0
     for t in texts:
@@ -356,7 +355,7 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | No
 def predict_languages(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score: one row per row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return documents(docs).mapInArrow(_predict(held), "doc_id long, lang_pred string, score double")
+    return documents(docs).transform(in_batches, _predict(held), "doc_id long, lang_pred string, score double")
 
 
 def keep_known_language(docs: DataFrame, model: Model | None, least_score: float) -> DataFrame:
@@ -368,6 +367,7 @@ def keep_known_language(docs: DataFrame, model: Model | None, least_score: float
         if held.value is None:
             return pd.Series(False, index=texts.index)
         got = [x for part in _parts([t if isinstance(t, str) else None for t in texts]) for x in zip(*text_scores(held.value, part))]
+        give_back()
         return pd.Series([label != UNKNOWN and score >= least_score for label, score in got], index=texts.index, dtype=bool)
 
     return keep_where(docs, known, "text")

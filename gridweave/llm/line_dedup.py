@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stash
+from .common import documents, in_batches, small_batches, stash
 from .members import member_filter, passes
 from .occurrences import NO_ID, doc_key, first_links, pairs
 
@@ -137,14 +137,14 @@ def repeated_lines(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope:
     numbers of deleted lines (from 0) of documents that lose any."""
     source = documents(docs).select(doc_key(F.col("doc_id")).alias("doc"), "text")
     columns = "doc long, h long, lines array<long>, numbers array<int>, marks array<struct<g:long,pos:int>>"
-    rows = stash(source.mapInArrow(_prints(run, window), columns), "lines", scope)
+    rows = stash(source.transform(in_batches, _prints(run, window), columns), "lines", scope)
     one = rows.select("doc", "h", "marks").dropDuplicates(["doc", "h"]) if _repeats(rows) else rows
-    linked = pairs(first_links(one))
+    linked = pairs(first_links(one, scope))
     arrays = rows.select("doc", "h", "lines", "numbers")
     if one is not rows:
         arrays = arrays.dropDuplicates(["doc", "h"])
     both = linked.join(arrays, ["doc", "h"]).join(arrays.select(F.col("doc").alias("doc0"), F.col("h").alias("h0"), F.col("lines").alias("lines0")), ["doc0", "h0"])
-    runs = both.select("doc", "h", "doc0", "h0", "at", "lines", "numbers", "lines0").mapInArrow(_runs(run), "doc long, h long, gone array<int>")
+    runs = both.select("doc", "h", "doc0", "h0", "at", "lines", "numbers", "lines0").transform(in_batches, _runs(run), "doc long, h long, gone array<int>")
     gone = runs.groupBy("doc", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return rows, stash(gone, "gone-lines", scope)
 
@@ -194,7 +194,7 @@ def line_dedup(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str
     doc_id = names[docs.columns.index("doc_id")]
     plain = docs.toDF(*names)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    keyed = plain.withColumn("__text", F.col(text)).mapInArrow(_marked(bits), f"{kinds}, __h long, __may boolean")
+    keyed = plain.withColumn("__text", F.col(text)).transform(in_batches, _marked(bits), f"{kinds}, __h long, __may boolean")
 
     @F.pandas_udf("string")
     def cut(texts, lines):

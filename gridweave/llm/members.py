@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 BITS = 26
 
 
@@ -37,7 +39,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def member_filter(keys: DataFrame) -> np.ndarray:
     """keys: one column of longs without nulls. At most 2**21 small rows reach the driver."""
-    words = keys.mapInArrow(_words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = keys.transform(in_batches, _words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     bits = np.zeros(1 << (BITS - 5), np.uint32)
     bits[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
     return bits

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_at, documents, group_bounds, least_partitions, plain_names, stash, whole_groups
+from .common import column_at, documents, group_bounds, in_batches, least_partitions, plain_names, stash, whole_groups
 from .components import connected_components
 from .members import member_filter, passes
 from .occurrences import doc_key
@@ -80,7 +80,7 @@ def _keyed_fingerprints(shingle: int, seed: int):
 
 def simhash(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row per row."""
-    return documents(docs).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
+    return documents(docs).transform(in_batches, _fingerprints(shingle, seed), "doc_id long, fp long")
 
 
 def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]], start: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,7 @@ def near_links(fps: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS) ->
     tasks = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "lead", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "fp")
     n = least_partitions(fps.sparkSession)
     dealt = tasks.repartition(n, "block", "lead", "left", "right").sortWithinPartitions("block", "lead", "left", "right", "side", "key")
-    return dealt.mapInArrow(_stars(min(w for _, w in blocks), budget), "u long, v long")
+    return dealt.transform(in_batches, _stars(min(w for _, w in blocks), budget), "u long, v long")
 
 
 def _classes(held: DataFrame, budget: int, group_rows: int, scope: str) -> DataFrame:
@@ -230,7 +230,7 @@ def keep_one_each(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int
     that repeat both, any one. Only rows that may go are shuffled."""
     spark = docs.sparkSession
     source = documents(docs).withColumn("doc", doc_key(F.col("doc_id"))).withColumn("h", F.xxhash64("text")).select("doc", "h", "text")
-    held = stash(source.mapInArrow(_keyed_fingerprints(shingle, seed), "doc long, h long, fp long"), "simhash", scope)
+    held = stash(source.transform(in_batches, _keyed_fingerprints(shingle, seed), "doc long, h long, fp long"), "simhash", scope)
     classes = _classes(held.select(F.col("doc").alias("doc_id"), "fp"), budget, group_rows, scope)
     keyed = held.groupBy("doc", "h", "fp").agg(F.count("*").alias("copies")).join(classes, "fp")
     stays = keyed.where("doc = component_id").groupBy("component_id").agg(F.min("h").alias("h0"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, pick
+from .common import in_batches, lower_az, pick
 
 ORDER = 5
 LEAST_SHARE = 2e-5
@@ -150,7 +150,7 @@ class Ratio:
 
 def _counted(labelled: DataFrame, order: int, least_share: float) -> dict[bool, list[tuple[str, int]]]:
     """The kept grams of both classes. A context's counts are kept whole or not at all."""
-    grams = labelled.mapInArrow(_grams(order), "accepted boolean, gram string, n long").groupBy("accepted", "gram").agg(F.sum("n").alias("n"))
+    grams = labelled.transform(in_batches, _grams(order), "accepted boolean, gram string, n long").groupBy("accepted", "gram").agg(F.sum("n").alias("n"))
     held = grams.select("accepted", "n", F.substring("gram", -1, 1).alias("next"), F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).cache()
     try:
         totals = held.where("context = ''").groupBy("accepted").agg(F.sum("n").alias("all"))
@@ -183,7 +183,7 @@ def fit_ratio(labelled: DataFrame, order: int = ORDER, least_share: float = LEAS
     ratio = Ratio(Markov(grams[True], order), Markov(grams[False], order))
     held = rows.sparkSession.sparkContext.broadcast(ratio)
     bins = F.least(F.greatest(F.floor((F.col("score") + _RANGE / 2) * (_BINS / _RANGE)), F.lit(0)), F.lit(_BINS - 1))
-    scored = rows.where(aside).mapInArrow(_score(held, True), "score double, accepted boolean")
+    scored = rows.where(aside).transform(in_batches, _score(held, True), "score double, accepted boolean")
     histogram = scored.groupBy("accepted", bins.alias("bin")).agg(F.count("*").alias("n")).collect()  # at most 2 * _BINS rows
     counts = np.zeros((2, _BINS + 1))
     for r in histogram:
@@ -211,6 +211,6 @@ def filter_urls(pages: DataFrame, allow: list[str], block: list[str], labelled:
     ratio = fit_ratio(labelled, order, least_share)
     held = pages.sparkSession.sparkContext.broadcast(ratio)
     threshold = ratio.threshold if ratio else 0.0
-    scored = rows.mapInArrow(_score(held, False), "score double, page_id long, url string, host string, path string, rule string, decided string")
+    scored = rows.transform(in_batches, _score(held, False), "score double, page_id long, url string, host string, path string, rule string, decided string")
     by_model = F.when(F.col("score").isNotNull() & (F.col("score") < threshold), "block").otherwise("allow")
     return scored.select("page_id", "url", "host", "path", "rule", "score", F.coalesce("decided", by_model).alias("verdict"))
