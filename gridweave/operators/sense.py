@@ -100,7 +100,7 @@ class SenseOp:
         return coils, np.stack([_volume(pdf[pdf["coil"] == c], self.grid) for c in coils])
 
     def gradient(self, image: DataFrame, samples: DataFrame) -> DataFrame:
-        """A^H (A x - y). With small maps all of it happens frame by frame in one task each (one
+        """A^H (A x - y); samples hold the mask's cells. With small maps all of it happens frame by frame in one task each (one
         shuffle of either side by t); else as forward, residual and adjoint."""
         if not self.small_maps():
             return self.adjoint(self.residual(image, samples))

@@ -17,8 +17,7 @@ def voxel_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _place() -> list:
-    v = F.col("vec_id")
-    return [(v % NX).cast("int").alias("x"), (F.floor(v / NX) % NY).cast("int").alias("y"), F.floor(v / (NX * NY)).cast("int").alias("z")]
+    return [F.expr(f"CAST(vec_id % {NX} AS INT)").alias("x"), F.expr(f"CAST(vec_id div {NX} % {NY} AS INT)").alias("y"), F.expr(f"CAST(vec_id div {NX * NY} AS INT)").alias("z")]
 
 
 def packed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
