@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stash
+from .common import documents, give_back, in_batches, stash
 from .tokens import default_tokenizer, encoder
 
 END = b"\0\0\0\0"
@@ -40,7 +40,7 @@ def _pieces(path: str, limit: int):
         tok = encoder(path)
         for b in batches:
             out = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tok.encode_batch(b.column("text").to_pylist())):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tok.encode_batch(b.column("text"))):
                 ids += END
                 total = len(ids) // 4
                 for start in range(0, total, limit):
@@ -49,6 +49,7 @@ def _pieces(path: str, limit: int):
                     out.append((task, seen[n], doc_id, start, n, zlib.crc32(part), total))
                     seen[n] += 1
             columns = list(zip(*out)) or [[]] * 7
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["task", "turn", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
@@ -128,11 +129,11 @@ def pack(docs: DataFrame, limit: int = 1024, tokenizer: str | None = None, scope
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     columns = "task long, turn long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stash(documents(docs).mapInArrow(_pieces(tokenizer or default_tokenizer(), limit), columns), "pieces", scope)
+    pieces = stash(documents(docs).transform(in_batches, _pieces(tokenizer or default_tokenizer(), limit), columns), "pieces", scope)
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limit rows
     table = spark.sparkContext.broadcast(slots(pack_histogram(histogram, limit)))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["task", "length"])
-    return ranked.mapInArrow(_place(table), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.transform(in_batches, _place(table), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, pick, small_batches
+from .common import documents, in_batches, pick, small_batches
 from .tokens import default_tokenizer, encoder, token_bytes
 
 
@@ -72,7 +72,7 @@ def _lines(path: str, rule: str):
         for b in batches:
             texts = b.column("text").to_pylist()
             total, split = [], []
-            for t, ids in zip(texts, tok.encode_batch(texts)):
+            for t, ids in zip(texts, tok.encode_batch(b.column("text"))):
                 own = np.frombuffer(ids, "<u4")
                 total.append(len(own))
                 split.append(attribute(own, sizes, *line_spans((t or "").encode()), rule))
@@ -86,7 +86,7 @@ def _lines(path: str, rule: str):
 
 def line_token_counts(docs: DataFrame, rule: str = "start", tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens and section_tokens, the tokens of each line in order. One row per row."""
-    return documents(docs).mapInArrow(_lines(tokenizer or default_tokenizer(), rule), "doc_id long, n_tokens long, section_tokens array<long>")
+    return documents(docs).transform(in_batches, _lines(tokenizer or default_tokenizer(), rule), "doc_id long, n_tokens long, section_tokens array<long>")
 
 
 def _fields(path: str, rule: str):
@@ -114,4 +114,4 @@ def field_token_counts(docs: DataFrame, rule: str = "start", tokenizer: str | No
     overlap. Returns doc_id, name, n_tokens for each field; spans with a null are left out."""
     small_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "fields", doc_id="long", text="string", fields="array<struct<name:string,start:long,end:long>>")
-    return rows.mapInArrow(_fields(tokenizer or default_tokenizer(), rule), "doc_id long, name string, n_tokens long")
+    return rows.transform(in_batches, _fields(tokenizer or default_tokenizer(), rule), "doc_id long, name string, n_tokens long")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, least_partitions, scratch_path, stash
+from .common import documents, in_batches, least_partitions, scratch_path, stash
 from .packing import END
 from .tokens import default_tokenizer, encoder
 
@@ -45,12 +45,23 @@ _LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1).astype(np
 def encode_block(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of an array of ranks."""
     ranks = ranks.astype(np.uint32)
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    size = 1 + (ranks > 0xFF).astype(np.uint8)
+    if len(ranks) and ranks.max() > 0xFFFF:
+        size += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    wide = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), wide[np.arange(4) < size[:, None]].tobytes()
+    codes = codes.reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    end = np.cumsum(size, dtype=np.int64)
+    data = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    start = end - size
+    data[start] = ranks & 0xFF
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        data[start[more] + k] = ranks[more] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_block(n: int, control: bytes, data: bytes) -> np.ndarray:
@@ -145,7 +156,7 @@ def _encode(path: str):
 
         for b in batches:
             packed, n, crc = [], [], []
-            got = [x + END for x in tok.encode_batch(b.column("text").to_pylist())]
+            got = [x + END for x in tok.encode_batch(b.column("text"))]
             if got:
                 more = np.bincount(np.frombuffer(b"".join(got), "<u4"))
                 if len(more) > len(seen):
@@ -199,14 +210,14 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     first, the number of ids in all files before. An empty table has an empty manifest."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files", scope)
-    rows = stash(documents(docs).mapInArrow(_encode(tokenizer or default_tokenizer()), "doc_id long, counts boolean, ids binary, n long, crc long"), "token-rows", scope)
-    counts = rows.where("counts").select("ids").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # one row per id of the vocabulary
+    rows = stash(documents(docs).transform(in_batches, _encode(tokenizer or default_tokenizer()), "doc_id long, counts boolean, ids binary, n long, crc long"), "token-rows", scope)
+    counts = rows.where("counts").select("ids").transform(in_batches, _id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # one row per id of the vocabulary
     ranks = spark.sparkContext.broadcast(np.array([r.id for r in counts], np.uint32))
     files = max(least_partitions(spark), -(-sum(r.n for r in counts) // file_ids))
     fs, place = _open(folder)
     fs.create_dir(place, recursive=True)
     ordered = rows.where("not counts").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "crc").select("doc_id", "ids")
-    manifest = stash(ordered.mapInArrow(_write(folder, ranks), "shard long, path string, docs long, ids long"), "token-manifest", scope)
+    manifest = stash(ordered.transform(in_batches, _write(folder, ranks), "shard long, path string, docs long, ids long"), "token-manifest", scope)
     # One small row per file, as in a listing of the folder.
     return manifest.withColumn("first", F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
@@ -232,4 +243,4 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Reads the files back: doc_id, start, n_tokens, ids_crc32 of each document."""
     n = least_partitions(manifest.sparkSession)
-    return manifest.select("path", "first").repartition(n).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "first").repartition(n).transform(in_batches, _read, "doc_id long, start long, n_tokens long, ids_crc32 long")

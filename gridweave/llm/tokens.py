@@ -1,11 +1,10 @@
 """Exact, fast encoding of whole texts with a byte-level BPE of the tokenizers library.
 
-A byte-level pre-tokenizer always starts a new piece at a single space between two characters
-that are not white space. So a text is cut there, each distinct word is encoded by the library
+A byte-level pre-tokenizer always starts a new piece at a single space, or a single line end,
+between two characters that are not white space. So a text is cut there, each distinct word is encoded by the library
 once and remembered, and the whole is put together from the words' ids. A text in which a
 space touches other white space, or begins or ends the text, is cut at other places by the
-pre-tokenizer; such texts are encoded by the library as a whole, unless only words are concerned
-that can be encoded apart. The result is always equal to ``Tokenizer.encode`` of the whole text.
+pre-tokenizer; such texts are encoded by the library as a whole. The result is always equal to ``Tokenizer.encode`` of the whole text.
 
 The memory is bounded by ``REMEMBERED`` words of at most ``LONGEST`` characters; the vocabulary
 file's path is a parameter.
@@ -16,9 +15,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 LONGEST = 48
+_MARKS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -36,77 +38,88 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         pre = self.library.pre_tokenizer
         self.splits = "ByteLevel" in type(pre).__name__ and self.library.normalizer is None and self.library.post_processor is None and not pre.add_prefix_space
         self.token_bytes = token_bytes(path) if self.splits else None
+        self.words, self.word_ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.marks: pa.Array | None = None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes words, each after a space, many to a call, and finds each one's ids by their bytes."""
-        lots = [new[i : i + 500] for i in range(0, len(new), 500)]
-        got = self.library.encode_batch_fast([" " + " ".join(lot) for lot in lots], add_special_tokens=False)
-        for lot, e in zip(lots, got):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in lot])
-            at = (4 * np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 4).tolist()
-            flat, a = ids.tobytes(), 0
-            for w, b in zip(lot, at):
-                self.words[w] = flat[a:b]
-                a = b
-
-    def _recall(self, seen: set[str]) -> list[str]:
-        """Makes ``words`` hold all of ``seen`` that can be cut off; returns the newly encoded.
-
-        Words are kept in two generations: those met again move to the young one, so that only
-        words not met for a while are forgotten.
-        """
-        if len(self.words) > REMEMBERED // 2:
-            self.older, self.words = self.words, {}
-        words, older = self.words, self.older
-        new = []
-        for w in seen:
-            if w not in words:
-                ids = older.get(w)
-                if ids is not None:
-                    words[w] = ids
-                # A piece that is empty or has white space at an end was not cut off at a boundary.
-                elif w and w.strip() == w:
-                    new.append(w)
-        if new:
-            self._learn(new)
-        return new
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 64) for e in self.library.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
+
+    def _encode_words(self, words: pa.Array) -> pa.Array:
+        """The ids of words, each with what stands before it: many to a call, told apart by their bytes."""
+        if not len(words):
+            return pa.array([], pa.binary())
+        # A few at a time: the library's results take many times the space of the ids.
+        lots = [["".join(words[i : i + 1000].to_pylist()) for i in range(at, min(at + 8000, len(words)), 1000)] for at in range(0, len(words), 8000)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for lot in lots for e in self.library.encode_batch_fast(lot, add_special_tokens=False)])
+        at = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(pc.binary_length(words).to_numpy())) + 1
+        offsets = np.concatenate([[0], 4 * at]).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
+
+    def _known(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words. Words not known are encoded and remembered; when too many are,
+        the older half is forgotten."""
+        at = pc.index_in(words, value_set=self.words)
+        unknown = at.is_null()
+        index = at.fill_null(0).to_numpy().astype(np.int64)
+        new = words.filter(unknown)
+        before = self.word_ids
+        got = self._encode_words(new)
+        index[unknown.to_numpy(zero_copy_only=False)] = len(before) + np.arange(len(new))
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        self.words, self.word_ids = pa.concat_arrays([self.words, new.filter(short)]), pa.concat_arrays([self.word_ids, got.filter(short)])
+        if len(self.words) > REMEMBERED:
+            self.words, self.word_ids = (pa.concat_arrays([x[len(x) // 2 :]]) for x in (self.words, self.word_ids))
+        return pa.concat_arrays([before, got]).take(pa.array(index))
+
+    def _by_stem(self, words: pa.Array) -> pa.Array:
+        """The ids of words by those of their stems: a mark after an ASCII letter, at the end, is a
+        piece of its own."""
+        marked = pc.match_substring_regex(words, "[A-Za-z][.,;:!?]$")
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        own = self._known(stems.dictionary).take(stems.indices)
+        if self.marks is None:
+            self.marks = pa.array([*self._ids(list(_MARKS)), b""], pa.binary())
+        place = pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(list(_MARKS)))
+        tail = self.marks.take(pc.if_else(marked, place, len(_MARKS)))
+        return pc.binary_join_element_wise(own, tail, pa.scalar(b"", pa.binary()))
+
+    def encode_batch(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """One entry per text; null counts as empty."""
-        texts = [t or "" for t in texts]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column, "")
+        if not len(column):
+            return []
         if not self.splits:
-            return self._ids(texts)
-        cut = [t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for p in cut:
-            seen.update(p[1:])
-        new = self._recall(seen)
-        words = self.words
-        out: list[bytes] = []
-        whole = []
-        for i, (p, first) in enumerate(zip(cut, self._ids([p[0] for p in cut]))):
-            rest = p[1:]
-            try:
-                if rest and (not p[0] or p[0][-1].isspace()):
-                    raise KeyError
-                out.append(first + b"".join(map(words.__getitem__, rest)))
-            except KeyError:
-                whole.append(i)
-                out.append(b"")
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            return self._ids(column.to_pylist())
+        # Lines are cut off like words, but have no space before them.
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
+        first = at[:-1]
+        words = coded.dictionary
+        line = pc.starts_with(words, "\n")
+        body = pc.if_else(line, pc.utf8_slice_codeunits(words, 1), words)
+        # A piece that is empty or has white space at an end was not cut off at a boundary.
+        bad = pc.or_(pc.equal(pc.binary_length(body), 0), pc.not_equal(pc.utf8_trim_whitespace(body), body))
+        whole_words = pc.if_else(bad, " x", pc.if_else(line, words, pc.binary_join_element_wise("", words, " "))).dictionary_encode()
+        table = self._by_stem(whole_words.dictionary)
+        codes = coded.indices.to_numpy()
+        heads = words.take(pa.array(codes[first])).to_pylist()
+        index = whole_words.indices.to_numpy()[codes].astype(np.int64)
+        # Beginnings of texts have no space before them.
+        index[first] = len(table) + np.arange(len(column))
+        flags = bad.to_numpy(zero_copy_only=False)[codes]
+        flags[first] = [not h or h[-1].isspace() for h in heads]
+        flat = pa.concat_arrays([table, pa.array(self._ids(heads), pa.binary())]).take(pa.array(index))
+        offsets, data = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1), flat.buffers()[2].to_pybytes() if len(flat) and flat.buffers()[2] else b""
+        bounds = offsets[at].tolist()
+        out = [data[a:b] for a, b in zip(bounds, bounds[1:])]
+        whole = np.flatnonzero(np.logical_or.reduceat(flags, first) & (at[1:] - first > 1)).tolist()
+        for i, ids in zip(whole, self._ids([column[i].as_py() for i in whole])):
             out[i] = ids
-        for w in new:
-            if len(w) > LONGEST:
-                del words[w]
         return out
 
 
