@@ -138,7 +138,9 @@ def _hit_rows(bits, size: int):
             digests, norms = zip(*(_digest(t, size) for t in texts))
             at = _places(list(digests))
             found = np.flatnonzero(((held[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(found)), pa.array([digests[i] for i in found], pa.binary()), pa.array([norms[i] for i in found], pa.binary())], names=["row", "digest", "norm"])
+            points = pa.array([_code_points(texts[i] or b"") for i in found], pa.int64())
+            some = pa.array(found)
+            yield pa.RecordBatch.from_arrays([b.column("row").take(some), b.column("doc_id").take(some), pa.array([digests[i] for i in found], pa.binary()), points, pa.array([norms[i] for i in found], pa.binary())], names=["row", "doc_id", "digest", "points", "norm"])
 
     return run
 
@@ -155,7 +157,7 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, digest_byte
     index = stash(compact(flush_runs(rows, memtable_rows, scope)), "lsm-level1", scope)
     hits = index.where("n > 1")
     bits = spark.sparkContext.broadcast(_hit_filter(hits))
-    texts = source.transform(in_batches, _hit_rows(bits, digest_bytes), "row long, digest binary, norm binary")
+    texts = source.transform(in_batches, _hit_rows(bits, digest_bytes), "row long, doc_id long, digest binary, points long, norm binary")
     # Grouping by the bytes is the verification; copies collapse before the shuffle.
     verified = texts.groupBy("digest", "norm").agg(F.count("*").alias("copies"))
     collisions = stash(verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "lsm-collisions", scope)
@@ -164,7 +166,7 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, digest_byte
     if collisions.isEmpty():
         return joined.select(*columns)
     # Rows under a digest that holds several texts are grouped by the texts themselves.
-    apart = rows.join(texts.select("row", "norm"), "row").join(collisions, "digest", "left_semi")
+    apart = stash(texts.join(collisions, "digest", "left_semi"), "lsm-apart", scope)
     split = compact(apart.select(F.sha2("norm", 512).alias("digest"), "points", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).alias("n")))
     exact = apart.withColumn("full", F.sha2("norm", 512)).join(split.withColumnRenamed("digest", "full"), "full").withColumn("kept", F.col("row") == F.col("keep_row"))
     return joined.join(collisions, "digest", "left_anti").select(*columns).unionByName(exact.select(*columns))

@@ -1,8 +1,9 @@
 """SimHash near-dedup: 64-bit fingerprints and a binary trie self-join.
 
-Fingerprints are grouped first, so copies cost nothing further. Two fingerprints within
-``budget`` differing bits agree in full on at least one of ``budget + 1`` blocks of bits; for
-each block the fingerprints are rotated so that it leads and are dealt out by it. Within a
+Fingerprints are grouped first, so copies cost nothing further. Of ``n`` blocks of bits, two
+fingerprints within ``budget`` differing bits agree in full on at least ``n - budget``; for each
+such choice of blocks the bits are reordered so that these lead, and fingerprints are dealt out
+by them. n grows with the number of fingerprints (see choose_blocks). Within a
 group the trie over the sorted fingerprints is joined with itself: pairs of nodes descend
 together, differing bits add up, and a pair is dropped once they exceed the budget. A node is a
 range of the sorted array, so a level of all pairs is one numpy step. Groups of more than
@@ -17,13 +18,16 @@ are linked like any other.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_at, documents, group_bounds, in_batches, least_partitions, plain_names, stash, whole_groups
@@ -181,28 +185,49 @@ def _stars(start: int, budget: int):
     return run
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(offset, width) of budget + 1 blocks over 64 bits."""
-    edges = [round(k * 64 / (budget + 1)) for k in range(budget + 2)]
+def _blocks(n: int) -> list[tuple[int, int]]:
+    """(offset, width) of n blocks over 64 bits."""
+    edges = [round(k * 64 / n) for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def near_links(fps: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """fps: distinct fingerprints in ``fp``. Returns (u, v) links that span every component of
-    the graph whose edges are all pairs within ``budget`` bits."""
-    blocks = _blocks(budget)
+def choose_blocks(rows: int, budget: int, group_rows: int) -> int:
+    """How many blocks to cut 64 bits into. Of n blocks, pairs agree on some n - budget; each such
+    choice is one table of all rows, dealt by the bits of its blocks. More blocks mean more tables
+    but smaller groups; the least number of copies of a row wins. All choices find the same links."""
+
+    def copies(n: int) -> float:
+        group = rows / 2.0 ** (64 * (n - budget) // n)
+        return math.comb(n, budget) * max(1.0, group / group_rows)
+
+    return min(range(budget + 1, budget + 6), key=lambda n: (copies(n), n))
 
-    def turned(offset: int):
-        return F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", 64 - offset)) if offset else F.col("fp")
 
-    rows = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), turned(off).alias("key"), F.shiftrightunsigned(turned(off), 64 - width).alias("lead")) for k, (off, width) in enumerate(blocks)))).alias("t")).select("fp", "t.*")
+def _slice(offset: int, width: int, at: int) -> Column:
+    """The bits [offset, offset + width) of fp, from the top, moved to begin at bit ``at``."""
+    low = F.shiftrightunsigned(F.shiftleft("fp", offset), 64 - width)
+    return F.shiftleft(low, 64 - width - at)
+
+
+def near_links(fps: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS, blocks: int | None = None) -> DataFrame:
+    """fps: distinct fingerprints in ``fp``. Returns (u, v) links that span every component of
+    the graph whose edges are all pairs within ``budget`` bits."""
+    cut = _blocks(blocks or choose_blocks(fps.count(), budget, group_rows))
+    tables, start = [], 64
+    for k, leading in enumerate(itertools.combinations(range(len(cut)), len(cut) - budget)):
+        order = [cut[b] for b in leading] + [cut[b] for b in range(len(cut)) if b not in leading]
+        at = list(itertools.accumulate((w for _, w in order), initial=0))
+        key = functools.reduce(lambda a, b: a.bitwiseOR(b), (_slice(off, width, place) for (off, width), place in zip(order, at)))
+        start = min(start, at[len(leading)])
+        tables.append(F.struct(F.lit(k).alias("block"), key.alias("key"), F.shiftrightunsigned(key, 64 - at[len(leading)]).alias("lead")))
+    rows = fps.select("fp", F.explode(F.array(*tables)).alias("t")).select("fp", "t.*")
     large = rows.groupBy("block", "lead").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("block", "lead", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     parted = rows.join(large, ["block", "lead"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
     tasks = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "lead", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "fp")
     n = least_partitions(fps.sparkSession)
     dealt = tasks.repartition(n, "block", "lead", "left", "right").sortWithinPartitions("block", "lead", "left", "right", "side", "key")
-    return dealt.transform(in_batches, _stars(min(w for _, w in blocks), budget), "u long, v long")
+    return dealt.transform(in_batches, _stars(start, budget), "u long, v long")
 
 
 def _classes(held: DataFrame, budget: int, group_rows: int, scope: str) -> DataFrame:

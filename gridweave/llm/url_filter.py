@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import in_batches, lower_az, pick
 
 ORDER = 5
-LEAST_SHARE = 2e-5
+LEAST_SHARE = 1e-4
 _START = "\x02"
 #: Characters of the alphabet that the order-0 model spreads over.
 _ALPHABET = 1 << 11

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gridweave.llm.simhash import fingerprint, near_links, simhash_dedup, trie_pairs
+from gridweave.llm.simhash import choose_blocks, fingerprint, near_links, simhash_dedup, trie_pairs
 from gridweave.llm.components import connected_components
 
 from .helpers import classes, docs, odd_docs, words
@@ -46,8 +46,13 @@ def test_trie_pairs():
     assert got == want and len(want) > 100
 
 
-@pytest.mark.parametrize("group_rows", [1500, 7])
-def test_links_span_all_components(spark, group_rows):
+def test_blocks_grow_with_the_input():
+    got = [choose_blocks(n, 4, 1500) for n in (0, 10**5, 10**7, 10**9, 10**11)]
+    assert got[0] == 5 and got == sorted(got) and got[-1] > 6
+
+
+@pytest.mark.parametrize("group_rows,blocks", [(1500, None), (7, None), (1500, 6), (3, 7)])
+def test_links_span_all_components(spark, group_rows, blocks):
     rng = random.Random(5)
     fps = [0, 2**64 - 1]
     for _ in range(30):
@@ -57,7 +62,7 @@ def test_links_span_all_components(spark, group_rows):
             fps.append(x)
     fps = sorted({x - 2**64 if x >= 2**63 else x for x in fps})
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    links = [(r.u, r.v) for r in near_links(df, 4, group_rows).collect()]
+    links = [(r.u, r.v) for r in near_links(df, 4, group_rows, blocks).collect()]
     at = {x: i for i, x in enumerate(fps)}
     m = 2**64 - 1
     want = classes(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) & m).bit_count() <= 4])
