@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, in_batches, small_batches, stash
+from .common import column_at, documents, in_batches, plain_names, small_batches, stash
 from .members import member_filter, passes
 from .occurrences import NO_ID, doc_key, first_links, pairs
 
@@ -182,6 +182,20 @@ def drop_lines(text: str | None, gone: list[int]) -> str:
     return "\n".join(left) if any(x.strip() for x in left) else ""
 
 
+def _cut(text: str):
+    """Deletes the lines ``gone`` from the column named ``text``, and counts them."""
+
+    def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = b.column("gone").to_pylist()
+            cut = pa.array([drop_lines(t, g) if g else t for t, g in zip(b.column(text).to_pylist(), gone)], pa.string())
+            names = [c for c in b.schema.names if c != "gone"]
+            arrays = [cut if c == text else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(g or ()) for g in gone], pa.int64())], names=[*names, "n_deleted"])
+
+    return do
+
+
 def line_dedup(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str = "default") -> DataFrame:
     """The table with repeated lines deleted from ``text``; all columns kept, and n_deleted
     (long) added as the last. Only rows that may lose lines are shuffled."""
@@ -189,19 +203,13 @@ def line_dedup(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str
     small_batches(spark)
     _, gone = repeated_lines(docs, run, window, scope)
     bits = spark.sparkContext.broadcast(member_filter(gone.select("h")))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    text = names[docs.columns.index("text")]
-    doc_id = names[docs.columns.index("doc_id")]
-    plain = docs.toDF(*names)
+    plain, names = plain_names(docs)
+    text, doc_id = column_at(docs, "text"), column_at(docs, "doc_id")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    keyed = plain.withColumn("__text", F.col(text)).transform(in_batches, _marked(bits), f"{kinds}, __h long, __may boolean")
-
-    @F.pandas_udf("string")
-    def cut(texts, lines):
-        return texts.combine(lines, drop_lines)
-
+    keyed = plain.withColumn("__text", F.col(text).cast("string")).transform(in_batches, _marked(bits), f"{kinds}, __h long, __may boolean")
     may = keyed.where("__may").withColumn("__doc", doc_key(F.col(doc_id).cast("long")))
-    hit = may.join(gone, (F.col("__doc") == F.col("doc")) & (F.col("__h") == F.col("h")), "left")
-    changed = hit.select(*(F.when(F.col("gone").isNotNull(), cut(F.col(text), F.coalesce("gone", F.array().cast("array<int>")))).otherwise(F.col(text)).alias(text) if n == text else F.col(n) for n in names), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    # A shuffled join: so no task needs two Python workers at once, and no side must be small.
+    hit = may.join(gone.hint("merge"), (F.col("__doc") == F.col("doc")) & (F.col("__h") == F.col("h")), "left").select(*names, "gone")
+    changed = hit.transform(in_batches, _cut(text), f"{kinds}, n_deleted long")
     same = keyed.where("not __may").select(*names, F.lit(0).cast("long").alias("n_deleted"))
     return same.unionByName(changed).toDF(*docs.columns, "n_deleted")
