@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, give_back, in_batches, keep_where, pick
 
-SAMPLE_ROWS = 1600
+SAMPLE_ROWS = 800
 LONGEST = 100_000
 TABLE = 1 << 16
 LEXICON = 4000
@@ -205,7 +205,7 @@ def marginals(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray, begin: np.n
     return unit(out[row, col])
 
 
-def fit(samples: list[tuple[str, str]], epochs: int = 4, seed: int = 1, rate: float = 0.25, decay: float = 1e-6) -> Model | None:
+def fit(samples: list[tuple[str, str]], epochs: int = 3, seed: int = 1, rate: float = 0.25, decay: float = 1e-6) -> Model | None:
     """samples: (text, label). Maximises the conditional likelihood of word labels by Adagrad."""
     labels = sorted({label for _, label in samples})
     if not labels:
@@ -295,7 +295,7 @@ def sample_labelled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, longest: in
     share = max(1, sample_rows // len(counts))
     top = float(1 << 63)
     cut = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, share / 0.75 / r["n"]) * (top - 1024))))))
-    taken = usable.withColumn("h", F.xxhash64("text", "doc_id")).where(F.abs("h") <= cut[F.col("lang")]).orderBy("h").limit(2 * sample_rows + 100).collect()
+    taken = usable.withColumn("h", F.xxhash64("text", "doc_id")).where(F.shiftrightunsigned("h", 1) <= cut[F.col("lang")]).orderBy("h").limit(2 * sample_rows + 100).collect()
     by: dict[str, list[str]] = defaultdict(list)
     for r in taken:
         if len(by[r["lang"]]) < 2 * share:
