@@ -53,6 +53,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, n_sections (lines) and section_tokens, the tokens that begin
+    in each line, in order; they add up to n_tokens."""
     counts = line_token_counts(_table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "n_tokens", F.size("section_tokens").cast("long").alias("n_sections"), "section_tokens")
 
@@ -68,11 +70,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repeated passage: words [start, end) of doc_id repeat words [start0, end0) of doc0, its
+    first occurrence, with that share of equal words."""
     found = substring_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", "doc0", "start0", "end0", F.round("similarity", 6).alias("similarity"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines (not blank), n_deleted, deleted (line numbers from 0)."""
     return line_report(_table(spark, sf_dir, "documents"))
 
 

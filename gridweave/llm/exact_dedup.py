@@ -95,9 +95,10 @@ def flush_runs(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS, scope: str =
 
 
 def compact(runs: DataFrame) -> DataFrame:
-    """Merge runs: one entry a digest, with the best row and the number of rows."""
+    """Merge runs of any level: one entry a digest, with the best row and the number of rows. The
+    result is a run of the next level, so later batches are added by merging it with their runs."""
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("keep_id").isNull().alias("z"), F.col("keep_id").alias("i"), F.col("keep_row").alias("r")))
-    return runs.groupBy("digest").agg(best.alias("b"), F.sum("n").alias("n")).select("digest", F.col("b.i").alias("keep_id"), F.col("b.r").alias("keep_row"), "n")
+    return runs.groupBy("digest").agg(best.alias("b"), F.sum("n").alias("n")).select("digest", (-F.col("b.p")).alias("points"), F.col("b.i").alias("keep_id"), F.col("b.r").alias("keep_row"), "n")
 
 
 def _bit_places(digest: np.ndarray) -> np.ndarray:
@@ -161,12 +162,12 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, digest_byte
     # Grouping by the bytes is the verification; copies collapse before the shuffle.
     verified = texts.groupBy("digest", "norm").agg(F.count("*").alias("copies"))
     collisions = stash(verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "lsm-collisions", scope)
-    joined = rows.join(index, "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
+    joined = rows.drop("points").join(index, "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
     columns = ("doc_id", "keep_id", F.col("n").alias("group_size"), "kept", "digest")
     if collisions.isEmpty():
         return joined.select(*columns)
     # Rows under a digest that holds several texts are grouped by the texts themselves.
     apart = stash(texts.join(collisions, "digest", "left_semi"), "lsm-apart", scope)
     split = compact(apart.select(F.sha2("norm", 512).alias("digest"), "points", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).alias("n")))
-    exact = apart.withColumn("full", F.sha2("norm", 512)).join(split.withColumnRenamed("digest", "full"), "full").withColumn("kept", F.col("row") == F.col("keep_row"))
+    exact = apart.withColumn("full", F.sha2("norm", 512)).drop("points").join(split.withColumnRenamed("digest", "full"), "full").withColumn("kept", F.col("row") == F.col("keep_row"))
     return joined.join(collisions, "digest", "left_anti").select(*columns).unionByName(exact.select(*columns))

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from gridweave.llm.exact_dedup import exact_dedup
+from gridweave.llm.exact_dedup import compact, exact_dedup, flush_runs
 
 from .helpers import docs, odd_docs
 
@@ -40,3 +40,13 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty(spark):
     assert exact_dedup(docs(spark, [])).collect() == []
+
+
+def test_levels_merge_in_any_order(spark):
+    schema = "row long, doc_id long, digest binary, points long"
+    rows = [(i, 100 - i, bytes([i % 7]), i % 3) for i in range(40)]
+    parts = [flush_runs(spark.createDataFrame(rows[a::3], schema), 4) for a in range(3)]
+    once = compact(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    steps = compact(compact(parts[2].unionByName(parts[0])).unionByName(parts[1]))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, steps.collect()))
+    assert once.count() == 7 and once.selectExpr("sum(n) s").first().s == 40

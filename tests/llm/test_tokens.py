@@ -171,3 +171,7 @@ def test_field_counts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fields array<struct<name:string,start:long,end:long>>")
     got = {(r.doc_id, r.name): r.n_tokens for r in field_token_counts(df).collect()}
     assert got[1, "title"] + got[1, "body"] == len(ids_of(rows[0][1])) and got[2, "a"] == 0 and got[4, "all"] == 1 and (4, "none") not in got
+
+
+def test_counts_of_an_empty_table(spark):
+    assert line_token_counts(docs(spark, [])).collect() == []
