@@ -155,7 +155,8 @@ def solve(
             work = work.withColumns(_mix("x2", (1, "y2"), (beta, "step")))
         else:
             work = work.withColumns(_mix("x2", (1, "y2")))
-        state = scratch.keep(work.select(*keys, *(F.col(f"{n}2_{p}").alias(f"{n}_{p}") for n in (*names, "g") for p in PARTS)))
+        # A projection of the table just written.
+        state = work.select(*keys, *(F.col(f"{n}2_{p}").alias(f"{n}_{p}") for n in (*names, "g") for p in PARTS))
         if fun:
             solution.log.append((k, fun(k, _iterate(state, keys, "x"), _iterate(state, keys, "y"), again), again))
         solution.restarts.append(again)
