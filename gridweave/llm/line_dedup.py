@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column_at, documents, in_batches, plain_names, small_batches, stash
 from .members import member_filter, passes
@@ -205,11 +206,11 @@ def line_dedup(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str
     bits = spark.sparkContext.broadcast(member_filter(gone.select("h")))
     plain, names = plain_names(docs)
     text, doc_id = column_at(docs, "text"), column_at(docs, "doc_id")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    keyed = plain.withColumn("__text", F.col(text).cast("string")).transform(in_batches, _marked(bits), f"{kinds}, __h long, __may boolean")
+    own = [T.StructField(f.name, f.dataType) for f in plain.schema]
+    keyed = plain.withColumn("__text", F.col(text).cast("string")).transform(in_batches, _marked(bits), T.StructType([*own, T.StructField("__h", T.LongType()), T.StructField("__may", T.BooleanType())]))
     may = keyed.where("__may").withColumn("__doc", doc_key(F.col(doc_id).cast("long")))
     # A shuffled join: so no task needs two Python workers at once, and no side must be small.
     hit = may.join(gone.hint("merge"), (F.col("__doc") == F.col("doc")) & (F.col("__h") == F.col("h")), "left").select(*names, "gone")
-    changed = hit.transform(in_batches, _cut(text), f"{kinds}, n_deleted long")
+    changed = hit.transform(in_batches, _cut(text), T.StructType([*own, T.StructField("n_deleted", T.LongType())]))
     same = keyed.where("not __may").select(*names, F.lit(0).cast("long").alias("n_deleted"))
     return same.unionByName(changed).toDF(*docs.columns, "n_deleted")

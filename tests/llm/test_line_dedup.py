@@ -93,6 +93,12 @@ def test_empty_table(spark):
     assert line_report(docs(spark, [])).collect() == [] and line_dedup(docs(spark, [])).collect() == []
 
 
+def test_other_columns_of_any_type_are_kept(spark):
+    df = docs(spark, ["a\nb", "a\nb"]).selectExpr("*", "named_struct('odd name', doc_id, 'b', array(1)) AS `x y`", "date'2024-01-01' AS day", "cast(1 AS decimal(9,2)) AS d", "map('k', doc_id) AS m")
+    rows = {r.doc_id: r for r in line_dedup(df).collect()}
+    assert rows[1]["x y"]["odd name"] == 1 and rows[1].m == {"k": 1} and rows[1].text == "" and rows[0].text == "a\nb"
+
+
 def test_small_parts():
     assert drop_lines(None, [0]) == "" and drop_lines("a\nb", [1]) == "a"
     h = np.arange(10, dtype=np.int64)
