@@ -19,6 +19,8 @@ from gridweave.llm.simhash import keep_one_each
 #: A text whose best language covers less of it is no text of a known language. Texts in two
 #: languages have about one half.
 LEAST_SCORE = 0.4
+#: Documents are near-duplicates from this Jaccard similarity of their five-word shingles.
+NEAR = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     release(spark, "pipeline-lines")
-    return keep_one_each(docs, scope="pipeline-near")
+    return keep_one_each(docs, scope="pipeline-near", similarity=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

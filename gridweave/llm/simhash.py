@@ -230,10 +230,12 @@ def near_links(fps: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS, bl
     return dealt.transform(in_batches, _stars(start, budget), "u long, v long")
 
 
-def _classes(held: DataFrame, budget: int, group_rows: int, scope: str) -> DataFrame:
-    """held: doc_id, fp. Returns fp, component_id."""
+def _classes(held: DataFrame, budget: int, group_rows: int, scope: str, roots: DataFrame | None = None) -> DataFrame:
+    """held: doc_id, fp; roots: (node, root) of linked fps, by default those within the budget.
+    Returns fp, component_id."""
     least = stash(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", scope)
-    roots = connected_components(near_links(least.select("fp"), budget, group_rows), scope)
+    if roots is None:
+        roots = connected_components(near_links(least.select("fp"), budget, group_rows), scope)
     classes = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return classes.join(named, "root").select("fp", "component_id")
@@ -249,14 +251,21 @@ def simhash_dedup(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int
     return held.join(_classes(held, budget, group_rows, scope), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42, group_rows: int = GROUP_ROWS, scope: str = "default") -> DataFrame:
+def keep_one_each(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42, group_rows: int = GROUP_ROWS, scope: str = "default", similarity: float | None = None) -> DataFrame:
     """The table, all columns kept, with one document of each group of near-duplicates: the
     smallest doc_id (null last); of rows that repeat it, the smallest hash of the text; of rows
-    that repeat both, any one. Only rows that may go are shuffled."""
+    that repeat both, any one. Only rows that may go are shuffled. With a ``similarity``, groups
+    are linked by it (see near_dedup), not by differing bits."""
+    from .near_dedup import banded, similar_roots
+
     spark = docs.sparkSession
     source = documents(docs).withColumn("doc", doc_key(F.col("doc_id"))).withColumn("h", F.xxhash64("text")).select("doc", "h", "text")
-    held = stash(source.transform(in_batches, _keyed_fingerprints(shingle, seed), "doc long, h long, fp long"), "simhash", scope)
-    classes = _classes(held.select(F.col("doc").alias("doc_id"), "fp"), budget, group_rows, scope)
+    if similarity is None:
+        held, roots = stash(source.transform(in_batches, _keyed_fingerprints(shingle, seed), "doc long, h long, fp long"), "simhash", scope), None
+    else:
+        held = stash(banded(source), "bands", scope)
+        roots = similar_roots(held, source, scope, similarity)
+    classes = _classes(held.select(F.col("doc").alias("doc_id"), "fp"), budget, group_rows, scope, roots)
     keyed = held.groupBy("doc", "h", "fp").agg(F.count("*").alias("copies")).join(classes, "fp")
     stays = keyed.where("doc = component_id").groupBy("component_id").agg(F.min("h").alias("h0"))
     judged = keyed.join(stays, "component_id").withColumn("stays", (F.col("doc") == F.col("component_id")) & (F.col("h") == F.col("h0")))
