@@ -77,8 +77,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines (not blank), n_deleted, deleted (line numbers from 0)."""
-    return line_report(_table(spark, sf_dir, "documents"))
+    """Per document: doc_id, n_lines (not blank), n_deleted, deleted (line numbers from 0): every
+    line that occurred before, whatever its neighbours."""
+    return line_report(_table(spark, sf_dir, "documents"), run=1, window=1)
 
 
 OP1_SQL = r"""
