@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, stash
+from .common import in_batches, least_partitions, stash
 from .members import member_filter, passes
 
 NO_ID = (1 << 63) - 1
@@ -42,9 +42,10 @@ def _may_repeat(bits):
     return do
 
 
-def first_links(rows: DataFrame, scope: str = "default") -> DataFrame:
+def first_links(rows: DataFrame, scope: str = "default", previous: bool = False) -> DataFrame:
     """rows: doc, h, marks (array of struct g long, pos int). Returns doc, h, pos and of the
-    first occurrence doc0, h0, pos0, for every occurrence but the first.
+    first occurrence doc0, h0, pos0, for every occurrence but the first. With ``previous``, also
+    of the occurrence right before it.
 
     Fingerprints are counted first; a filter of fixed size then keeps nearly all others out of
     the shuffle that brings the occurrences of one fingerprint together.
@@ -57,7 +58,44 @@ def first_links(rows: DataFrame, scope: str = "default") -> DataFrame:
     first = found.groupBy("g").agg(F.min(F.struct("doc", "h", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = stash(first.select("g", F.col("f.doc").alias("doc0"), F.col("f.h").alias("h0"), F.col("f.pos").alias("pos0")), "first-marks", scope)
     other = (F.col("doc") != F.col("doc0")) | (F.col("h") != F.col("h0")) | (F.col("pos") != F.col("pos0"))
-    return found.join(first, "g").where(other).select("doc", "h", "pos", "doc0", "h0", "pos0")
+    links = found.join(first, "g").where(other).select("doc", "h", "pos", "doc0", "h0", "pos0")
+    return links.unionByName(previous_links(rows, bits, scope)).distinct() if previous else links
+
+
+def _previous(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted occurrences, each with the one before it in the task. The task's first and last are
+    marked: what comes before the first is in another task."""
+    columns = ("g", "doc", "h", "pos")
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = [b.column(c).to_numpy() for c in columns]
+        before = [np.concatenate([own[k][:1] if held is None else held[k], own[k][:-1]]) for k in range(4)]
+        known = before[0] == own[0]
+        edge = np.zeros(b.num_rows, bool)
+        if held is None:
+            known[0], edge[0] = False, True
+        held = [x[-1:] for x in own]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, own), *map(pa.array, before[1:]), pa.array(known), pa.array(edge)], names=[*columns, "doc0", "h0", "pos0", "known", "edge"])
+    if held is not None:
+        no = pa.array([False])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, held), *map(pa.array, held[1:]), no, pa.array([True])], names=[*columns, "doc0", "h0", "pos0", "known", "edge"])
+
+
+def previous_links(rows: DataFrame, bits, scope: str = "default") -> DataFrame:
+    """As first_links, but each occurrence with the one right before it. Occurrences are dealt by
+    ranges of (fingerprint, document, position), so a frequent fingerprint is spread over tasks."""
+    found = rows.select("doc", "h", "marks").transform(in_batches, _may_repeat(bits), "g long, doc long, h long, pos int")
+    order = ("g", "doc", "h", "pos")
+    dealt = found.repartitionByRange(least_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    held = stash(dealt.transform(in_batches, _previous, "g long, doc long, h long, pos int, doc0 long, h0 long, pos0 int, known boolean, edge boolean"), "previous-marks", scope)
+    names = ("doc", "h", "pos", "doc0", "h0", "pos0")
+    # Two rows a task: the last of one is right before the first of the next.
+    window = Window.partitionBy("g").orderBy("doc", "h", "pos")
+    edges = held.where("edge").select(*order).distinct()
+    across = edges.select(*order, *(F.lag(c).over(window).alias(f"{c}0") for c in names[:3])).where("doc0 is not null")
+    return held.where("known").select(*names).unionByName(across.select(*names)).distinct()
 
 
 def pairs(links: DataFrame) -> DataFrame:
