@@ -346,8 +346,8 @@ def tsnr_summary(spark, d):
 
 def _reconstruction(spark, d):
     grid = grid_of(spark, d)
-    config = ReconConfig(grid, 8, 2, (grid, (5, 5, grid[2]), (1, 1, 1)), (grid, (5, 5, grid[2]), (1, 1, 1)), iterations=2)
-    cells = _cells(spark, d)
+    config = ReconConfig(grid, 32, 2, (grid, (5, 5, grid[2]), (1, 1, 1)), (grid, (5, 5, grid[2]), (1, 1, 1)), iterations=2)
+    cells = complex_series(spark, d)
     mask = F.pmod(F.col("x") + F.col("y") + F.col("t"), F.lit(2)) == 0
     coils = cells.where(mask).withColumn("coil", F.explode(F.array(F.lit(1), F.lit(2))))
     samples = coils.select("x", "y", "z", "coil", "t", (F.col("re") * F.col("coil") + 0.001).alias("re"), "im")
