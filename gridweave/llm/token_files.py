@@ -28,14 +28,14 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, in_batches, least_partitions, scratch_path, stash
 from .packing import END
 from .tokens import default_tokenizer, encoder
 
-MAGIC = b"GWIDS1\0\0"
+MAGIC = b"GWIDS2\0\0"
 BLOCK_IDS = 1 << 20
 FILE_IDS = 32 << 20
 #: Bytes of each of the four ids that a control byte describes.
@@ -80,6 +80,14 @@ def _open(path: str):
     return pa.fs.FileSystem.from_uri(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's own readers take it: one without a scheme lies in the default file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    full = place.getFileSystem(conf).makeQualified(place).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 class FileWriter:
     """Writes one file; the name appears only when it is whole, so a task can run again."""
 
@@ -87,7 +95,8 @@ class FileWriter:
         self.fs, self.path = _open(path)
         self.part = f"{self.path}.{attempt}.part"
         self.out = self.fs.open_output_stream(self.part)
-        self.out.write(MAGIC + struct.pack("<I", len(id_of_rank)) + id_of_rank.astype("<u4").tobytes())
+        table = id_of_rank.astype("<u4").tobytes()
+        self.out.write(MAGIC + struct.pack("<I", len(id_of_rank)) + table + struct.pack("<I", zlib.crc32(table)))
         self.rank = np.zeros(int(id_of_rank.max(initial=0)) + 1, np.uint32)
         self.rank[id_of_rank] = np.arange(len(id_of_rank), dtype=np.uint32)
         self.held: list[tuple[int | None, np.ndarray]] = []
@@ -122,10 +131,20 @@ def read_file(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
     with fs.open_input_stream(place) as f:
         if f.read(8) != MAGIC:
             raise ValueError(f"{path} is no file of token ids")
-        (n,) = struct.unpack("<I", f.read(4))
-        id_of_rank = np.frombuffer(f.read(4 * n), "<u4")
+
+        def numbers(count: int) -> tuple[int, ...]:
+            raw = f.read(4 * count)
+            if len(raw) != 4 * count:
+                raise ValueError(f"{path} is cut off")
+            return struct.unpack(f"<{count}I", raw)
+
+        (n,) = numbers(1)
+        table = f.read(4 * n)
+        if len(table) != 4 * n or numbers(1)[0] != zlib.crc32(table):
+            raise ValueError(f"{path} is damaged")
+        id_of_rank = np.frombuffer(table, "<u4")
         while True:
-            docs, ids, size, crc = struct.unpack("<IIII", f.read(16))
+            docs, ids, size, crc = numbers(4)
             if not docs:
                 return
             n_control = -(-ids // 4)
@@ -209,7 +228,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     """Encodes and writes all documents; returns the manifest: shard, path, docs, ids, and
     first, the number of ids in all files before. An empty table has an empty manifest."""
     spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "token-files", scope)
+    folder = qualified(spark, folder or scratch_path(spark, "token-files", scope))
     rows = stash(documents(docs).transform(in_batches, _encode(tokenizer or default_tokenizer()), "doc_id long, counts boolean, ids binary, n long, crc long"), "token-rows", scope)
     counts = rows.where("counts").select("ids").transform(in_batches, _id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # one row per id of the vocabulary
     ranks = spark.sparkContext.broadcast(np.array([r.id for r in counts], np.uint32))

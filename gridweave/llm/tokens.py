@@ -4,7 +4,9 @@ A byte-level pre-tokenizer always starts a new piece at a single space, or a sin
 between two characters that are not white space. So a text is cut there, each distinct word is encoded by the library
 once and remembered, and the whole is put together from the words' ids. A text in which a
 space touches other white space, or begins or ends the text, is cut at other places by the
-pre-tokenizer; such texts are encoded by the library as a whole. The result is always equal to ``Tokenizer.encode`` of the whole text.
+pre-tokenizer; such texts are encoded by the library as a whole, and so are texts that hold the
+string of an added token, which the library takes as that token's id. The result is always equal
+to ``Tokenizer.encode(text, add_special_tokens=False)`` of the whole text.
 
 The memory is bounded by ``REMEMBERED`` words of at most ``LONGEST`` characters; the vocabulary
 file's path is a parameter.
@@ -12,6 +14,7 @@ file's path is a parameter.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -37,7 +40,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = sorted({t.content for t in self.library.get_added_tokens_decoder().values()})
         pre = self.library.pre_tokenizer
         self.splits = "ByteLevel" in type(pre).__name__ and self.library.normalizer is None and self.library.post_processor is None and not pre.add_prefix_space
         self.token_bytes = token_bytes(path) if self.splits else None
@@ -94,6 +97,8 @@ class Encoder:
             return []
         if not self.splits:
             return self._ids(column.to_pylist())
+        special = functools.reduce(pc.or_, [pc.match_substring(column, a) for a in self.added], pa.array([False] * len(column)))
+        texts, column = column, pc.if_else(special, "", column)
         # Lines are cut off like words, but have no space before them.
         cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         coded = cut.flatten().dictionary_encode()
@@ -117,8 +122,9 @@ class Encoder:
         offsets, data = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1), flat.buffers()[2].to_pybytes() if len(flat) and flat.buffers()[2] else b""
         bounds = offsets[at].tolist()
         out = [data[a:b] for a, b in zip(bounds, bounds[1:])]
-        whole = np.flatnonzero(np.logical_or.reduceat(flags, first) & (at[1:] - first > 1)).tolist()
-        for i, ids in zip(whole, self._ids([column[i].as_py() for i in whole])):
+        cut_wrong = np.logical_or.reduceat(flags, first) & (at[1:] - first > 1)
+        whole = np.flatnonzero(cut_wrong | special.to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(whole, self._ids([texts[i].as_py() for i in whole])):
             out[i] = ids
         return out
 
@@ -137,8 +143,11 @@ def token_bytes(path: str) -> np.ndarray:
     """The number of UTF-8 bytes that each id of a byte-level vocabulary stands for."""
     from tokenizers import Tokenizer
 
-    vocabulary = Tokenizer.from_file(path).get_vocab()
+    library = Tokenizer.from_file(path)
+    vocabulary = library.get_vocab()
     out = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for token, i in vocabulary.items():
         out[i] = len(token)  # one character a byte in byte-level vocabularies
+    for i, token in library.get_added_tokens_decoder().items():
+        out[i] = len(token.content.encode())  # added tokens are plain text
     return out

@@ -1,5 +1,6 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,13 +9,12 @@ from tokenizers import Tokenizer
 from gridweave.llm import tokens
 from gridweave.llm.packing import pack, pack_histogram, slots
 from gridweave.llm.token_counts import attribute, field_token_counts, line_spans, line_token_counts
-from gridweave.llm.token_files import decode_block, encode_block, read_file, read_token_files, write_token_files
+from gridweave.llm.token_files import decode_block, encode_block, qualified, read_file, read_token_files, write_token_files
 from gridweave.llm.tokens import Encoder, default_tokenizer, token_bytes
 
 from .helpers import docs, odd_docs, words
 
 LIBRARY = Tokenizer.from_file(default_tokenizer())
-LIBRARY.encode_special_tokens = True
 TEXTS = ["", None, "a", "one two  three\nfour ", "Ünïcode 日本語 text", "x " * 3000, " ".join(words(random.Random(2), 900)), "one two", "<|endoftext|> here", "z" * 9000]
 IDS = [4, 9, 2, 7, 7, 30, 12, 1, 55, 50]
 
@@ -27,13 +27,33 @@ def test_encoder_equals_library(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 60)
     own = Encoder(default_tokenizer())
     rng = random.Random(1)
-    letters = "ab1 .,'\n\té 　 日s're<|endoftext|>  "
+    letters = [*"ab1 .,'\n\té\u2009\u3000日s're<|>  ", "<|endoftext|>"]
     for _ in range(400):
         batch = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(4)] + [" ".join(words(rng, 20, 200))]
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(batch)] == [ids_of(t) for t in batch]
     assert len(own.words) < 150
 
 
+def test_added_token_strings_are_their_ids():
+    own = Encoder(default_tokenizer())
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "hello <|endoftext|> world", "x y <|endoftext|>\n", "<|endoftext", None, "<|endoftext|><|endoftext|> z"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(texts)] == [ids_of(t) for t in texts]
+    assert 50256 in ids_of(texts[1])
+
+
+def test_damaged_files(spark, tmp_path):
+    manifest = write_token_files(docs(spark, TEXTS), f"file://{tmp_path}/t").collect()
+    whole = Path(manifest[0].path.removeprefix("file://")).read_bytes()
+    for raw in (whole[:20], whole[:-16], whole[:-3], whole[:14] + bytes([whole[14] ^ 1]) + whole[15:]):
+        (tmp_path / "bad").write_bytes(raw)
+        with pytest.raises(ValueError):
+            list(read_file(f"file://{tmp_path}/bad"))
+
+
+def test_paths_without_a_scheme(spark, tmp_path):
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and qualified(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+
+
 def test_token_bytes():
     sizes = token_bytes(default_tokenizer())
     for t in TEXTS:
