@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gridweave.llm.language import fit, keep_known_language, language_spans, marginals, predict_languages, sample_labelled, split_words, text_scores
+from gridweave.llm.language import fit, fit_languages, forward_backward, keep_known_language, language_spans, marginals, predict_languages, sample_labelled, split_words, text_scores
 
 from .helpers import docs, odd_docs
 
@@ -49,6 +49,31 @@ def test_marginals_against_plain_recursion(segment):
     assert np.abs(marginals(e, lengths, moves, begin, segment) - np.concatenate(want)).max() < 1e-9
 
 
+def test_transition_gradient_by_finite_differences():
+    rng = np.random.default_rng(3)
+    lengths = np.array([5, 1, 9])
+    e, moves, begin = rng.normal(size=(15, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+
+    def log_partition(m):
+        total, at = 0.0, 0
+        for n in lengths:
+            a = begin + e[at]
+            for i in range(at + 1, at + n):
+                a = log_sum(a[:, None] + m, 0) + e[i]
+            at += n
+            total += log_sum(a, 0)
+        return total
+
+    got = forward_backward(e, lengths, moves, begin, 9, True)[1]
+    for i in range(3):
+        for j in range(3):
+            step = np.zeros((3, 3))
+            step[i, j] = 1e-5
+            assert got[i, j] == pytest.approx((log_partition(moves + step) - log_partition(moves - step)) / 2e-5, abs=1e-6)
+    with pytest.raises(ValueError):
+        forward_backward(e, lengths, moves, begin, 4, True)
+
+
 def test_words():
     w = split_words(["Ab é1c", "", "日 x"])
     assert w.sizes.tolist() == [2, 1, 1, 1, 1] and w.text.tolist() == [0, 0, 0, 2, 2] and w.start.tolist() == [0, 3, 5, 0, 2]
@@ -96,6 +121,17 @@ def test_sample_leaves_out_held_rows(spark):
     assert len(sample_labelled(df, 15)) <= 30
 
 
+def test_held_out_labels_are_never_read(spark):
+    import zlib
+
+    pairs = training(8)
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(pairs))]
+    texts, langs = [t for t, _ in pairs], [g for _, g in pairs]
+    other = ["zz" if h else g for h, g in zip(held, langs)]
+    got = [[(r.doc_id, r.lang_pred, r.score) for r in predict_languages(df, fit_languages(df, 12)).orderBy("doc_id").collect()] for df in (docs(spark, texts, lang=langs), docs(spark, texts, lang=other))]
+    assert any(held) and got[0] == got[1]
+
+
 def test_held_out_accuracy(spark):
     from gridweave.llm.catalogue import op8_language_id
 
