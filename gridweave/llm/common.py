@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridweave.scratch import shared_folder
+
 #: Deletes the characters that the dedup operators regard as white space.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -70,27 +71,13 @@ def documents(df: DataFrame) -> DataFrame:
     return pick(df, "doc_id", "text", doc_id="long", text="string")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or,
-    only where that is unset (tests, local mode), a fresh local folder which is then set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="gridweave-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 #: Scratch folders by scope, for release().
 _held: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession, name: str, scope: str = "default") -> str:
     """A new, unused path in the shared folder."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _held.setdefault(scope, []).append(path)
     return path
 

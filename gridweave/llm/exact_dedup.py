@@ -19,17 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, documents, in_batches, stash
+from .members import member_filter, passes
 
 #: Entries that a memtable holds before it is flushed.
 MEMTABLE_ROWS = 200_000
-#: log2 of the bits in the filter over hits: 8 MB, whatever the input. More hits only raise
-#: the share of rows that pass it in vain.
-FILTER_BITS = 26
-_FILTER_HASHES = 3
 
 
 def _digest(text: bytes | None, size: int) -> tuple[bytes, bytes]:
@@ -101,44 +99,19 @@ def compact(runs: DataFrame) -> DataFrame:
     return runs.groupBy("digest").agg(best.alias("b"), F.sum("n").alias("n")).select("digest", (-F.col("b.p")).alias("points"), F.col("b.i").alias("keep_id"), F.col("b.r").alias("keep_row"), "n")
 
 
-def _bit_places(digest: np.ndarray) -> np.ndarray:
-    """Filter positions from the digest's own bytes; digest: (n, 12) uint8."""
-    words = np.ascontiguousarray(digest).view("<u4")
-    return (words & ((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
-def _places(digests: list[bytes]) -> np.ndarray:
-    flat = b"".join(d[:12].ljust(12, b"\0") for d in digests)
-    return _bit_places(np.frombuffer(flat, np.uint8).reshape(-1, 12))
-
-
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            at = np.unique(_places(b.column("digest").to_pylist()))
-            words, first = np.unique(at >> 5, return_index=True)
-            masks = np.bitwise_or.reduceat(np.int64(1) << (at & 31), first)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(masks)], names=["word", "mask"])
-
-
-def _hit_filter(hits: DataFrame) -> np.ndarray:
-    """The Bloom filter over hit digests: at most 2**(FILTER_BITS-5) words reach the driver."""
-    words = hits.select("digest").transform(in_batches, _filter_words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
-    return bits
+def _keys(digests: list[bytes]) -> np.ndarray:
+    """What xxhash64() gives of the digests."""
+    return np.fromiter((xxhash.xxh64_intdigest(d, 42) for d in digests), np.uint64, len(digests))
 
 
 def _hit_rows(bits, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bits.value
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             if not texts:
                 continue
             digests, norms = zip(*(_digest(t, size) for t in texts))
-            at = _places(list(digests))
-            found = np.flatnonzero(((held[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=1))
+            found = np.flatnonzero(passes(bits.value, _keys(digests)))
             points = pa.array([_code_points(texts[i] or b"") for i in found], pa.int64())
             some = pa.array(found)
             yield pa.RecordBatch.from_arrays([b.column("row").take(some), b.column("doc_id").take(some), pa.array([digests[i] for i in found], pa.binary()), points, pa.array([norms[i] for i in found], pa.binary())], names=["row", "doc_id", "digest", "points", "norm"])
@@ -157,7 +130,7 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, digest_byte
     rows = stash(source.transform(in_batches, _digests(digest_bytes), "row long, doc_id long, digest binary, points long"), "lsm-rows", scope)
     index = stash(compact(flush_runs(rows, memtable_rows, scope)), "lsm-level1", scope)
     hits = index.where("n > 1")
-    bits = spark.sparkContext.broadcast(_hit_filter(hits))
+    bits = spark.sparkContext.broadcast(member_filter(hits.select(F.xxhash64("digest"))))
     texts = source.transform(in_batches, _hit_rows(bits, digest_bytes), "row long, doc_id long, digest binary, points long, norm binary")
     # Grouping by the bytes is the verification; copies collapse before the shuffle.
     verified = texts.groupBy("digest", "norm").agg(F.count("*").alias("copies"))

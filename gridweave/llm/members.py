@@ -1,6 +1,7 @@
-"""A Bloom filter of fixed size over 64-bit keys, to keep rows that can't join out of a shuffle.
+"""A Bloom filter over 64-bit keys, to keep rows that can't join out of a shuffle.
 
-2**26 bits, 8 MB, whatever the input: more keys only let more rows pass in vain.
+Its size follows the number of keys, about ten bits each, up to ``MOST_BITS`` (16 MB). Where there
+are more keys than that serves, there is no filter: all rows pass, and the shuffled join does it.
 """
 
 from __future__ import annotations
@@ -14,32 +15,50 @@ from pyspark.sql import functions as F
 
 from .common import in_batches
 
-BITS = 26
+LEAST_BITS, MOST_BITS = 16, 27
+#: Bits a key that the smallest fitting filter has at least.
+BITS_A_KEY = 10
+#: Fixed odd multipliers of the three hashes.
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def places(keys: np.ndarray) -> np.ndarray:
-    """Three filter positions of each key (int64 or uint64), well mixed already."""
+def filter_bits(keys: int) -> int | None:
+    """log2 of the bits of a filter for so many keys; None for too many."""
+    bits = max(LEAST_BITS, (BITS_A_KEY * keys).bit_length())
+    return bits if bits <= MOST_BITS else None
+
+
+def places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Three filter positions of each key (int64 or uint64), in filters of 2**bits bits."""
     k = np.ascontiguousarray(keys).view(np.uint64)
-    mask = np.uint64((1 << BITS) - 1)
-    return np.stack([k & mask, (k >> np.uint64(20)) & mask, (k >> np.uint64(38)) & mask], 1).astype(np.int64)
+    k = k ^ (k >> np.uint64(32))
+    return ((k[:, None] * _MULTIPLIERS) >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def passes(words: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    if words is None:
+        return np.ones(len(keys), bool)
+    at = places(keys, len(words).bit_length() + 4)
+    return ((words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).all(axis=1)
 
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = places(keys)
-    return ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).all(axis=1)
 
+def _words(bits: int):
+    def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = np.unique(places(b.column(0).to_numpy(), bits))
+                word, first = np.unique(at >> 5, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 31), first))], names=["word", "mask"])
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            at = np.unique(places(b.column(0).to_numpy()))
-            word, first = np.unique(at >> 5, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 31), first))], names=["word", "mask"])
+    return do
 
 
-def member_filter(keys: DataFrame) -> np.ndarray:
-    """keys: one column of longs without nulls. At most 2**21 small rows reach the driver."""
-    words = keys.transform(in_batches, _words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(1 << (BITS - 5), np.uint32)
-    bits[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
-    return bits
+def member_filter(keys: DataFrame) -> np.ndarray | None:
+    """keys: one column of longs without nulls. At most 2**(MOST_BITS - 5) small rows reach the driver."""
+    bits = filter_bits(keys.count())
+    if bits is None:
+        return None
+    words = keys.transform(in_batches, _words(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
+    return out
