@@ -180,7 +180,7 @@ def drop_lines(text: str | None, gone: list[int]) -> str:
     """The text without those lines; empty if only blank ones are left."""
     out = set(gone)
     left = [x for i, x in enumerate((text or "").split("\n")) if i not in out]
-    return "\n".join(left) if any(x.strip() for x in left) else ""
+    return "\n".join(left) if any(x.strip(" \t\r\x0b\x0c") for x in left) else ""
 
 
 def _cut(text: str):
