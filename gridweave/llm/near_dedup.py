@@ -1,14 +1,18 @@
 """Near-duplicates by word shingles: pairs whose sets of five-word shingles have a Jaccard
-similarity of ``similarity`` or more, found by banded minima of hashed shingles and then verified.
+similarity of ``similarity`` or more, found by the trie join of wide SimHashes and then verified.
 
-At similarity 0.8 two 64-bit SimHashes differ in about ten bits, up to twenty; blocks that agree in full would
-then be three bits wide, and the trie join of op4 would compare nearly all pairs. So candidates
-come from ``BANDS`` bands of ``ROWS`` minima each: a pair of similarity s shares a band with
-probability 1 - (1 - s**ROWS)**BANDS, which is 0.99995 at 0.8. Every link is then verified by the
-exact similarity of the two texts, so documents that only collide stay apart.
+Two texts of similarity 0.8 have SimHashes that differ in 0.15 of their bits (the angle between
+the sets over pi), so a budget of four bits does not do. The stage has fingerprints of 127 bits over the
+distinct shingles and a budget of ``BUDGET`` bits. With so wide a budget, blocks that agree in full
+would be a few bits wide; so rows are dealt by random choices of bits instead, as many choices of
+as many bits as ``tables`` says for the number of texts: a pair at the similarity agrees on one of them with
+probability 1 - ``MISS``. Within a group of equal chosen bits, tries are joined with themselves (see simhash),
+between rows of similar size only: sets of unlike sizes can't be similar.
 
-Members of a band's bucket are first tried against the least of it. What that leaves in several
-components is tried pair by pair, so no bucket is capped and large clusters cost no square.
+What the join links is verified by the exact similarity of the two texts. First each group's
+components are linked as stars around the row nearest to the component's majority of bits, so a
+large cluster costs no square; then all pairs within the budget that verified links leave in
+different components are verified as well. No group is capped.
 
 Words are those of op4; a text of fewer words than a shingle has one shingle, the whole sequence;
 null and empty texts are equal.
@@ -16,6 +20,7 @@ null and empty texts are equal.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +33,21 @@ from .common import in_batches, stash
 from .components import connected_components
 from .line_dedup import grams_of
 from .members import member_filter, passes
-from .simhash import _SPACE
+from .simhash import _SPACE, PART_ROWS, Groups, deal, neighbour_links, slabs, trie_pairs
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5
-_MIX = np.random.default_rng(12).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+#: Differing bits of 127. At similarity 0.8 there are 19 on average, with a deviation of 4.
+BUDGET = 34
+#: Share of bits that pairs at the similarity differ in; a little more than on average, as few
+#: shingles give ties.
+_DIFFER = 0.17
+MISS = 1e-3
+#: Rows that a group has on average.
+GROUP_ROWS = 512
+#: Ratio of sizes between buckets, a little over 1 / 0.8: similar sets lie in one or in neighbours.
+_SIZES = 1.26
+_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -52,19 +66,28 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(grams_of(codes, min(shingle, max(1, len(words)))))
 
 
-def bands(held: np.ndarray) -> np.ndarray:
-    """One key per band."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(held), 2048):
-        x = held[at : at + 2048, None] * _MIX[0]
-        x ^= x >> np.uint64(32)
-        x *= _MIX[1]
-        np.minimum(low, x.min(axis=0), out=low)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for row in low.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """64 booleans: the bits that over half of the hashes have set, from the top."""
+    ones = np.zeros(64, np.int64)
+    for k, column in enumerate(hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T):
+        ones[8 * k : 8 * k + 8] = np.bincount(column, minlength=256) @ _BITS
+    return 2 * ones > len(hashes)
+
+
+def wide_fingerprint(held: np.ndarray) -> tuple[int, int]:
+    """The SimHash of distinct shingle hashes: 63 bits and 64 bits."""
+    other = held * np.uint64(0x9E3779B97F4A7C15)
+    other ^= other >> np.uint64(32)
+    other *= np.uint64(0xC2B2AE3D27D4EB4F)
+    other ^= other >> np.uint64(29)
+    high, low = (int.from_bytes(np.packbits(_majority(x)).tobytes(), "big") for x in (held, other))
+    return high & ((1 << 63) - 1), low
+
+
+def tables(rows: int, miss: float = MISS, group_rows: int = GROUP_ROWS) -> tuple[int, int]:
+    """(choices, bits of each) for so many rows: groups of about group_rows, and enough choices."""
+    bits = max(3, math.ceil(math.log2(max(1, rows) / group_rows)))
+    return math.ceil(math.log(miss) / math.log1p(-((1 - _DIFFER) ** bits))), bits
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -72,23 +95,106 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nodes, sizes, keys = [], [], []
+        out = []
         for t in b.column("text").cast(pa.binary()).to_pylist():
             words = words_of(t)
             held = shingles(words)
-            nodes.append(node_of(words))
-            sizes.append(len(held))
-            keys.append(bands(held).view(np.int64) if len(held) else np.zeros(0, np.int64))
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat, pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["doc", "h", "fp", "n", "keys"])
+            out.append((node_of(words), len(held), *wide_fingerprint(held)))
+        node, n, high, low = zip(*out) if out else ((),) * 4
+        bits = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)]
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *bits], names=["doc", "h", "fp", "n", "high", "low"])
+
 
+def fingerprinted(source: DataFrame) -> DataFrame:
+    """source: doc, h, text. Returns doc, h, fp (the node), n (shingles), high and low (SimHash)."""
+    return source.transform(in_batches, _fingerprinted, "doc long, h long, fp long, n long, high long, low long")
 
-def banded(source: DataFrame) -> DataFrame:
-    """source: doc, h, text. Returns doc, h, fp (the node), n (shingles) and keys (of bands)."""
-    return source.transform(in_batches, _banded, "doc long, h long, fp long, n long, keys array<long>")
+
+def _leads(choices: int, bits: int):
+    """The chosen bits of every choice."""
+    at = np.stack([1 + np.random.default_rng([12, k]).choice(127, bits, replace=False) for k in range(choices)])
+    powers = np.int64(1) << np.arange(bits)
+
+    def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.stack([b.column(c).to_numpy() for c in ("high", "low")], 1).astype(">i8")
+            each = np.unpackbits(words.view(np.uint8).reshape(-1, 16), axis=1)
+            lead = (each[:, at].astype(np.int64) * powers).sum(axis=2)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * choices, pa.int32()), pa.array(lead.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "leads"])
+
+    return do
+
+
+def _grouped(nodes: DataFrame, choices: int, bits: int, part_rows: int) -> DataFrame:
+    """nodes: fp, n, high, low and maybe root; every one once a choice, in groups (see deal)."""
+    kinds = ", ".join(f"{c} long" for c in nodes.columns)
+    led = nodes.transform(in_batches, _leads(choices, bits), f"{kinds}, leads array<long>")
+    rows = led.select(F.posexplode("leads").alias("block", "lead"), *nodes.columns, F.floor(F.log("n") / math.log(_SIZES)).cast("int").alias("bucket"))
+    return deal(rows, part_rows, "bucket", "high")
+
+
+def _roots(slab: list[tuple[int, int, int]], bucket: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Root ranges of the groups: rows of one size bucket with those of it and of the next one."""
+    out = []
+    for lo, mid, hi in slab:
+        sides = []
+        for a, b in ((lo, hi),) if mid < 0 else ((lo, mid), (mid, hi)):
+            edges = [a, *(a + 1 + np.flatnonzero(np.diff(bucket[a:b]))).tolist(), b]
+            sides.append({int(bucket[x]): (x, y) for x, y in zip(edges, edges[1:]) if y > x})
+        for k, own in sides[0].items():
+            for other in (k, k + 1) if mid < 0 else (k - 1, k, k + 1):
+                if other in sides[-1]:
+                    out.append((*own, *sides[-1][other]))
+    return out
+
+
+def _centre(high: np.ndarray, low: np.ndarray, node: np.ndarray, member: np.ndarray) -> int:
+    """The member nearest to the members' majority of bits; of equals the least node."""
+    middle = [_majority(x[member]) for x in (high, low)]
+    top, rest = (np.frombuffer(np.packbits(m).tobytes(), ">u8").astype(np.uint64)[0] for m in middle)
+    away = np.bitwise_count(high[member] ^ top) + np.bitwise_count(low[member] ^ rest).astype(np.int64)
+    return member[np.lexsort((node[member], away))[0]]
+
+
+def _joined(budget: int, similarity: float, stars: bool):
+    """Links (u, v) of nodes in a group: stars of the components, or all pairs of different roots."""
+
+    def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, slab in slabs(batches):
+            low_, high_ = slab[0][0], slab[-1][2]
+            part = table.slice(low_, high_ - low_)
+            node, n, bucket = (part.column(c).to_numpy() for c in ("fp", "n", "bucket"))
+            high, low = (part.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
+            slab = [(lo - low_, mid if mid < 0 else mid - low_, hi - low_) for lo, mid, hi in slab]
+
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = (np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j]).astype(np.int64) <= budget) & (node[i] != node[j])
+                return ok & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)  # noqa: B023
+
+            groups = Groups(len(node))
+            if stars:
+                groups.link(*neighbour_links(high, np.array([0, *(hi for _, _, hi in slab)]), budget, near))
+                groups.link(*trie_pairs(high, _roots(slab, bucket), 1, budget, groups, near))
+                order = np.argsort(groups.label, kind="stable")
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(groups.label[order])) + 1, [len(order)]])
+                u, v = [], []
+                for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+                    member = order[cuts[k] : cuts[k + 1]]
+                    centre = _centre(high, low, node, member)
+                    v.append(member[member != centre])
+                    u.append(np.full(len(member) - 1, centre))
+                i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+            else:
+                groups.label = np.unique(part.column("root").to_numpy(), return_inverse=True)[1]
+                i, j = trie_pairs(high, _roots(slab, bucket), 1, budget, groups, near, merge=False)
+            u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            both = np.unique(np.stack([u, v]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+
+    return do
 
 
 def _wanted(bits):
@@ -127,22 +233,19 @@ def verified(candidates: DataFrame, source: DataFrame, similarity: float, scope:
     return stash(both.select("u", "v", "text_u", "text_v").transform(in_batches, _alike(similarity), "u long, v long"), "near-links", scope)
 
 
-def similar_roots(held: DataFrame, source: DataFrame, scope: str, similarity: float = SIMILARITY) -> DataFrame:
-    """held: see banded. Returns (node, root) of each fp that has a link to another one."""
-    nodes = held.groupBy("fp", "n", "keys").count().select("fp", "n", F.explode("keys").alias("key"))
-    several = nodes.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    rows = stash(nodes.join(several, "key").select("key", "fp", "n", "first"), "near-buckets", scope)
-    sizes = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    star = rows.where((F.col("fp") != F.col("first.fp")) & sizes(F.col("n"), F.col("first.n"))).select(F.col("first.fp").alias("u"), F.col("fp").alias("v")).distinct()
-    star = stash(star, "near-stars", scope)
-    links = verified(star, source, similarity, scope)
+def similar_roots(held: DataFrame, source: DataFrame, scope: str, similarity: float = SIMILARITY, budget: int = BUDGET, part_rows: int = PART_ROWS) -> DataFrame:
+    """held: see fingerprinted. Returns (node, root) of each fp that has a link to another one."""
+    nodes = stash(held.where("n > 0").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "high", "low"))), "near-nodes", scope)
+    choices, bits = tables(nodes.count())
+    stars = stash(_grouped(nodes, choices, bits, part_rows).transform(in_batches, _joined(budget, similarity, True), "u long, v long").distinct(), "near-stars", scope)
+    links = verified(stars, source, similarity, scope)
     roots = connected_components(links, scope)
-    placed = rows.select("key", "fp", "n").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = stash(placed.join(apart, "key"), "near-apart", scope)
-    other = left.select("key", F.col("fp").alias("fp1"), F.col("n").alias("n1"), F.col("root").alias("root1"))
-    pairs = left.join(other, "key").where((F.col("fp") < F.col("fp1")) & (F.col("root") != F.col("root1")) & sizes(F.col("n"), F.col("n1"))).select(F.col("fp").alias("u"), F.col("fp1").alias("v")).distinct()
-    pairs = stash(pairs.join(star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "leftanti"), "near-pairs", scope)
+    # Who has no star has no one within the budget.
+    some = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    known = some.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    left = stash(nodes.join(known, F.col("fp") == F.col("node")).select("fp", "n", "high", "low", "root"), "near-left", scope)
+    pairs = _grouped(left, choices, bits, part_rows).transform(in_batches, _joined(budget, similarity, False), "u long, v long").distinct()
+    pairs = stash(pairs.join(stars, ["u", "v"], "leftanti"), "near-pairs", scope)
     if pairs.isEmpty():
         return roots
     return connected_components(links.unionByName(verified(pairs, source, similarity, scope)), scope)

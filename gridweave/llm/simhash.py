@@ -6,8 +6,11 @@ such choice of blocks the bits are reordered so that these lead, and fingerprint
 by them. n grows with the number of fingerprints (see choose_blocks). Within a
 group the trie over the sorted fingerprints is joined with itself: pairs of nodes descend
 together, differing bits add up, and a pair is dropped once they exceed the budget. A node is a
-range of the sorted array, so a level of all pairs is one numpy step. Groups of more than
-``group_rows`` are cut into hashed parts and every pair of parts becomes its own task, so no
+range of the sorted array, so a level of many pairs is one numpy step; where they grow too many
+they are halved and joined one half after the other. Links between neighbours in the sorted order
+are taken first, and a pair of nodes whose fingerprints are all in one component already is
+dropped, so dense groups cost no square. Groups of more than
+``part_rows`` are cut into hashed parts and every pair of parts becomes its own task, so no
 task holds a large group and none of its links is lost. Each task returns a spanning star for
 each of its components, never all pairs.
 
@@ -35,9 +38,14 @@ from .components import connected_components
 from .members import member_filter, passes
 from .occurrences import doc_key
 
+#: Rows of a group up to which more of them cost less than more tables of rows.
 GROUP_ROWS = 1500
-#: Node pairs (times rows) that one slab of groups may reach.
+#: Rows of a group that meet in one task; larger ones are cut.
+PART_ROWS = 8192
+#: Rows squared of the groups that are joined together.
 _SLAB = 8_000_000
+#: Node pairs of one step, and index pairs held before they are merged into components.
+_WIDE = 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = bytes(32 if i in b"\t\n\x0b\x0c\r" else x for i, x in enumerate(_LOWER))
 
@@ -87,13 +95,32 @@ def simhash(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     return documents(docs).transform(in_batches, _fingerprints(shingle, seed), "doc_id long, fp long")
 
 
-def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]], start: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+class Groups:
+    """Components of indices that are known to be linked."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.label = _labels(len(self.label), self.label[i], self.label[j])[self.label]
+
+    def settled(self, pairs: np.ndarray) -> np.ndarray:
+        """Which pairs of ranges lie in one component as a whole."""
+        turns = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
+        whole = (turns[pairs[:, 1] - 1] == turns[pairs[:, 0]]) & (turns[pairs[:, 3] - 1] == turns[pairs[:, 2]])
+        return whole & (self.label[pairs[:, 0]] == self.label[pairs[:, 2]])
+
+
+def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]], start: int, budget: int, groups: Groups | None = None, near=None, merge: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Joins tries over ``keys`` (uint64; each root range is sorted and shares its first
     ``start`` bits). roots: (lo, hi, lo, hi) of the two sides; equal sides are a self-join.
-    Returns the index pairs within ``budget`` differing bits."""
-    pairs = np.array(roots, np.int64).reshape(-1, 4)
-    error = np.zeros(len(pairs), np.int8)
+    Returns the index pairs within ``budget`` differing bits for which ``near(i, j)`` holds, if given.
+
+    With ``groups``, pairs inside a known component are left out; with ``merge`` what is found
+    joins components on the way, so that the pairs, together with those known, only span them."""
+    ones: dict[int, np.ndarray] = {}
     found: list[np.ndarray] = []
+    fresh: list[np.ndarray] = []
 
     def leaves(p: np.ndarray) -> None:
         wide, tall = p[:, 1] - p[:, 0], p[:, 3] - p[:, 2]
@@ -101,19 +128,55 @@ def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]], start:
         of = np.repeat(np.arange(len(p)), n)
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         i, j = p[of, 0] + k // tall[of], p[of, 2] + k % tall[of]
-        near = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & ((p[of, 0] != p[of, 2]) | (i < j))
-        found.append(np.stack([i[near], j[near]]))
-
-    for depth in range(start, 64):
+        ok = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & ((p[of, 0] != p[of, 2]) | (i < j))
+        i, j = i[ok], j[ok]
+        if groups is not None:
+            ok = groups.label[i] != groups.label[j]
+            i, j = i[ok], j[ok]
+        if near is not None:
+            ok = near(i, j)
+            i, j = i[ok], j[ok]
+        if len(i):
+            found.append(np.stack([i, j]))
+            fresh.append(found[-1])
+        if groups is not None and merge and sum(x.shape[1] for x in fresh) > _WIDE:
+            groups.link(*np.concatenate(fresh, axis=1))
+            fresh.clear()
+
+    first = np.array(roots, np.int64).reshape(-1, 4)
+    first = first[(first[:, 1] > first[:, 0]) & (first[:, 3] > first[:, 2])]
+    todo = [(start, first, np.zeros(len(first), np.int8))]
+    while todo:
+        depth, pairs, error = todo.pop()
+        if groups is not None and len(pairs):
+            open_ = ~groups.settled(pairs)
+            pairs, error = pairs[open_], error[open_]
         small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 12
         if small.any():
             leaves(pairs[small])
             pairs, error = pairs[~small], error[~small]
         if not len(pairs):
-            break
-        ones = np.concatenate([[0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int64)])
+            continue
+        if depth == 64:  # equal keys, many of them
+            for p in pairs:
+                for at in range(p[0], p[1], max(1, _WIDE // (p[3] - p[2]))):
+                    upto = min(p[1], at + max(1, _WIDE // (p[3] - p[2])))
+                    if p[0] != p[2]:
+                        leaves(np.array([[at, upto, p[2], p[3]]]))
+                    else:
+                        leaves(np.array([[at, upto, at, upto]]))
+                        if upto < p[1]:
+                            leaves(np.array([[at, upto, upto, p[1]]]))
+            continue
+        if len(pairs) > _WIDE:
+            half = len(pairs) // 2
+            todo += [(depth, pairs[half:], error[half:]), (depth, pairs[:half], error[:half])]
+            continue
+        if depth not in ones:
+            ones[depth] = np.concatenate([[0], np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1))]).astype(np.int64)
+        held = ones[depth]
         a0, a2, b0, b2 = pairs.T
-        a1, b1 = a2 - (ones[a2] - ones[a0]), b2 - (ones[b2] - ones[b0])
+        a1, b1 = a2 - (held[a2] - held[a0]), b2 - (held[b2] - held[b0])
         same = a0 == b0
         parts = [
             (np.stack([a0, a1, b0, b1], 1), error),
@@ -123,9 +186,7 @@ def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]], start:
         ]
         pairs, error = np.concatenate([p for p, _ in parts]), np.concatenate([e for _, e in parts])
         alive = (error <= budget) & (pairs[:, 1] > pairs[:, 0]) & (pairs[:, 3] > pairs[:, 2])
-        pairs, error = pairs[alive], error[alive]
-    for at in range(0, len(pairs), 4096):
-        leaves(pairs[at : at + 4096])
+        todo.append((depth + 1, pairs[alive], error[alive]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = np.concatenate(found, axis=1)
@@ -149,42 +210,61 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _slab_stars(keys: np.ndarray, groups: list[tuple[int, int, int]], start: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    roots = [(lo, hi, lo, hi) if mid < 0 else (lo, mid, mid, hi) for lo, mid, hi in groups]
-    i, j = trie_pairs(keys, roots, start, budget)
-    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-    label = _labels(len(used), back[: len(i)], back[len(i) :])
-    away = label != np.arange(len(used))
-    return used[away], used[label[away]]
+def neighbour_links(keys: np.ndarray, bounds: np.ndarray, budget: int, near=None, reach: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs up to ``reach`` places apart in one range of ``bounds`` that are within the budget."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) if len(bounds) > 1 else np.zeros(0, np.int64)
+    out = []
+    for step in range(1, min(reach, len(keys) - 1) + 1):
+        i = np.flatnonzero((of[step:] == of[:-step]) & (np.bitwise_count(keys[step:] ^ keys[:-step]) <= budget))
+        out.append(np.stack([i, i + step]))
+    i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    ok = near(i, j) if near is not None else slice(None)
+    return i[ok], j[ok]
+
+
+def _slab_stars(keys: np.ndarray, cuts: list[tuple[int, int, int]], start: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    low, high = cuts[0][0], cuts[-1][2]
+    keys = keys[low:high]
+    roots = [(lo - low, hi - low, lo - low, hi - low) if mid < 0 else (lo - low, mid - low, mid - low, hi - low) for lo, mid, hi in cuts]
+    groups = Groups(len(keys))
+    groups.link(*neighbour_links(keys, np.array([0, *(hi - low for _, _, hi in cuts)]), budget))
+    groups.link(*trie_pairs(keys, roots, start, budget, groups))
+    away = np.flatnonzero(groups.label != np.arange(len(keys)))
+    return away + low, groups.label[away] + low
 
 
 def _stars(start: int, budget: int):
     """Tasks arrive sorted by (block, lead, left, right, side, key): the group and its pair of parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ("block", "lead", "left", "right"), 100_000):
+        for table, slab in slabs(batches):
             key, fp = table.column("key").to_numpy().view(np.uint64), table.column("fp").to_numpy()
-            side = table.column("side").to_numpy()
-            cuts = group_bounds(table, ("block", "lead", "left", "right"))
-            turn = np.concatenate([[0], np.cumsum(side)])
-            groups, work = [], 0
-            for lo, hi, own in zip(cuts[:-1].tolist(), cuts[1:].tolist(), (turn[cuts[1:]] - turn[cuts[:-1]]).tolist()):
-                two = table.column("left")[lo] != table.column("right")[lo]
-                if hi - lo < 2 or two and own in (0, hi - lo):
-                    continue
-                groups.append((lo, hi - own if two else -1, hi))
-                work += (hi - lo) ** 2
-                if work > _SLAB:
-                    u, v = _slab_stars(key, groups, start, budget)
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], names=["u", "v"])
-                    groups, work = [], 0
-            if groups:
-                u, v = _slab_stars(key, groups, start, budget)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], names=["u", "v"])
+            u, v = _slab_stars(key, slab, start, budget)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[u]), pa.array(fp[v])], names=["u", "v"])
 
     return run
 
 
+def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int, int]]]]:
+    """Tables of whole groups of a task (see deal), with runs of groups to be joined together:
+    (begin, begin of the second side or -1, end), one after the other."""
+    names = ("block", "lead", "left", "right")
+    for table in whole_groups(batches, names, 100_000):
+        side = table.column("side").to_numpy()
+        cuts = group_bounds(table, names)
+        turn = np.concatenate([[0], np.cumsum(side)])
+        two = table.column("left").to_numpy()[cuts[:-1]] != table.column("right").to_numpy()[cuts[:-1]]
+        groups, work = [], 0
+        for lo, hi, own, cross in zip(cuts[:-1].tolist(), cuts[1:].tolist(), (turn[cuts[1:]] - turn[cuts[:-1]]).tolist(), two.tolist()):
+            groups.append((lo, hi - own if cross else -1, hi))
+            work += (hi - lo) ** 2
+            if work > _SLAB:
+                yield table, groups
+                groups, work = [], 0
+        if groups:
+            yield table, groups
+
+
 def _blocks(n: int) -> list[tuple[int, int]]:
     """(offset, width) of n blocks over 64 bits."""
     edges = [round(k * 64 / n) for k in range(n + 1)]
@@ -209,7 +289,19 @@ def _slice(offset: int, width: int, at: int) -> Column:
     return F.shiftleft(low, 64 - width - at)
 
 
-def near_links(fps: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS, blocks: int | None = None) -> DataFrame:
+def deal(rows: DataFrame, part_rows: int, *order: str) -> DataFrame:
+    """rows: block, lead (together the group), fp and more. Adds left, right and side: the pair of
+    parts of the group that meet, in whole groups sorted by side and ``order``."""
+    large = rows.groupBy("block", "lead").agg(F.count("*").alias("n_")).where(F.col("n_") > part_rows).select("block", "lead", F.ceil(F.col("n_") / part_rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    parted = rows.join(large, ["block", "lead"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
+    more = [c for c in rows.columns if c not in ("block", "lead")]
+    tasks = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "lead", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), (F.col("part") > F.col("other")).cast("int").alias("side"), *more)
+    n = least_partitions(rows.sparkSession)
+    return tasks.repartition(n, "block", "lead", "left", "right").sortWithinPartitions("block", "lead", "left", "right", "side", *order)
+
+
+def near_links(fps: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS, blocks: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """fps: distinct fingerprints in ``fp``. Returns (u, v) links that span every component of
     the graph whose edges are all pairs within ``budget`` bits."""
     cut = _blocks(blocks or choose_blocks(fps.count(), budget, group_rows))
@@ -221,12 +313,7 @@ def near_links(fps: DataFrame, budget: int = 4, group_rows: int = GROUP_ROWS, bl
         start = min(start, at[len(leading)])
         tables.append(F.struct(F.lit(k).alias("block"), key.alias("key"), F.shiftrightunsigned(key, 64 - at[len(leading)]).alias("lead")))
     rows = fps.select("fp", F.explode(F.array(*tables)).alias("t")).select("fp", "t.*")
-    large = rows.groupBy("block", "lead").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("block", "lead", F.ceil(F.col("n") / group_rows).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    parted = rows.join(large, ["block", "lead"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", part)
-    tasks = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "lead", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), (F.col("part") > F.col("other")).cast("int").alias("side"), "key", "fp")
-    n = least_partitions(fps.sparkSession)
-    dealt = tasks.repartition(n, "block", "lead", "left", "right").sortWithinPartitions("block", "lead", "left", "right", "side", "key")
+    dealt = deal(rows, part_rows, "key")
     return dealt.transform(in_batches, _stars(start, budget), "u long, v long")
 
 
@@ -255,15 +342,15 @@ def keep_one_each(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int
     """The table, all columns kept, with one document of each group of near-duplicates: the
     smallest doc_id (null last); of rows that repeat it, the smallest hash of the text; of rows
     that repeat both, any one. Only rows that may go are shuffled. With a ``similarity``, groups
-    are linked by it (see near_dedup), not by differing bits."""
-    from .near_dedup import banded, similar_roots
+    are linked by it, of five-word shingles (see near_dedup), not by differing bits alone."""
+    from .near_dedup import fingerprinted, similar_roots
 
     spark = docs.sparkSession
     source = documents(docs).withColumn("doc", doc_key(F.col("doc_id"))).withColumn("h", F.xxhash64("text")).select("doc", "h", "text")
     if similarity is None:
         held, roots = stash(source.transform(in_batches, _keyed_fingerprints(shingle, seed), "doc long, h long, fp long"), "simhash", scope), None
     else:
-        held = stash(banded(source), "bands", scope)
+        held = stash(fingerprinted(source), "wide-simhash", scope)
         roots = similar_roots(held, source, scope, similarity)
     classes = _classes(held.select(F.col("doc").alias("doc_id"), "fp"), budget, group_rows, scope, roots)
     keyed = held.groupBy("doc", "h", "fp").agg(F.count("*").alias("copies")).join(classes, "fp")

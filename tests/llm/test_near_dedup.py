@@ -1,7 +1,10 @@
 import random
 
-from gridweave.llm.near_dedup import SHINGLE
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from gridweave.llm.near_dedup import SHINGLE, fingerprinted, shingles, similar_roots, tables, wide_fingerprint, words_of
 
 from .helpers import classes, docs, words
 
@@ -30,3 +33,33 @@ def test_stage_against_brute_force(spark):
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, texts), "").collect()}
     assert got == {i for i in range(n) if own[i] == i}
     assert 30 < len(got) < n - 60
+
+
+@pytest.mark.parametrize("part_rows", [8192, 9])
+def test_one_dense_cluster(spark, part_rows):
+    """Copies of one text, two words changed in each: all are linked, in parts of a group too."""
+    rng = random.Random(8)
+    text = " ".join(words(rng, 150))
+    texts = [edited(rng, edited(rng, text, 1), 1) for _ in range(120)] + [" ".join(words(rng, 150)) for _ in range(20)]
+    source = docs(spark, texts).selectExpr("doc_id doc", "xxhash64(text) h", "text")
+    held = fingerprinted(source)
+    roots = {r.node: r.root for r in similar_roots(held, source, "dense", part_rows=part_rows).collect()}
+    node = {r.doc: r.fp for r in held.collect()}
+    assert len({roots.get(node[i], node[i]) for i in range(120)}) == 1 and all(node[i] not in roots for i in range(120, 140))
+
+
+def test_bits_that_differ():
+    rng = random.Random(2)
+    away = []
+    for _ in range(60):
+        text = " ".join(words(rng, 300))
+        held = [shingles(words_of(t.encode())) for t in (text, edited(rng, text, 29))]
+        (a, b), (c, d) = (wide_fingerprint(h) for h in held)
+        away.append((a ^ c).bit_count() + (b ^ d).bit_count())
+    assert 17 < np.mean(away) < 22 and max(away) <= 34
+
+
+def test_choices_grow_with_the_input():
+    got = [tables(n) for n in (0, 10**5, 10**7, 10**9)]
+    assert all(x <= y for x, y in zip(got, got[1:])) and got[0][1] == 3
+    assert all((1 - 0.83**bits) ** choices <= 1e-3 for choices, bits in got)

@@ -11,7 +11,7 @@ from gridweave.llm.simhash import fingerprint, keep_one_each
 from .helpers import DOCS, classes, docs, odd_docs, words
 from .test_decontamination import brute as brute_hits
 from .test_line_dedup import brute as brute_windows
-from .test_simhash import plain_fingerprint
+from .test_near_dedup import brute_jaccard
 from .test_tokens import ids_of
 
 LANGS = {"aa": ["ka", "to", "mi", "ru"], "bb": ["sche", "eng", "urt", "pfi"]}
@@ -63,8 +63,7 @@ def test_whole_run(spark, corpus):
     assert 62 not in lines
     # Near-duplicates: one of each class stays, the smallest.
     ids = sorted(lines)
-    prints = [plain_fingerprint(lines[d]) for d in ids]
-    own = classes(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    own = classes(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if brute_jaccard(lines[ids[i]].lower(), lines[ids[j]].lower()) >= 0.8])
     near = stages["SimHash near-dedup"]
     assert set(near) == {ids[i] for i in range(len(ids)) if own[i] == i} and 64 not in near
     # Decontamination: documents with a window of an item go, no others.
