@@ -12,7 +12,8 @@ between rows of similar size only: sets of unlike sizes can't be similar.
 What the join links is verified by the exact similarity of the two texts. First each group's
 components are linked as stars around the row nearest to the component's majority of bits, so a
 large cluster costs no square; then all pairs within the budget that verified links leave in
-different components are verified as well. No group is capped.
+different components are verified as well, if ``MORE`` further words of SimHash, which only the rows
+that have a partner get, don't rule the similarity out. No group is capped.
 
 Words are those of op4; a text of fewer words than a shingle has one shingle, the whole sequence;
 null and empty texts are equal.
@@ -47,6 +48,11 @@ MISS = 1e-3
 GROUP_ROWS = 512
 #: Ratio of sizes between buckets, a little over 1 / 0.8: similar sets lie in one or in neighbours.
 _SIZES = 1.26
+#: Further 64-bit words of SimHash, and the differing bits of all that rule a pair out: over three deviations
+#: more than similarity 0.8 has (few shingles have more of them, by ties).
+MORE = 32
+_MOST, _MOST_OF_FEW, _FEW = 386, 440, 32
+_SEEDS = np.random.default_rng(13).integers(1, 1 << 63, (MORE, 1), np.uint64) | np.uint64(1)
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
 
@@ -84,6 +90,18 @@ def wide_fingerprint(held: np.ndarray) -> tuple[int, int]:
     return high & ((1 << 63) - 1), low
 
 
+def further_words(held: np.ndarray) -> bytes:
+    """MORE words of SimHash of distinct shingle hashes."""
+    ones = np.zeros((MORE, 64), np.int64)
+    for at in range(0, len(held), 1024):
+        x = held[at : at + 1024] * _SEEDS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8).reshape(MORE, -1, 8), axis=2).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > len(held), axis=1).tobytes()
+
+
 def tables(rows: int, miss: float = MISS, group_rows: int = GROUP_ROWS) -> tuple[int, int]:
     """(choices, bits of each) for so many rows: groups of about group_rows, and enough choices."""
     bits = max(3, math.ceil(math.log2(max(1, rows) / group_rows)))
@@ -112,9 +130,21 @@ def fingerprinted(source: DataFrame) -> DataFrame:
     return source.transform(in_batches, _fingerprinted, "doc long, h long, fp long, n long, high long, low long")
 
 
+def _chosen(choices: int, bits: int) -> np.ndarray:
+    """The places, of 128 from the top of high on, of each choice's bits; the top one is never set."""
+    return np.stack([1 + np.random.default_rng([12, k]).choice(127, bits, replace=False) for k in range(choices)])
+
+
+def _masks(choices: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each choice's bits as masks of high and of low."""
+    each = np.zeros((choices, 128), np.uint8)
+    np.put_along_axis(each, _chosen(choices, bits), 1, axis=1)
+    return tuple(np.packbits(each, axis=1).view(">u8").astype(np.uint64).T)
+
+
 def _leads(choices: int, bits: int):
     """The chosen bits of every choice."""
-    at = np.stack([1 + np.random.default_rng([12, k]).choice(127, bits, replace=False) for k in range(choices)])
+    at = _chosen(choices, bits)
     powers = np.int64(1) << np.arange(bits)
 
     def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +159,8 @@ def _leads(choices: int, bits: int):
 
 
 def _grouped(nodes: DataFrame, choices: int, bits: int, part_rows: int) -> DataFrame:
-    """nodes: fp, n, high, low and maybe root; every one once a choice, in groups (see deal)."""
-    kinds = ", ".join(f"{c} long" for c in nodes.columns)
+    """nodes: fp, n, high, low and maybe root and more; every one once a choice, in groups (see deal)."""
+    kinds = ", ".join(f"{c} {kind}" for c, kind in nodes.dtypes)
     led = nodes.transform(in_batches, _leads(choices, bits), f"{kinds}, leads array<long>")
     rows = led.select(F.posexplode("leads").alias("block", "lead"), *nodes.columns, F.floor(F.log("n") / math.log(_SIZES)).cast("int").alias("bucket"))
     return deal(rows, part_rows, "bucket", "high")
@@ -159,8 +189,10 @@ def _centre(high: np.ndarray, low: np.ndarray, node: np.ndarray, member: np.ndar
     return member[np.lexsort((node[member], away))[0]]
 
 
-def _joined(budget: int, similarity: float, stars: bool):
-    """Links (u, v) of nodes in a group: stars of the components, or all pairs of different roots."""
+def _joined(budget: int, similarity: float, choices: int, bits: int, stars: bool):
+    """Links (u, v) of nodes in a group: stars of the components, or all pairs of different roots,
+    each by the first choice that both agree on."""
+    of_high, of_low = _masks(choices, bits)
 
     def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, slab in slabs(batches):
@@ -168,12 +200,23 @@ def _joined(budget: int, similarity: float, stars: bool):
             part = table.slice(low_, high_ - low_)
             node, n, bucket = (part.column(c).to_numpy() for c in ("fp", "n", "bucket"))
             high, low = (part.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
+            block = part.column("block").to_numpy()
             slab = [(lo - low_, mid if mid < 0 else mid - low_, hi - low_) for lo, mid, hi in slab]
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 ok = (np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j]).astype(np.int64) <= budget) & (node[i] != node[j])
                 return ok & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)  # noqa: B023
 
+            def nearer(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = np.flatnonzero(near(i, j))
+                p, q, own = high[i[ok]] ^ high[j[ok]], low[i[ok]] ^ low[j[ok]], block[i[ok]]  # noqa: B023
+                for k in range(own.max(initial=0)):
+                    new = (own <= k) | (p & of_high[k] | q & of_low[k] != 0)
+                    ok, p, q, own = ok[new], p[new], q[new], own[new]
+                i, j = i[ok], j[ok]
+                away = np.bitwise_count(more[i] ^ more[j]).sum(axis=1, dtype=np.int64) + np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j])  # noqa: B023
+                return ok[away <= np.where(np.minimum(n[i], n[j]) < _FEW, _MOST_OF_FEW, _MOST)]  # noqa: B023
+
             groups = Groups(len(node))
             if stars:
                 groups.link(*neighbour_links(high, np.array([0, *(hi for _, _, hi in slab)]), budget, near))
@@ -189,7 +232,8 @@ def _joined(budget: int, similarity: float, stars: bool):
                 i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
             else:
                 groups.label = np.unique(part.column("root").to_numpy(), return_inverse=True)[1]
-                i, j = trie_pairs(high, _roots(slab, bucket), 1, budget, groups, near, merge=False)
+                more = np.frombuffer(b"".join(part.column("more").to_pylist()), np.uint64).reshape(-1, MORE)
+                i, j = trie_pairs(high, _roots(slab, bucket), 1, budget, groups, nearer, merge=False)
             u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             both = np.unique(np.stack([u, v]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
@@ -222,14 +266,23 @@ def _alike(similarity: float):
     return do
 
 
-def verified(candidates: DataFrame, source: DataFrame, similarity: float, scope: str) -> DataFrame:
-    """The candidates (u, v) whose texts are as similar."""
-    spark = source.sparkSession
-    ends = candidates.select("u").unionByName(candidates.select(F.col("v").alias("u")))
-    bits = spark.sparkContext.broadcast(member_filter(ends))
+def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        more = [further_words(shingles(words_of(t))) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(more, pa.binary())], names=["fp", "more"])
+
+
+def _texts(links: DataFrame, source: DataFrame, scope: str) -> DataFrame:
+    """fp, text of the nodes of some links (u, v); of a node's texts, the least."""
+    ends = links.select("u").unionByName(links.select(F.col("v").alias("u")))
+    bits = source.sparkSession.sparkContext.broadcast(member_filter(ends))
     texts = source.transform(in_batches, _wanted(bits), "fp long, text string").join(ends.distinct(), F.col("fp") == F.col("u"), "leftsemi")
-    one = stash(texts.groupBy("fp").agg(F.min("text").alias("text")), "near-texts", scope)
-    both = candidates.join(one.select(F.col("fp").alias("u"), F.col("text").alias("text_u")), "u").join(one.select(F.col("fp").alias("v"), F.col("text").alias("text_v")), "v")
+    return stash(texts.groupBy("fp").agg(F.min("text").alias("text")), "near-texts", scope)
+
+
+def _verified(links: DataFrame, texts: DataFrame, similarity: float, scope: str) -> DataFrame:
+    """The links whose texts are as similar."""
+    both = links.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("text_v")), "v")
     return stash(both.select("u", "v", "text_u", "text_v").transform(in_batches, _alike(similarity), "u long, v long"), "near-links", scope)
 
 
@@ -237,15 +290,15 @@ def similar_roots(held: DataFrame, source: DataFrame, scope: str, similarity: fl
     """held: see fingerprinted. Returns (node, root) of each fp that has a link to another one."""
     nodes = stash(held.where("n > 0").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "high", "low"))), "near-nodes", scope)
     choices, bits = tables(nodes.count())
-    stars = stash(_grouped(nodes, choices, bits, part_rows).transform(in_batches, _joined(budget, similarity, True), "u long, v long").distinct(), "near-stars", scope)
-    links = verified(stars, source, similarity, scope)
-    roots = connected_components(links, scope)
+    stars = stash(_grouped(nodes, choices, bits, part_rows).transform(in_batches, _joined(budget, similarity, choices, bits, True), "u long, v long").distinct(), "near-stars", scope)
+    texts = _texts(stars, source, scope)
+    roots = connected_components(_verified(stars, texts, similarity, scope), scope)
     # Who has no star has no one within the budget.
-    some = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
-    known = some.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    left = stash(nodes.join(known, F.col("fp") == F.col("node")).select("fp", "n", "high", "low", "root"), "near-left", scope)
-    pairs = _grouped(left, choices, bits, part_rows).transform(in_batches, _joined(budget, similarity, False), "u long, v long").distinct()
+    some = texts.transform(in_batches, _further, "fp long, more binary").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "more", F.coalesce("root", "fp").alias("root"))
+    left = stash(nodes.join(some, "fp").select("fp", "n", "high", "low", "root", "more"), "near-left", scope)
+    pairs = _grouped(left, choices, bits, part_rows).transform(in_batches, _joined(budget, similarity, choices, bits, False), "u long, v long")
     pairs = stash(pairs.join(stars, ["u", "v"], "leftanti"), "near-pairs", scope)
     if pairs.isEmpty():
         return roots
-    return connected_components(links.unionByName(verified(pairs, source, similarity, scope)), scope)
+    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return connected_components(known.unionByName(_verified(pairs, texts, similarity, scope)), scope)

@@ -114,7 +114,8 @@ class Groups:
 def trie_pairs(keys: np.ndarray, roots: list[tuple[int, int, int, int]], start: int, budget: int, groups: Groups | None = None, near=None, merge: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Joins tries over ``keys`` (uint64; each root range is sorted and shares its first
     ``start`` bits). roots: (lo, hi, lo, hi) of the two sides; equal sides are a self-join.
-    Returns the index pairs within ``budget`` differing bits for which ``near(i, j)`` holds, if given.
+    Returns the index pairs within ``budget`` differing bits of which ``near(i, j)`` is true, if given
+    (a mask or the places of those pairs).
 
     With ``groups``, pairs inside a known component are left out; with ``merge`` what is found
     joins components on the way, so that the pairs, together with those known, only span them."""
