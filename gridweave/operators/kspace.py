@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +89,38 @@ def viewshare(kspace: DataFrame, frames: int) -> DataFrame:
     return picked.join(source, ["x", "y", "z", "t_src"]).select("x", "y", "z", "coil", "t", "t_src", "re", "im")
 
 
+#: Bins of a pass of quantile_scale, and values of a bin that are sorted by themselves.
+_BINS, _FEW = 4096, 100_000
+
+
 def quantile_scale(values: DataFrame, magnitude: Column, q: float = 0.99) -> DataFrame:
-    """One row (scale): the exact, interpolated quantile of the magnitude."""
-    return values.agg(F.percentile(magnitude, F.lit(q)).alias("scale"))
+    """One row (scale): the exact, interpolated quantile of the magnitude; null without values.
+
+    The bins that hold the two order statistics are cut into finer ones, a pass over the values each,
+    until few values are left in them; only counts of bins and those few leave a task."""
+    spark = values.sparkSession
+    rows = values.select(magnitude.cast("double").alias("m")).where("m is not null")
+    low, high, n = rows.agg(F.min("m"), F.max("m"), F.count("m")).first()
+    if not n:
+        return spark.createDataFrame([(None,)], "scale double")
+    place = q * (n - 1)
+    below, left = 0, n
+    while left > _FEW and low < high:
+        step = (high - low) / _BINS
+        if low + step == low:
+            break
+        at = F.least(F.floor((F.col("m") - F.lit(low)) / F.lit(step)), F.lit(_BINS - 1)).cast("int")
+        counts = rows.where(F.col("m").between(low, high)).groupBy(at.alias("b")).agg(F.count("m").alias("n"), F.min("m").alias("low"), F.max("m").alias("high")).orderBy("b").collect()
+        held, chosen = below, []
+        for r in counts:
+            if held + r.n > math.floor(place) and held <= math.ceil(place):
+                chosen.append((held, r))
+            held += r.n
+        below, low, high, left, before = chosen[0][0], chosen[0][1].low, chosen[-1][1].high, sum(r.n for _, r in chosen), left
+        if left == before:
+            break
+    inside = rows.where(F.col("m").between(low, high))
+    return inside.agg(F.percentile("m", F.lit(min(1.0, max(0.0, (place - below) / max(1, left - 1))))).alias("scale"))
 
 
 def normalise(kspace: DataFrame, scale: float) -> DataFrame:

@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.complexes import array_dot
 from gridweave.operators.patches import Patches, combine_packed, extract
+from gridweave.schema import require
 
 #: Voxels of a patch up to which it is decomposed in one task.
 GROUPED_ROWS = 4096
-#: Below this ratio of threshold to leading singular value the Gram form loses accuracy.
-GRAM_RATIO = 1e-6
 PACKED = "x int, y int, z int, re array<double>, im array<double>"
 
 
@@ -117,21 +116,24 @@ def _spectrum(flat) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(np.maximum(w, 0)), v
 
 
-def threshold_gram(patches: DataFrame, beta: float) -> DataFrame:
+def threshold_gram(patches: DataFrame, beta: float | DataFrame) -> DataFrame:
     """Large patches: rows times V diag(max(s - beta, 0) / s) V^H, the spectral function of the
-    Gram matrix, one small matrix a patch. Falls below GRAM_RATIO only with a ValueError."""
+    Gram matrix, one small matrix a patch; beta: one threshold, or a table (patch_id, beta).
+
+    The factors lie between 0 and 1, so what a Gram matrix can't tell of singular values below 1e-8
+    of the leading one changes the result by no more than those values, whatever the threshold."""
 
     def function(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for patch, flat in zip(pdf["patch_id"], pdf["g"]):
+        for patch, flat, b in zip(pdf["patch_id"], pdf["g"], pdf["beta"]):
             s, v = _spectrum(flat)
-            if 0 < beta < GRAM_RATIO * s.max(initial=0):
-                raise ValueError("threshold too small for the Gram form; use grouped patches")
-            h = (v * np.divide(np.maximum(s - beta, 0), s, out=np.zeros_like(s), where=s > 0)) @ v.conj().T
+            h = (v * np.divide(np.maximum(s - b, 0), s, out=np.zeros_like(s), where=s > 0)) @ v.conj().T
             out.append((patch, _pack(h)))
         return pd.DataFrame(out, columns=["patch_id", "h"])
 
-    functions = gram(patches).mapInPandas(lambda frames: map(function, frames), "patch_id int, h array<double>")
+    matrices = gram(patches)
+    matrices = matrices.join(beta, "patch_id").select("patch_id", "g", "beta") if isinstance(beta, DataFrame) else matrices.withColumn("beta", F.lit(float(beta)))
+    functions = matrices.mapInPandas(lambda frames: map(function, frames), "patch_id int, h array<double>")
     joined = patches.select("patch_id", "x", "y", "z", "re", "im").join(functions, "patch_id")
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,14 +151,16 @@ def patch_svst(series: DataFrame, geometry: Patches, beta: float | DataFrame, *,
 
     beta: one threshold, or a table (patch_id, beta). Voxels in no patch become zero.
     """
-    if isinstance(beta, DataFrame):
-        found = combine_packed(threshold_grouped(extract(series, geometry).join(beta, "patch_id"), None), geometry)
+    require(series, "x", "y", "z", "re[", "im[")
+    patches = extract(series, geometry)
+    table = isinstance(beta, DataFrame)
+    if geometry.volume > grouped_rows:
+        found = combine_packed(threshold_gram(patches, beta), geometry)
     elif geometry.volume == 1:
-        found = shrink_voxels(extract(series, geometry), beta).select("x", "y", "z", "re", "im")
+        held = patches.join(beta, "patch_id") if table else patches
+        found = shrink_voxels(held, F.col("beta") if table else beta).select("x", "y", "z", "re", "im")
     else:
-        patches = extract(series, geometry)
-        large = geometry.volume > grouped_rows and beta > 0
-        found = combine_packed(threshold_gram(patches, beta) if large else threshold_grouped(patches, beta), geometry)
+        found = combine_packed(threshold_grouped(patches.join(beta, "patch_id"), None) if table else threshold_grouped(patches, beta), geometry)
     return found if geometry.covers else _zero_elsewhere(found, series)
 
 
@@ -176,6 +180,7 @@ def _zero_elsewhere(found: DataFrame, series: DataFrame) -> DataFrame:
 
 def nuclear_norms(patches: DataFrame, *, volume: int, grouped_rows: int = GROUPED_ROWS) -> DataFrame:
     """(patch_id, nn, lead): the sum of singular values and the largest one of each patch."""
+    require(patches, "patch_id", "re[", "im[")
     if volume == 1:
         norm = F.sqrt(array_dot(F.col("re"), F.col("re")) + array_dot(F.col("im"), F.col("im")))
         return patches.select("patch_id", norm.alias("nn"), norm.alias("lead"))

@@ -100,8 +100,9 @@ class SenseOp:
         return coils, np.stack([_volume(pdf[pdf["coil"] == c], self.grid) for c in coils])
 
     def gradient(self, image: DataFrame, samples: DataFrame) -> DataFrame:
-        """A^H (A x - y); samples hold the mask's cells. With small maps all of it happens frame by frame in one task each (one
-        shuffle of either side by t); else as forward, residual and adjoint."""
+        """A^H (A x - y) on the mask's cells; a cell without a sample has zero, samples elsewhere don't
+        count. With small maps all of it happens frame by frame in one task each (one shuffle of
+        either side by t, the mask's cells as rows of coil 0); else as forward, residual and adjoint."""
         if not self.small_maps():
             return self.adjoint(self.residual(image, samples))
         held = image.sparkSession.sparkContext.broadcast(self._map_array())
@@ -110,13 +111,18 @@ class SenseOp:
         def frame(key, own: pd.DataFrame, measured: pd.DataFrame) -> pd.DataFrame:
             coils, maps = held.value
             spectra = centred(maps * _volume(own, shape), forward=forward, norm=norms[0])
-            out = np.zeros_like(spectra)
-            at = (np.searchsorted(coils, measured["coil"]), measured["x"], measured["y"], measured["z"])
-            out[at] = spectra[at] - (measured["re"].to_numpy() + 1j * measured["im"].to_numpy())
+            cells, measured = measured[measured["coil"] == 0], measured[measured["coil"].isin(coils)]
+            inside = np.zeros(shape, bool)
+            inside[cells["x"], cells["y"], cells["z"]] = True
+            out = spectra.copy()
+            out[np.searchsorted(coils, measured["coil"]), measured["x"], measured["y"], measured["z"]] -= measured["re"].to_numpy() + 1j * measured["im"].to_numpy()
+            out *= inside
             back = centred(out, forward=not forward, norm=norms[1])
             return _cells((maps.conj() * back).sum(axis=0), t=key[0])[["x", "y", "z", "t", "re", "im"]]
 
-        return image.groupBy("t").cogroup(samples.groupBy("t")).applyInPandas(frame, _IMAGE)
+        zero = F.lit(0.0)
+        marked = samples.select("x", "y", "z", "coil", "t", "re", "im").unionByName(self.mask.select("x", "y", "z", F.lit(0).alias("coil"), "t", zero.alias("re"), zero.alias("im")))
+        return image.groupBy("t").cogroup(marked.groupBy("t")).applyInPandas(frame, _IMAGE)
 
 
 def sense_combine(kspace: DataFrame, maps: DataFrame, grid: tuple[int, int, int]) -> DataFrame:

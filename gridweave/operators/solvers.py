@@ -77,7 +77,8 @@ def solve(
     mode: pgm (proximal gradient), fpgm (with momentum) or pogm (optimised momentum). restart: gr
     (by the generalised gradient), fr (by the cost, which is evaluated only then) or none.
     ``conjugate`` uses true inner products in the restart test; without it complex entries are
-    multiplied as they are. ``parity_alias`` treats the proximal point and its argument as one
+    multiplied as they are. ``bsig`` scales the momentum down where two generalised gradients point
+    apart, in the optimised method with a restart rule. ``parity_alias`` treats the proximal point and its argument as one
     array, as implementations with an overwriting proximal map do.
     """
     if mode not in ("pgm", "fpgm", "pogm"):
@@ -86,7 +87,7 @@ def solve(
         raise ValueError(f"no restart rule {restart!r}")
     if restart == "fr" and cost is None:
         raise ValueError("restart by the cost needs the cost")
-    if lipschitz <= 0 or mu < 0 or mu >= lipschitz or iterations < 0 or bsig > 1 or not -1 < cutoff < 1:
+    if lipschitz <= 0 or mu < 0 or mu >= lipschitz or iterations < 0 or bsig < 0 or not -1 < cutoff < 1:
         raise ValueError("settings out of range")
     prox = prox or (lambda x, c: x)
     scratch = Scratch(x0.sparkSession, "solver")
@@ -132,9 +133,9 @@ def solve(
             now = cost(_iterate(work, keys, "x2" if mode == "pogm" else "y2"))
             again, held = now > held, now
             turned = bsig != 1 and work.agg(_real_dot("g2", "g", conjugate).alias("s")).first().s < 0
-        elif restart == "gr" or bsig != 1:
+        elif restart == "gr":
             r = work.agg(_real_dot("g2", "step", conjugate).alias("d"), _norm2("g2").alias("a"), _norm2("step").alias("b"), _real_dot("g2", "g", conjugate).alias("s")).first()
-            again = restart == "gr" and -r.d <= cutoff * math.sqrt(r.a * r.b)
+            again = -r.d <= cutoff * math.sqrt(r.a * r.b)
             turned = r.s < 0
         else:
             turned = False

@@ -6,20 +6,21 @@ are irregular samples of users by day.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import complexes as cx
-from gridweave.functions.scalars import threshold_weight_column
+from gridweave.functions.scalars import lipschitz, strongly_convex_momentum, threshold_weight_column
 from gridweave.operators import analysis, kspace as ks, lowrank, patches as pt
 from gridweave.operators.fourier import dft
 from gridweave.operators.sense import SenseOp, sense_combine
 from gridweave.operators.solvers import power_iteration, solve
 from gridweave.plans.pipeline import reconstruct
-from gridweave.schema import EPS32, ReconConfig
-from gridweave.sources.grids import FRAMES, complex_series, event_grid, grid_of, packed_series, voxel_series
+from gridweave.schema import EPS32, PARAMETER_SETS, ReconConfig, require
+from gridweave.sources.grids import FRAMES, complex_series, event_grid, grid_of, packed_series, two_frames, voxel_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -218,33 +219,63 @@ def svst_perpatch(spark, d):
     return _pair_cells(lowrank.threshold_two_voxels(_pairs(spark, d).withColumn("beta", F.lit(1.0) + F.col("patch_id") % 3), F.col("beta")))
 
 
-def _two_along_y(spark, d) -> pt.Patches:
-    return _geometry(spark, d, (1, 2, 1), (1, 2, 1), "drop_tail")
+PLANE = (3, 4)
 
 
 def svst2d_contrast(spark, d):
-    return rounded(_long(lowrank.patch_svst_2d(packed_series(spark, d).withColumn("im", F.transform("im", lambda v: F.lit(0.0))), grid_of(spark, d), (2, 1), (2, 1), 0.3)), "re", "im")
+    return rounded(_long(lowrank.patch_svst_2d(two_frames(spark, d), grid_of(spark, d), PLANE, (2, 3), 0.3)), "re", "im")
 
 
 def patch_svst_grouped(spark, d):
-    """General patches against the closed form of two voxels."""
-    p = packed_series(spark, d).withColumn("im", F.transform("im", lambda v: F.lit(0.0)))
-    return rounded(_long(lowrank.patch_svst(p, _geometry(spark, d, (1, 2, 1), (1, 2, 1)), BETA)), "re", "im")
+    """Disjoint patches, thresholded low enough that singular values stay."""
+    return rounded(_long(lowrank.patch_svst(two_frames(spark, d), _geometry(spark, d, (2, 5, 1), (2, 5, 1)), BETA / 4)), "re", "im")
 
 
 def patch_svst_general(spark, d):
-    return rounded(_long(lowrank.patch_svst(packed_series(spark, d), _geometry(spark, d), BETA)), "re", "im")
+    """Overlapping patches of complex series. Two frames, each a sum over the whole vector, so that SQL has the
+    singular values in closed form."""
+    return rounded(_long(lowrank.patch_svst(two_frames(spark, d), _geometry(spark, d), BETA)), "re", "im")
+
+
+def patch_svst_by_patch(spark, d):
+    g = _geometry(spark, d)
+    betas = spark.range(g.count).select(F.col("id").cast("int").alias("patch_id"), (F.lit(0.5) + F.col("id") % 5).alias("beta"))
+    return rounded(_long(lowrank.patch_svst(two_frames(spark, d), g, betas)), "re", "im")
 
 
 def nucnorm_general(spark, d):
     g = _geometry(spark, d)
-    return rounded(lowrank.nuclear_norms(pt.extract(packed_series(spark, d), g), volume=g.volume), "nn", "lead")
+    return rounded(lowrank.nuclear_norms(pt.extract(two_frames(spark, d), g), volume=g.volume), "nn", "lead")
 
 
 def svst_global_gram(spark, d):
     """One patch over the whole volume, by its Gram matrix."""
     grid = grid_of(spark, d)
-    return rounded(_long(lowrank.patch_svst(packed_series(spark, d), pt.Patches(grid, grid, grid), BETA, grouped_rows=1)), "re", "im")
+    return rounded(_long(lowrank.patch_svst(two_frames(spark, d), pt.Patches(grid, grid, grid), BETA, grouped_rows=1)), "re", "im")
+
+
+def gram_matrices(spark, d):
+    """Gram matrices of overlapping patches, all frames: patch_id, k, v, real parts row by row, then imaginary ones."""
+    g = lowrank.gram(pt.extract(packed_series(spark, d), _geometry(spark, d)))
+    return g.select("patch_id", F.posexplode("g").alias("k", "v")).withColumn("v", F.round("v", 5) + F.lit(0.0))
+
+
+def svst_all_frames(spark, d):
+    """Overlapping patches, all frames; singular values have no closed form here."""
+    return rounded(_long(lowrank.patch_svst(packed_series(spark, d), _geometry(spark, d), BETA)), "re", "im")
+
+
+def packed_lengths(spark, d):
+    """The schema of packed series, checked, and how many series have how many frames."""
+    p = packed_series(spark, d)
+    require(p, "x", "y", "z", "re[", "im[")
+    return p.groupBy(F.size("re").alias("n_re"), F.size("im").alias("n_im")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def step_bounds(spark, d):
+    """Lipschitz bounds of the parameter sets: number of scales times the squared norm of the encoding."""
+    rows = [(name, c.scales, c.frames, c.coils, c.iterations, lipschitz(c.scales, c.sigma1)) for name, c in sorted(PARAMETER_SETS.items())]
+    return spark.createDataFrame(rows, "name string, scales int, frames int, coils int, iterations int, bound double")
 
 
 # --- Fourier ---------------------------------------------------------------------------------------
@@ -266,21 +297,16 @@ def _maps(spark, d) -> DataFrame:
     return cells.select("x", "y", "z", "coil", (F.lit(1.0) + F.col("coil") * F.col("x") * 0.1).alias("re"), (F.col("coil") * F.col("y") * 0.05).alias("im"))
 
 
-def _cells(spark, d) -> DataFrame:
-    """Eight frames of the complex series, four values apart."""
-    return complex_series(spark, d).where("t % 4 = 1").withColumn("t", F.floor((F.col("t") - 1) / 4).cast("int") + 1)
-
-
 _SAMPLED = "(x + 2 * y + 3 * z + t) % 3 <> 0"
 
 
 def _measured(spark, d) -> DataFrame:
-    rows = _cells(spark, d).where(_SAMPLED).withColumn("coil", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = complex_series(spark, d).where(_SAMPLED).withColumn("coil", F.explode(F.array(F.lit(1), F.lit(2))))
     return rows.select("x", "y", "z", "coil", "t", (F.col("re") * F.col("coil")).alias("re"), "im")
 
 
 def _op(spark, d) -> SenseOp:
-    return SenseOp(grid_of(spark, d), _cells(spark, d).where(_SAMPLED).select("x", "y", "z", "t"), _maps(spark, d))
+    return SenseOp(grid_of(spark, d), complex_series(spark, d).where(_SAMPLED).select("x", "y", "z", "t"), _maps(spark, d))
 
 
 def sense_comb(spark, d):
@@ -288,7 +314,7 @@ def sense_comb(spark, d):
 
 
 def sense_forward(spark, d):
-    return rounded(_op(spark, d).forward(_cells(spark, d)), "re", "im")
+    return rounded(_op(spark, d).forward(complex_series(spark, d)), "re", "im")
 
 
 def sense_adjoint(spark, d):
@@ -296,7 +322,7 @@ def sense_adjoint(spark, d):
 
 
 def dc_gradient(spark, d):
-    return rounded(_op(spark, d).gradient(_cells(spark, d), _measured(spark, d)), "re", "im")
+    return rounded(_op(spark, d).gradient(complex_series(spark, d), _measured(spark, d)), "re", "im")
 
 
 # --- solvers -------------------------------------------------------------------------------------------
@@ -311,19 +337,37 @@ def power_iteration_diagonal(spark, d):
     return spark.range(1).select(F.round(F.lit(value), 6).alias("sigma1"))
 
 
-def _identity(mode: str, restart: str) -> Query:
+#: Cases of the solver: method, restart rule, strong convexity, momentum scaling, iterations.
+SOLVES = {
+    "pgm_iterates": ("pgm", "none", 0.0, 1.0, 4),
+    "pgm_strongly_convex": ("pgm", "gr", 0.25, 1.0, 4),
+    "fpgm_iterates": ("fpgm", "gr", 0.0, 1.0, 5),
+    "fpgm_cost_restart": ("fpgm", "fr", 0.0, 1.0, 5),
+    "fpgm_strongly_convex": ("fpgm", "none", 0.25, 1.0, 5),
+    "pogm_iterates": ("pogm", "gr", 0.0, 0.5, 5),
+    "pogm_no_restart": ("pogm", "none", 0.0, 0.5, 5),
+    "pogm_cost_restart": ("pogm", "fr", 0.0, 0.5, 5),
+    "pogm_strongly_convex": ("pogm", "gr", 0.25, 0.5, 5),
+}
+
+
+def _solved(mode: str, restart: str, mu: float, bsig: float, iterations: int) -> Query:
     def query(spark, d):
-        """f = |x - y|^2 / 2 and one-voxel patches: the minimiser is y shrunk."""
-        y = packed_series(spark, d)
-        zero = y.select("x", "y", "z", *(F.transform(p, lambda v: F.lit(0.0)).alias(p) for p in ("re", "im")))
-        data = y.select("x", "y", "z", F.col("re").alias("a"), F.col("im").alias("b"))
+        """Half the weighted squared distance to the series, plus BETA times the norm of each voxel's series."""
+        data = packed_series(spark, d).select("x", "y", "z", F.col("re").alias("a"), F.col("im").alias("b"), ((F.lit(1.0) + F.col("x") % 4) / 4).alias("w"))
+        zero = data.select("x", "y", "z", *(F.transform(p, lambda v: F.lit(0.0)).alias(q) for p, q in (("a", "re"), ("b", "im"))))
+        away = lambda x: x.join(data, ["x", "y", "z"]).select("x", "y", "z", "w", "re", "im", cx.linear((1, F.col("re")), (-1, F.col("a"))).alias("p"), cx.linear((1, F.col("im")), (-1, F.col("b"))).alias("q"))
 
         def gradient(x):
-            return x.join(data, ["x", "y", "z"]).select("x", "y", "z", cx.linear((1, F.col("re")), (-1, F.col("a"))).alias("re"), cx.linear((1, F.col("im")), (-1, F.col("b"))).alias("im"))
+            return away(x).select("x", "y", "z", *(F.zip_with(c, F.array_repeat("w", F.size(c)), lambda v, w: v * w).alias(n) for c, n in (("p", "re"), ("q", "im"))))
+
+        def cost(x):
+            square = lambda p, q: cx.array_dot(F.col(p), F.col(p)) + cx.array_dot(F.col(q), F.col(q))
+            return away(x).agg(F.sum(F.col("w") * square("p", "q") / 2 + BETA * F.sqrt(square("re", "im"))).alias("s")).first().s
 
         prox = lambda x, c: lowrank.shrink_voxels(x, BETA * c)
-        found = solve(zero, gradient, 1.0, prox=prox, mode=mode, restart=restart, iterations=3 if mode == "pgm" else 6)
-        return _long(found.x).select("x", "y", "z", "t", *((F.round(p, 2) + F.lit(0.0)).alias(p) for p in ("re", "im")))
+        found = solve(zero, gradient, 1.0, prox=prox, cost=cost, mode=mode, restart=restart, mu=mu, bsig=bsig, iterations=iterations)
+        return rounded(_long(found.x), "re", "im")
 
     return query
 
@@ -344,10 +388,17 @@ def tsnr_summary(spark, d):
     return rounded(analysis.tsnr_summary(analysis.tsnr(voxel_series(spark, d), F.col("v"))), "mean_tsnr", "max_tsnr")
 
 
+RECON_STEPS = 2
+#: Patches of the scales; None is the whole depth.
+RECON_PATCHES = ((10, 10, None), (5, 5, None), (1, 1, 1))
+
+
 def _reconstruction(spark, d):
+    """Three scales of two frames (see two_frames), half of the cells sampled."""
     grid = grid_of(spark, d)
-    config = ReconConfig(grid, 32, 2, (grid, (5, 5, grid[2]), (1, 1, 1)), (grid, (5, 5, grid[2]), (1, 1, 1)), iterations=2)
-    cells = complex_series(spark, d)
+    patches = tuple((x, y, z or grid[2]) for x, y, z in RECON_PATCHES)
+    config = ReconConfig(grid, 2, 2, patches, patches, iterations=RECON_STEPS, restart="none")
+    cells = _long(two_frames(spark, d))
     mask = F.pmod(F.col("x") + F.col("y") + F.col("t"), F.lit(2)) == 0
     coils = cells.where(mask).withColumn("coil", F.explode(F.array(F.lit(1), F.lit(2))))
     samples = coils.select("x", "y", "z", "coil", "t", (F.col("re") * F.col("coil") + 0.001).alias("re"), "im")
@@ -355,11 +406,19 @@ def _reconstruction(spark, d):
 
 
 def multiscale_recon(spark, d):
-    return _reconstruction(spark, d).recon
+    return rounded(_reconstruction(spark, d).recon, "re", "im")
+
+
+def recon_components(spark, d):
+    return rounded(_reconstruction(spark, d).components, "re", "im")
 
 
 def convergence_table(spark, d):
-    return _reconstruction(spark, d).convergence
+    return rounded(_reconstruction(spark, d).convergence, "dc_cost", "reg_cost", "total", "log_total")
+
+
+def recon_facts(spark, d):
+    return rounded(_reconstruction(spark, d).metadata.drop("facts"), "acceleration", "sigma1", "lipschitz", "scale_factor")
 
 
 # --- SQL ----------------------------------------------------------------------------------------------------
@@ -367,7 +426,7 @@ def convergence_table(spark, d):
 _V = """v AS (SELECT vec_id, CAST(vec_id % 10 AS INTEGER) AS x, CAST((vec_id // 10) % 10 AS INTEGER) AS y, CAST(vec_id // 100 AS INTEGER) AS z, embedding AS e FROM embeddings)"""
 _S = _V + """, s AS (SELECT x, y, z, CAST(i AS INTEGER) AS t, CAST(e[i] AS DOUBLE) AS v FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM v))"""
 _C = _V + """, c AS (SELECT x, y, z, CAST(i AS INTEGER) AS t, CAST(e[2 * i - 1] AS DOUBLE) AS re, CAST(e[2 * i] AS DOUBLE) AS im FROM (SELECT *, unnest(range(1, len(e) // 2 + 1)) AS i FROM v))"""
-_K = f"""g AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS t, event_type, max(value) AS value FROM events WHERE day(ts) <= {FRAMES} GROUP BY ALL),
+_K = f"""g AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS t, event_type, max(value) AS value FROM events GROUP BY ALL),
 k AS (SELECT CAST(user_id AS INTEGER) AS x, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS coil, t, CASE WHEN value > {LEVEL} THEN value ELSE 0.0 END AS re FROM g),
 m AS (SELECT x, t FROM k WHERE coil = 1 AND re <> 0)"""
 
@@ -406,19 +465,94 @@ q AS (SELECT patch_id, aa, bb, ab, h1, h2, CASE WHEN s1 * s1 - s2 * s2 > 1e-12 *
 SELECT patch_id, CAST(t AS INTEGER) AS t, {_r('(h1 - q * s1 * s1 + q * aa) * a + q * ab * b')} AS w0, {_r('(h1 - q * s1 * s1 + q * bb) * b + q * ab * a')} AS w1 FROM p JOIN q USING (patch_id)"""
 
 
-def _y_pairs(value: str) -> str:
-    """Two neighbours along y with real series; value: of the row's own and the other's sums."""
-    return f"""WITH {_C}, d AS (SELECT x, y, z, t, re, y // 2 AS h FROM c),
-o AS (SELECT a.x, a.y, a.z, a.t, a.re AS a, b.re AS b FROM d a JOIN d b ON a.x = b.x AND a.z = b.z AND a.t = b.t AND a.h = b.h AND a.y <> b.y),
-g AS (SELECT x, y, z, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab FROM o GROUP BY ALL),
-s AS (SELECT *, sqrt((aa + bb) / 2 + sqrt(power((aa - bb) / 2, 2) + ab * ab)) AS s1, sqrt(greatest((aa + bb) / 2 - sqrt(power((aa - bb) / 2, 2) + ab * ab), 0)) AS s2 FROM g),
-h AS (SELECT *, {value} FROM s),
-q AS (SELECT *, CASE WHEN s1 * s1 - s2 * s2 > 1e-12 * s1 * s1 THEN (h1 - h2) / (s1 * s1 - s2 * s2) ELSE 0 END AS q FROM h)
-SELECT x, y, z, t, {_r('((h1 - q * s1 * s1 + q * aa) * a + q * ab * b) * f')} AS re, 0.0 AS im FROM o JOIN q USING (x, y, z)"""
+_F2 = _S + """, f2 AS (SELECT x, y, z, sum(CASE WHEN t % 4 = 1 THEN v END) AS r1, sum(CASE WHEN t % 4 = 2 THEN v END) AS r2, sum(CASE WHEN t % 4 = 3 THEN v END) AS i1, sum(CASE WHEN t % 4 = 0 THEN v END) AS i2 FROM s GROUP BY ALL)"""
+
+
+def _patched(source: str, name: str, patch, stride, clamp: bool = True) -> str:
+    """CTEs of the patches of two complex frames (x, y, z, r1, r2, i1, i2) and their singular values:
+    {name}w the rows by patch, {name}s with s1 and s2 from the Gram matrix [[a, c], [conj(c), b]]."""
+    nz = "(SELECT max(vec_id) // 100 + 1 FROM embeddings)"
+    axes = ", ".join(_axis(f"{name}{a}", n, p or nz, s or nz, clamp) for a, n, p, s in zip("xyz", ("10", "10", nz), patch, stride))
+    ox, oy, oz = (f"o{name}{a}" for a in "xyz")
+    return f"""{axes},
+{name}w AS MATERIALIZED (SELECT {ox}.i + {ox}.n * ({oy}.i + {oy}.n * {oz}.i) AS patch_id, x, y, z, r1, r2, i1, i2
+  FROM {source} JOIN {ox} ON x >= {ox}.o AND x < {ox}.o + {ox}.p JOIN {oy} ON y >= {oy}.o AND y < {oy}.o + {oy}.p JOIN {oz} ON z >= {oz}.o AND z < {oz}.o + {oz}.p),
+{name}g AS (SELECT patch_id, sum(r1 * r1 + i1 * i1) AS a, sum(r2 * r2 + i2 * i2) AS b, sum(r1 * r2 + i1 * i2) AS cr, sum(r1 * i2 - i1 * r2) AS ci FROM {name}w GROUP BY patch_id),
+{name}s AS MATERIALIZED (SELECT *, sqrt((a + b) / 2 + sqrt(power((a - b) / 2, 2) + cr * cr + ci * ci)) AS s1, sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + cr * cr + ci * ci), 0)) AS s2 FROM {name}g)"""
+
+
+def _thresholded(name: str, beta: str, contrast: str | None = None) -> str:
+    """CTE {name}y: the patches of _patched thresholded and averaged: X (p I + q G), whose factors are
+    max(s - beta, 0) / s at both singular values. contrast: scaled to a leading value of one before."""
+    factor = (lambda s: f"greatest({s} / s1 - ({contrast}), 0) / ({s} / s1) / (1 - ({contrast}))") if contrast else (lambda s: f"greatest({s} - ({beta}), 0) / {s}")
+    return f"""{name}h AS (SELECT *, CASE WHEN s1 > 0 THEN {factor('s1')} ELSE 0 END AS h1, CASE WHEN s2 > 1e-9 * s1 THEN {factor('s2')} ELSE 0 END AS h2 FROM {name}s),
+{name}q AS (SELECT patch_id, a, b, cr, ci, h1, s1, CASE WHEN s1 * s1 - s2 * s2 > 1e-12 * s1 * s1 THEN (h1 - h2) / (s1 * s1 - s2 * s2) ELSE 0 END AS q FROM {name}h),
+{name}y AS MATERIALIZED (SELECT x, y, z, avg(r1 * (h1 - q * s1 * s1 + q * a) + q * (r2 * cr + i2 * ci)) AS r1, avg(r2 * (h1 - q * s1 * s1 + q * b) + q * (r1 * cr - i1 * ci)) AS r2,
+  avg(i1 * (h1 - q * s1 * s1 + q * a) + q * (i2 * cr - r2 * ci)) AS i1, avg(i2 * (h1 - q * s1 * s1 + q * b) + q * (r1 * ci + i1 * cr)) AS i2 FROM {name}w JOIN {name}q USING (patch_id) GROUP BY x, y, z)"""
+
+
+def _svst_frames(patch, stride, beta: str, clamp: bool = True, contrast: str | None = None) -> str:
+    both = f"FROM f2 LEFT JOIN py USING (x, y, z), (VALUES (1), (2)) AS k(t)"
+    return f"""WITH {_F2}, {_patched('f2', 'p', patch, stride, clamp)}, {_thresholded('p', beta, contrast)}
+SELECT x, y, z, CAST(t AS INTEGER) AS t, {_r('CASE WHEN t = 1 THEN coalesce(py.r1, 0) ELSE coalesce(py.r2, 0) END')} AS re, {_r('CASE WHEN t = 1 THEN coalesce(py.i1, 0) ELSE coalesce(py.i2, 0) END')} AS im {both}"""
+
+
+_NEXT = "0.5 * (1 + sqrt(1 + {n} * t * t))"
+
+
+def _solver_sql(mode: str, restart: str, mu: float, bsig: float, iterations: int) -> str:
+    """Iterates of _solved: all are multiples of a voxel's own series, so a state is a few numbers a
+    voxel (n2, m2: the series times its conjugate and itself) and the scalars of the iteration."""
+    alpha = 2 / (1 + mu) if mode == "pgm" and mu else 1.0
+    shrink = lambda v, c: f"{v} * CASE WHEN abs({v}) * sqrt(n2) > 0 THEN greatest(1 - {BETA} * ({c}) / (abs({v}) * sqrt(n2)), 0) ELSE 0 END"
+    cost = lambda v: f"sum(w * ({v} - 1) * ({v} - 1) * n2 / 2 + {BETA} * abs({v}) * sqrt(n2))"
+    out = f"""WITH {_C}, v0 AS MATERIALIZED (SELECT x, y, z, (1.0 + x % 4) / 4 AS w, sum(re * re + im * im) AS n2, sum(re * re - im * im) AS m2, 0.0 AS vx, 0.0 AS vy, 0.0 AS vu, 0.0 AS vz, 0.0 AS vg FROM c GROUP BY x, y, z),
+c0 AS MATERIALIZED (SELECT 1.0 AS t, 1.0 AS sigma, 1.0 AS zeta, {cost('vx')} AS cost FROM v0)"""
+    strong = strongly_convex_momentum(mu, mode == "pogm") if mu else None
+    for k in range(1, iterations + 1):
+        last, was = f"c{k - 1}", f"v{k - 1}"
+        if mode == "pogm":
+            t2 = "t" if mu else _NEXT.format(n=8 if k == iterations else 4)
+            beta, gamma = (repr(strong[0]), repr(strong[1])) if mu else ("(t - 1) / t2", "sigma * t / t2")
+            out += f""",
+e{k} AS MATERIALIZED (SELECT *, {alpha} * (1 + beta + gamma) AS zeta2 FROM (SELECT *, {beta} AS beta, {gamma} AS gamma FROM (SELECT *, {t2} AS t2 FROM {last}))),
+a{k} AS (SELECT v.*, e.*, w * (vx - 1) AS d, vx - {alpha} * w * (vx - 1) AS u2 FROM {was} v, e{k} e),
+b{k} AS (SELECT *, (1 + beta + gamma) * u2 - beta * vu - (gamma + beta * {alpha} / zeta) * vx + beta * {alpha} / zeta * vz AS z2 FROM a{k}),
+x{k} AS (SELECT *, {shrink('z2', 'zeta2')} AS x2 FROM b{k}),
+g{k} AS (SELECT *, d - (x2 - z2) / zeta2 AS g2 FROM x{k}),
+w{k} AS MATERIALIZED (SELECT *, vx - {alpha} * g2 AS y2 FROM g{k})"""
+        else:
+            out += f""",
+b{k} AS (SELECT v.*, e.*, vx - {alpha} * w * (vx - 1) AS z2, vu AS u2 FROM {was} v, {last} e),
+x{k} AS (SELECT *, {shrink('z2', str(alpha))} AS y2 FROM b{k}),
+w{k} AS MATERIALIZED (SELECT *, (vx - y2) / {alpha} AS g2, t AS t2, zeta AS zeta2 FROM x{k})"""
+        point = "x2" if mode == "pogm" else "y2"
+        again = {"none": "false", "fr": f"now > cost", "gr": "-dot <= 0"}[restart]
+        out += f""",
+r{k} AS MATERIALIZED (SELECT any_value(t) AS t, any_value(t2) AS t2, any_value(sigma) AS sigma, any_value(zeta2) AS zeta, any_value(cost) AS cost, {cost(point)} AS now, sum(g2 * (y2 - vy) * m2) AS dot, sum(g2 * vg * m2) AS turn FROM w{k}),
+s{k} AS (SELECT *, {again} AS again FROM r{k})"""
+        if mode == "pogm":
+            turned = "false" if restart == "none" else "turn < 0"
+            t = "t" if mu else "CASE WHEN again THEN 1.0 ELSE t2 END"
+            out += f""",
+c{k} AS MATERIALIZED (SELECT {t} AS t, CASE WHEN again THEN 1.0 WHEN {turned} THEN {bsig} * sigma ELSE sigma END AS sigma, zeta, now AS cost FROM s{k}),
+v{k} AS MATERIALIZED (SELECT x, y, z, w, n2, m2, x2 AS vx, y2 AS vy, u2 AS vu, z2 AS vz, g2 AS vg FROM w{k})"""
+        elif mode == "fpgm":
+            beta = repr(strong[0]) if mu else "(told - 1) / t"
+            t = "told" if mu else f"0.5 * (1 + sqrt(1 + 4 * told * told))"
+            out += f""",
+c{k} AS MATERIALIZED (SELECT *, {beta} AS beta FROM (SELECT *, {t} AS t FROM (SELECT CASE WHEN again THEN 1.0 ELSE t END AS told, sigma, zeta, now AS cost FROM s{k}))),
+v{k} AS MATERIALIZED (SELECT x, y, z, w, n2, m2, y2 + next * (y2 - vy) AS vx, y2 AS vy, u2 AS vu, z2 AS vz, g2 AS vg FROM w{k}, (SELECT beta AS next FROM c{k}))"""
+        else:
+            out += f""",
+c{k} AS MATERIALIZED (SELECT t, sigma, zeta, now AS cost FROM s{k}),
+v{k} AS MATERIALIZED (SELECT x, y, z, w, n2, m2, y2 AS vx, y2 AS vy, u2 AS vu, z2 AS vz, g2 AS vg FROM w{k})"""
+    got = "vx" if mode == "pogm" else "vy"
+    return f"{out} SELECT x, y, z, t, {_r(f're * {got}')} AS re, {_r(f'im * {got}')} AS im FROM c JOIN v{iterations} USING (x, y, z)"
 
 
 _NZ = "(SELECT max(vec_id) // 100 + 1 FROM embeddings)"
-_SENSE = f"""WITH {_C}, f AS (SELECT x, y, z, CAST((t - 1) // 4 + 1 AS INTEGER) AS t, re, im FROM c WHERE t % 4 = 1),
+_SENSE = f"""WITH {_C}, f AS (SELECT * FROM c),
 maps AS (SELECT x, y, z, coil, 1.0 + coil * x * 0.1 AS sr, coil * y * 0.05 AS si FROM v, (SELECT unnest([1, 2]) AS coil)),
 msk AS (SELECT x, y, z, t FROM f WHERE {_SAMPLED}),
 meas AS (SELECT x, y, z, CAST(coil AS INTEGER) AS coil, t, re * coil AS re, im FROM f, (SELECT unnest([1, 2]) AS coil) WHERE {_SAMPLED}),
@@ -440,6 +574,79 @@ def _adjoint(source: str, factor: str, over: str = "1") -> str:
     return _ADJOINT.format(r=_r(f"sum(sr * re + si * im) / ({over})"), i=_r(f"sum(sr * im - si * re) / ({over})"), src=_inverse(source, factor))
 
 
+_SCALES = [str(k) for k in range(1, len(RECON_PATCHES) + 1)]
+_PARTS = ("r1", "r2", "i1", "i2")
+_UNROLL = "(VALUES (1), (2)) AS k(t)"
+
+
+def _encoded(image: str, name: str) -> str:
+    """CTE {name}: samples of the mask's cells of an image (x, y, z, r1, r2, i1, i2)."""
+    return f"""{name} AS MATERIALIZED (SELECT * FROM (SELECT kx AS x, ky AS y, kz AS z, coil, t, sum(re * co + im * sn) / sqrt({_N}) AS re, sum(im * co - re * sn) / sqrt({_N}) AS im
+  FROM (SELECT x, y, z, coil, t, sr * a - si * b AS re, sr * b + si * a AS im FROM (SELECT x, y, z, t, CASE t WHEN 1 THEN r1 ELSE r2 END AS a, CASE t WHEN 1 THEN i1 ELSE i2 END AS b FROM {image}, {_UNROLL}) JOIN maps USING (x, y, z)) JOIN ph USING (x, y, z) GROUP BY ALL) SEMI JOIN meas USING (x, y, z, coil, t))"""
+
+
+def _decoded(samples: str, name: str, factor: str, over: str = "1") -> str:
+    """CTE {name}: the map-weighted sum of coils of transformed samples, as two frames."""
+    at = lambda e, t: f"sum(CASE WHEN t = {t} THEN {e} END) / ({over})"
+    re, im = "sr * re + si * im", "sr * im - si * re"
+    weights = ", any_value(ss) AS ss" if over != "1" else ""
+    inner = f"SELECT x, y, z, t, sr, si, re, im, ss FROM {_inverse(samples, factor)} JOIN maps USING (x, y, z, coil)"
+    return f"{name} AS MATERIALIZED (SELECT x, y, z, {at(re, 1)} AS r1, {at(re, 2)} AS r2, {at(im, 1)} AS i1, {at(im, 2)} AS i2 FROM ({inner}) GROUP BY x, y, z{', ss' if over != '1' else ''})"
+
+
+def _recon_sql() -> str:
+    """CTEs of the reconstruction: image{k} (summed scales), x{k}_{scale}, cost{k} of each iteration."""
+    steps, bound = RECON_STEPS, float(len(_SCALES))
+    cells = "SELECT x, y, z, t, CASE t WHEN 1 THEN r1 ELSE r2 END AS re, CASE t WHEN 1 THEN i1 ELSE i2 END AS im FROM f2, " + _UNROLL
+    out = f"""WITH {_F2}, cells AS ({cells} WHERE (x + y + t) % 2 = 0),
+raw AS (SELECT x, y, z, coil, 1.0 + coil * x * 0.1 AS sr, coil * y * 0.05 AS si FROM v, (SELECT unnest([1, 2]) AS coil)),
+unit AS (SELECT x, y, z, coil, sr / n AS sr, si / n AS si FROM (SELECT *, sqrt(sum(sr * sr + si * si) OVER (PARTITION BY x, y, z)) + {EPS32!r} AS n FROM raw)),
+maps AS MATERIALIZED (SELECT *, sum(sr * sr + si * si) OVER (PARTITION BY x, y, z) AS ss FROM unit),
+meas0 AS MATERIALIZED (SELECT x, y, z, coil, t, re * coil + 0.001 AS re, im FROM cells, (SELECT unnest([1, 2]) AS coil)),
+ph AS MATERIALIZED (SELECT a.x AS x, a.y AS y, a.z AS z, b.x AS kx, b.y AS ky, b.z AS kz, cos(w) AS co, sin(w) AS sn FROM (SELECT a, b, 2 * pi() * ((a.x - 5) * (b.x - 5) / 10.0 + (a.y - 5) * (b.y - 5) / 10.0 + (a.z - {_NZ} // 2) * (b.z - {_NZ} // 2) / CAST({_NZ} AS DOUBLE)) AS w FROM v a, v b)),
+{_decoded('meas0', 'zero', f'1.0 / {_N}', f'ss + {EPS32!r}')},
+top AS MATERIALIZED (SELECT quantile_cont(m, 0.99) AS top FROM (SELECT sqrt(r1 * r1 + i1 * i1) AS m FROM zero UNION ALL SELECT sqrt(r2 * r2 + i2 * i2) FROM zero)),
+meas AS MATERIALIZED (SELECT x, y, z, coil, t, re / greatest(top, {EPS32!r}) AS re, im / greatest(top, {EPS32!r}) AS im FROM meas0, top),
+{_decoded('meas', 'first', f'1 / sqrt({_N})')}"""
+    for s in _SCALES:
+        own = ", ".join(f"{p if s == '1' else '0.0'} AS {p}" for p in _PARTS)
+        out += f",\nx0_{s} AS (SELECT x, y, z, {own} FROM first), u0_{s} AS (SELECT * FROM x0_{s}), z0_{s} AS (SELECT * FROM x0_{s})"
+    alpha, t, zeta = 1 / bound, 1.0, 1.0
+    for k in range(steps + 1):
+        total = ", ".join(f"sum({p}) AS {p}" for p in _PARTS)
+        each = " UNION ALL ".join(f"SELECT * FROM x{k}_{s}" for s in _SCALES)
+        out += f",\nimage{k} AS MATERIALIZED (SELECT x, y, z, {total} FROM ({each}) GROUP BY x, y, z), {_encoded(f'image{k}', f'enc{k}')}"
+        out += f",\nres{k} AS MATERIALIZED (SELECT a.x, a.y, a.z, a.coil, a.t, a.re - b.re AS re, a.im - b.im AS im FROM enc{k} a JOIN meas b USING (x, y, z, coil, t))"
+        for s, patch in zip(_SCALES, RECON_PATCHES):
+            out += f",\n{_patched(f'x{k}_{s}', f'n{k}_{s}_', patch, patch)}"
+        weights = [_weight(p) for p in RECON_PATCHES]
+        reg = " + ".join(f"({w}) * (SELECT sum(s1 + s2) FROM n{k}_{s}_s)" for w, s in zip(weights, _SCALES))
+        out += f",\ncost{k} AS MATERIALIZED (SELECT {k} AS iter, (SELECT sum(re * re + im * im) / 2 FROM res{k}) AS dc, {reg} AS reg)"
+        if k == steps:
+            break
+        t2 = 0.5 * (1 + math.sqrt(1 + (8 if k + 1 == steps else 4) * t * t))
+        beta, gamma = (t - 1) / t2, t / t2
+        drift = beta * alpha / zeta
+        zeta, t = alpha * (1 + beta + gamma), t2
+        out += f",\n{_decoded(f'res{k}', f'd{k}', f'1 / sqrt({_N})')}"
+        for s, patch, w in zip(_SCALES, RECON_PATCHES, weights):
+            u2 = ", ".join(f"a.{p} - {alpha!r} * d.{p} AS {p}" for p in _PARTS)
+            z2 = ", ".join(f"{1 + beta + gamma!r} * n.{p} - {beta!r} * u.{p} - {gamma + drift!r} * a.{p} + {drift!r} * o.{p} AS {p}" for p in _PARTS)
+            out += f""",
+u{k + 1}_{s} AS MATERIALIZED (SELECT x, y, z, {u2} FROM x{k}_{s} a JOIN d{k} d USING (x, y, z)),
+z{k + 1}_{s} AS MATERIALIZED (SELECT x, y, z, {z2} FROM u{k + 1}_{s} n JOIN u{k}_{s} u USING (x, y, z) JOIN x{k}_{s} a USING (x, y, z) JOIN z{k}_{s} o USING (x, y, z)),
+{_patched(f'z{k + 1}_{s}', f'p{k}_{s}_', patch, patch)}, {_thresholded(f'p{k}_{s}_', f'{zeta!r} * ({w})')},
+x{k + 1}_{s} AS (SELECT * FROM p{k}_{s}_y)"""
+    return out
+
+
+def _weight(patch) -> str:
+    """The threshold weight of a patch of two frames on the grid."""
+    p = f"({patch[0] * patch[1]} * {patch[2] or _NZ})"
+    return f"sqrt({p}) + sqrt(2.0) + sqrt(ln(100 * {_NZ} * 2.0 / greatest({p}, 2)))"
+
+
+_FRAME = "CAST(t AS INTEGER) AS t, " + ", ".join(f"{_r(f'CASE t WHEN 1 THEN {a} ELSE {b} END')} AS {n}" for n, a, b in (("re", "r1", "r2"), ("im", "i1", "i2")))
 _SHRUNK = f"""WITH {_C}, n AS (SELECT x, y, z, sqrt(sum(re * re + im * im)) AS n FROM c GROUP BY ALL)
 SELECT x, y, z, t, {{re}} AS re, {{im}} AS im FROM c JOIN n USING (x, y, z)"""
 _FACTOR = f"CASE WHEN n > 0 THEN greatest(1 - {BETA} / n, 0) ELSE 0 END"
@@ -474,8 +681,6 @@ SQL: dict[str, str] = {
     "svst_single_voxel": _SHRUNK.format(re=_r(f"re * ({_FACTOR})"), im=_r(f"im * ({_FACTOR})")),
     "svst_rank2": _svst_sql(str(BETA)),
     "svst_perpatch": _svst_sql("1.0 + patch_id % 3"),
-    "svst2d_contrast": _y_pairs("CASE WHEN s1 > 0 THEN greatest(1 - 0.3, 0) ELSE 0 END AS h1, CASE WHEN s2 > 0 THEN greatest(s2 / s1 - 0.3, 0) / (s2 / s1) ELSE 0 END AS h2, 1 / 0.7 AS f"),
-    "patch_svst_grouped": _y_pairs(f"CASE WHEN s1 > 0 THEN greatest(s1 - {BETA}, 0) / s1 ELSE 0 END AS h1, CASE WHEN s2 > 0 THEN greatest(s2 - {BETA}, 0) / s2 ELSE 0 END AS h2, 1.0 AS f"),
     "dft_forward": f"WITH {_C} SELECT x, y, z, CAST(k AS INTEGER) AS k, {_r('sum(re * cos(2 * pi() * ((t - 1) * k % 32) / 32) + im * sin(2 * pi() * ((t - 1) * k % 32) / 32))')} AS re, {_r('sum(im * cos(2 * pi() * ((t - 1) * k % 32) / 32) - re * sin(2 * pi() * ((t - 1) * k % 32) / 32))')} AS im FROM c, (SELECT unnest(range(0, 32)) AS k) GROUP BY ALL",
     "dft_inverse": f"WITH {_C} SELECT x, y, z, CAST(k AS INTEGER) AS k, {_r('sum(re * cos(2 * pi() * ((t - 1) * k % 32) / 32) - im * sin(2 * pi() * ((t - 1) * k % 32) / 32)) / 32')} AS re, {_r('sum(im * cos(2 * pi() * ((t - 1) * k % 32) / 32) + re * sin(2 * pi() * ((t - 1) * k % 32) / 32)) / 32')} AS im FROM c, (SELECT unnest(range(0, 32)) AS k) GROUP BY ALL",
     "sense_comb": f"{_SENSE} {_adjoint('meas', f'1.0 / {_N}', f'sum(sr * sr + si * si) + {EPS32!r}')}",
@@ -487,8 +692,24 @@ SQL: dict[str, str] = {
     "tsnr_map": f"{_DETREND} SELECT x, y, z, {_r(f'avg(abs(v)) / (stddev_samp(abs(v)) + {EPS32!r})')} AS tsnr FROM d GROUP BY ALL",
     "tsnr_summary": f"WITH {_S}, m AS (SELECT avg(v) / (stddev_samp(v) + {EPS32!r}) AS tsnr FROM s GROUP BY x, y, z) SELECT {_r('avg(tsnr)')} AS mean_tsnr, {_r('max(tsnr)')} AS max_tsnr FROM m WHERE tsnr > 0",
 }
-for _name in ("pgm_identity", "fpgm_identity", "pogm_identity"):
-    SQL[_name] = _SHRUNK.format(re=_r(f"re * ({_FACTOR})", 2), im=_r(f"im * ({_FACTOR})", 2))
+SQL |= {
+    "svst2d_contrast": _svst_frames((1, *PLANE), (1, 2, 3), "", False, "0.3"),
+    "patch_svst_grouped": _svst_frames((2, 5, 1), (2, 5, 1), str(BETA / 4)),
+    "patch_svst_general": _svst_frames(PATCH, STRIDE, str(BETA)),
+    "patch_svst_by_patch": _svst_frames(PATCH, STRIDE, "0.5 + patch_id % 5"),
+    "svst_global_gram": _svst_frames((99, 99, 9999), (1, 1, 1), str(BETA)),
+    "nucnorm_general": f"WITH {_F2}, {_patched('f2', 'p', PATCH, STRIDE)} SELECT CAST(patch_id AS INTEGER) AS patch_id, {_r('s1 + s2')} AS nn, {_r('s1')} AS lead FROM ps",
+    "gram_matrices": f"""WITH {_C}, {_axis('x', '10', PATCH[0], STRIDE[0], True)}, {_axis('y', '10', PATCH[1], STRIDE[1], True)}, {_axis('z', _NZ, PATCH[2], STRIDE[2], True)},
+w AS (SELECT ox.i + ox.n * (oy.i + oy.n * oz.i) AS patch_id, x, y, z, t, re, im FROM c JOIN ox ON x >= ox.o AND x < ox.o + ox.p JOIN oy ON y >= oy.o AND y < oy.o + oy.p JOIN oz ON z >= oz.o AND z < oz.o + oz.p),
+e AS (SELECT a.patch_id, 32 * (a.t - 1) + b.t - 1 AS k, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im FROM w a JOIN w b USING (patch_id, x, y, z) GROUP BY ALL)
+SELECT CAST(patch_id AS INTEGER) AS patch_id, CAST(k AS INTEGER) AS k, {_r('re', 5)} AS v FROM e UNION ALL SELECT CAST(patch_id AS INTEGER), CAST(k + 1024 AS INTEGER), {_r('im', 5)} FROM e""",
+    "packed_lengths": "SELECT CAST(len(embedding) // 2 AS INTEGER) AS n_re, CAST(len(embedding) // 2 AS INTEGER) AS n_im, count(*) AS n FROM embeddings GROUP BY ALL",
+    "step_bounds": f"SELECT name, scales, frames, coils, iterations, CAST(bound AS DOUBLE) AS bound FROM (VALUES ('20241017', 3, 300, 10, 50, 3), ('20251106', 3, 300, 18, 50, 3), ('20260317', 3, 387, 18, 50, 3), ('20260409', 3, 387, 18, 100, 3)) AS t(name, scales, frames, coils, iterations, bound)",
+    "multiscale_recon": f"{_recon_sql()} SELECT x, y, z, {_FRAME} FROM image{RECON_STEPS}, {_UNROLL}",
+    "recon_components": f"{_recon_sql()} SELECT CAST(scale AS INTEGER) AS scale, x, y, z, {_FRAME} FROM ({' UNION ALL '.join(f'SELECT {s} AS scale, * FROM x{RECON_STEPS}_{s}' for s in _SCALES)}), {_UNROLL}",
+    "convergence_table": f"{_recon_sql()} SELECT CAST(iter AS INTEGER) AS iter, {_r('dc')} AS dc_cost, {_r('reg')} AS reg_cost, false AS restart, {_r('dc + reg')} AS total, {_r('log10(dc + reg)')} AS log_total FROM ({' UNION ALL '.join(f'SELECT * FROM cost{k}' for k in range(RECON_STEPS + 1))})",
+    "recon_facts": f"{_recon_sql()} SELECT 2.0 AS acceleration, 1.0 AS sigma1, {float(len(RECON_PATCHES))} AS lipschitz, {_r('top')} AS scale_factor, CAST({len(RECON_PATCHES)} AS INTEGER) AS n_scales, CAST({RECON_STEPS} AS INTEGER) AS iterations FROM top",
+} | {name: _solver_sql(*case) for name, case in SOLVES.items()}
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
@@ -496,10 +717,11 @@ QUERIES: dict[str, Query] = {
         voxel_series_scan, magnitude, conj_multiply, smap_normalise, axpy_step, lambda_weights, sampling_mask, acceleration_factor, mask_compaction, mask_scatter,
         validate_frame_counts, validate_coil_masks, scale_quantile99, kspace_normalise, viewshare_nearest, patch_extract_3d, patch_roundtrip_3d, patch_extract_2d,
         patch_roundtrip_2d, scale_sum, component_first_frame, frobenius_cost, dot_nonconj, nucnorm_rank2, nucnorm_weighted, svst_single_voxel, svst_rank2, svst_perpatch,
-        svst2d_contrast, patch_svst_grouped, patch_svst_general, nucnorm_general, svst_global_gram, dft_forward, dft_inverse, sense_comb, sense_forward, sense_adjoint,
-        dc_gradient, detrend_linear, tsnr_map, tsnr_summary, multiscale_recon, convergence_table,
+        svst2d_contrast, patch_svst_grouped, patch_svst_general, patch_svst_by_patch, nucnorm_general, svst_global_gram, svst_all_frames, gram_matrices, packed_lengths, step_bounds,
+        dft_forward, dft_inverse, sense_comb, sense_forward, sense_adjoint,
+        dc_gradient, detrend_linear, tsnr_map, tsnr_summary, multiscale_recon, recon_components, convergence_table, recon_facts,
     )
-} | {"power_iteration": power_iteration_diagonal, "pgm_identity": _identity("pgm", "none"), "fpgm_identity": _identity("fpgm", "gr"), "pogm_identity": _identity("pogm", "gr")}
+} | {"power_iteration": power_iteration_diagonal} | {name: _solved(*case) for name, case in SOLVES.items()}
 
 
 def grid_queries() -> dict[str, Query]:

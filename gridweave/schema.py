@@ -18,6 +18,22 @@ CELL = ("x", "y", "z", "t")
 SAMPLE = ("x", "y", "z", "coil", "t")
 
 
+def require(df, *columns: str) -> None:
+    """Raises a ValueError unless the table has these columns: whole numbers, but for values (re, im, v),
+    which are numbers in long form and arrays of numbers in packed form."""
+    kinds = dict(df.dtypes)
+    for c in columns:
+        name, packed, _ = c.partition("[")
+        kind = kinds.get(name)
+        if kind is None:
+            raise ValueError(f"no column {name!r} among {df.columns}")
+        whole = ("tinyint", "smallint", "int", "bigint")
+        numbers = (*whole, "float", "double")
+        fits = kind in [f"array<{n}>" for n in numbers] if packed else kind in (numbers if name in ("re", "im", "v") else whole)
+        if not fits:
+            raise ValueError(f"column {name!r} has type {kind}")
+
+
 @dataclass(frozen=True)
 class Grid:
     nx: int

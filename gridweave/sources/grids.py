@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NX = NY = 10
-FRAMES = 30
+FRAMES = 31
 
 
 def voxel_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,14 @@ def complex_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("x", "y", "z", (F.col("p") + 1).alias("t"), F.col("s.re").alias("re"), F.col("s.im").alias("im"))
 
 
+def two_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x, y, z, re, im of two frames: the sums of every fourth element of the whole vector, the first
+    two of four as real parts, the others as imaginary parts."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    part = lambda r: F.aggregate(F.filter("e", lambda v, i: i % 4 == r), F.lit(0.0), lambda s, v: s + v)
+    return vectors.select(*_place(), F.array(part(0), part(1)).alias("re"), F.array(part(2), part(3)).alias("im"))
+
+
 def grid_of(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
     """The grid's shape follows from the largest vec_id."""
     last = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max("vec_id")).first()[0]
@@ -40,7 +48,7 @@ def grid_of(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
 
 
 def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """location (user), t (day of the month, 1 to 30), coil (event type), value: the largest."""
+    """location (user), t (day of the month, 1 to 31), coil (event type), value: the largest."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type", "value")
     day = F.dayofmonth("ts")
-    return events.where(day <= FRAMES).groupBy(F.col("user_id").alias("location"), day.cast("int").alias("t"), F.col("event_type").alias("coil")).agg(F.max("value").alias("value"))
+    return events.groupBy(F.col("user_id").alias("location"), day.cast("int").alias("t"), F.col("event_type").alias("coil")).agg(F.max("value").alias("value"))

@@ -102,7 +102,7 @@ def test_cost_restart_log_and_argument_checks(spark):
     got = solve(table(spark, np.zeros(N)), gradient, 1.0, prox=prox, cost=cost, restart="fr", iterations=3, fun=lambda k, x, y, again: seen.append((k, cost(x))) or k)
     assert [k for k, _ in seen] == [0, 1, 2, 3] and [e[0] for e in got.log] == [0, 1, 2, 3]
     assert seen[-1][1] < seen[0][1]
-    for bad in ({"mode": "x"}, {"restart": "x"}, {"restart": "fr"}, {"iterations": -1}, {"mu": 2.0}, {"bsig": 2.0}):
+    for bad in ({"mode": "x"}, {"restart": "x"}, {"restart": "fr"}, {"iterations": -1}, {"mu": 2.0}, {"bsig": -0.5}):
         with pytest.raises(ValueError):
             solve(table(spark, np.zeros(N)), gradient, 1.0, **bad)
 
