@@ -1,41 +1,45 @@
 """URL filter: host and path rules, then the ratio of two character language models.
 
 The models are smoothed variable-order Markov models over the characters of accepted and of
-rejected URLs. A context of up to ``order`` characters is kept while it makes up at least
-``least_share`` of its class's characters, so at most ``1 / least_share`` contexts of each
-order exist, whatever the input: that bounds what is broadcast. Probabilities interpolate a
-context's counts with those of its next shorter context (Witten-Bell). A URL's score is the
-difference of the two log-likelihoods over its number of characters; the threshold is
-calibrated on labelled URLs that the models have not seen (a fifth, by hash), at the least sum
-of both error rates. All counts are taken over all labelled rows.
+rejected URLs. Every context of up to ``order`` characters that occurs is kept, with all its
+counts, so what the models gather grows with the input: the counts are tables, joined with the
+grams of the URLs to judge, and nothing that grows is broadcast or sent to the driver.
+Probabilities interpolate a context's counts with those of its next shorter context
+(Witten-Bell). A URL's score is the difference of the two log-likelihoods over its number of
+characters; the threshold is calibrated on labelled URLs that the models have not seen (a fifth,
+by hash), at the least sum of both error rates. All counts are taken over all labelled rows.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from
-there up to ``?``, ``#`` or the end. A null URL or one without ``://`` has neither, fits no rule,
-and is judged by the models with a score of zero. Without labelled URLs of both classes, what
-fits no rule is allowed. Rows are kept one for one.
+there up to ``?``, ``#`` or the end. A null URL or one without ``://`` has neither, and fits no
+rule; it and a URL that ends at its ``://`` have nothing for the models to read: their score is zero
+and they are allowed. Without labelled URLs of both classes, scores are null and what fits no rule
+is allowed. A score at the threshold is allowed; scores are rounded to ``DIGITS`` digits, so the
+order of summation can't turn a verdict. Rows are kept one for one, repeated rows included.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, lower_az, pick
+from .common import in_batches, lower_az, pick, stash
 
 ORDER = 5
-LEAST_SHARE = 1e-4
 _START = "\x02"
 #: Characters of the alphabet that the order-0 model spreads over.
-_ALPHABET = 1 << 11
+ALPHABET = 1 << 11
+DIGITS = 10
 #: Bins of the calibration histogram, and the range of scores that they cover.
-_BINS, _RANGE = 4000, 8.0
+BINS, RANGE = 4000, 8.0
+#: Grams that make up this share of all occurrences or more are joined by broadcast: at most 1 / share of them exist.
+HOT_SHARE = 1e-3
 
 
 @dataclass(frozen=True)
@@ -78,139 +82,114 @@ def _text(url: str | None) -> str:
     return "" if at < 0 else url[at + 3 :].lower()
 
 
-def _grams(order: int, flush: int = 400_000):
-    """Counts of (class, context, next character) by task, for contexts of 0 to order characters."""
+def _grams(order: int, most: int = 100_000):
+    """Rows (row, judge, accepted, url) as (row, judge, accepted, gram, n): each character with the order before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[bool, str]] = Counter()
+        names = ["row", "judge", "accepted", "gram", "n"]
+        types = [pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64()]
+        held: list[list] = [[] for _ in names]
 
         def out() -> pa.RecordBatch:
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["accepted", "gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h, t) for h, t in zip(held, types)], names=names)
 
         for b in batches:
-            for url, accepted in zip(b.column("url").to_pylist(), b.column("accepted").to_pylist()):
+            for row, judge, accepted, url in zip(*(b.column(c).to_pylist() for c in ("row", "judge", "accepted", "url"))):
                 t = _START * order + _text(url)
-                for n in range(1, order + 2):
-                    seen.update([(accepted, t[i - n + 1 : i + 1]) for i in range(order, len(t))])
-                if len(seen) > flush:
+                seen = Counter([t[i - order : i + 1] for i in range(order, len(t))])
+                for h, more in zip(held, ([row] * len(seen), [judge] * len(seen), [accepted] * len(seen), seen.keys(), seen.values())):
+                    h.extend(more)
+                if len(held[0]) >= most:
                     yield out()
-                    seen = Counter()
-        if seen:
+                    held = [[] for _ in names]
+        if held[0]:
             yield out()
 
     return run
 
 
-class Markov:
-    """One class's model: counts by context."""
-
-    def __init__(self, grams: list[tuple[str, int]], order: int):
-        self.order = order
-        self.next: dict[str, dict[str, int]] = {}
-        for g, n in grams:
-            self.next.setdefault(g[:-1], {})[g[-1]] = n
-        self.total = {c: sum(x.values()) for c, x in self.next.items()}
-        self.known: dict[str, float] = {}
-
-    def probability(self, context: str, c: str) -> float:
-        p = 1.0 / _ALPHABET
-        for k in range(len(context) + 1):
-            own = context[len(context) - k :]
-            counts = self.next.get(own)
-            if counts is None:
-                break
-            n, kinds = self.total[own], len(counts)
-            p = (counts.get(c, 0) + kinds * p) / (n + kinds)
-        return p
-
-    def log_likelihood(self, text: str) -> float:
-        t, total, known, order = _START * self.order + text, 0.0, self.known, self.order
-        for i in range(order, len(t)):
-            g = t[i - order : i + 1]
-            x = known.get(g)
-            if x is None:
-                if len(known) > 200_000:
-                    known.clear()
-                x = known[g] = math.log(self.probability(g[:-1], g[-1]))
-            total += x
-        return total
-
-
-@dataclass
-class Ratio:
-    accepted: Markov
-    rejected: Markov
-    threshold: float = 0.0
-
-    def score(self, url: str | None) -> float:
-        t = _text(url)
-        return (self.accepted.log_likelihood(t) - self.rejected.log_likelihood(t)) / len(t) if t else 0.0
-
-
-def _counted(labelled: DataFrame, order: int, least_share: float) -> dict[bool, list[tuple[str, int]]]:
-    """The kept grams of both classes. A context's counts are kept whole or not at all."""
-    grams = labelled.transform(in_batches, _grams(order), "accepted boolean, gram string, n long").groupBy("accepted", "gram").agg(F.sum("n").alias("n"))
-    held = grams.select("accepted", "n", F.substring("gram", -1, 1).alias("next"), F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).cache()
-    try:
-        totals = held.where("context = ''").groupBy("accepted").agg(F.sum("n").alias("all"))
-        contexts = held.groupBy("accepted", "context").agg(F.sum("n").alias("m")).join(F.broadcast(totals), "accepted").where(F.col("m") >= least_share * F.col("all")).select("accepted", "context")
-        out: dict[bool, list[tuple[str, int]]] = {True: [], False: []}
-        for r in held.join(contexts, ["accepted", "context"]).orderBy("accepted", "context", "next").collect():
-            out[r.accepted].append((r.context + r.next, r.n))
-    finally:
-        held.unpersist()
-    return out
-
-
-def _score(held, only: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = held.value
-        for b in batches:
-            got = pa.array([None if ratio is None else ratio.score(u) for u in b.column("url").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([got, *(b.column(c) for c in b.schema.names if c != "url" or not only)], names=["score", *(c for c in b.schema.names if c != "url" or not only)])
-
-    return run
+def log_ratios(counts: DataFrame, order: int) -> DataFrame:
+    """counts: gram of order + 1 characters, a and r (times seen in accepted and rejected URLs) and s (times to be
+    judged). Per gram to be judged: the difference of its log-probabilities under both models.
 
-
-def fit_ratio(labelled: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> Ratio | None:
-    """labelled: url and accepted (boolean). None if a class has no URL to learn from."""
-    rows = pick(labelled, "url", "accepted", url="string", accepted="boolean").where("url is not null and accepted is not null")
-    aside = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    grams = _counted(rows.where(~aside), order, least_share)
-    if not grams[True] or not grams[False]:
+    Order by order, the longest last: a context's total and number of kinds are sums over its
+    grams, and a gram takes its shorter context's probability from the table before.
+    """
+    known = None
+    for k in range(order + 1):
+        gram = F.substring("gram", -(k + 1), k + 1)
+        own = counts.groupBy(gram.alias("gram")).agg(*(F.sum(c).alias(c) for c in "ars"))
+        context = Window.partitionBy(F.substring("gram", 1, k) if k else F.lit(0))
+        for c in "ar":
+            own = own.withColumn(f"n{c}", F.sum(c).over(context)).withColumn(f"k{c}", F.sum((F.col(c) > 0).cast("long")).over(context))
+        own = own.where("s > 0")
+        if known is None:
+            own = own.withColumns({f"q{c}": F.lit(1.0 / ALPHABET) for c in "ar"})
+        else:
+            own = own.withColumn("shorter", F.substring("gram", 2, k)).join(known, "shorter")
+        seen = {f"p{c}": F.when(F.col(f"n{c}") > 0, (F.col(c) + F.col(f"k{c}") * F.col(f"q{c}")) / (F.col(f"n{c}") + F.col(f"k{c}"))).otherwise(F.col(f"q{c}")) for c in "ar"}
+        own = own.select("gram", "s", *(p.alias(n) for n, p in seen.items()))
+        known = own.select(F.col("gram").alias("shorter"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
+    return own.select("gram", "s", (F.log("pa") - F.log("pr")).alias("ratio"))
+
+
+def score_urls(urls: DataFrame, order: int = ORDER, scope: str = "default") -> DataFrame | None:
+    """urls: row (unique), url, accepted (null: unlabelled), learn and judge (booleans). Per row to be judged that
+    has a text: row and score. None if a class has no URL to learn from."""
+    read = urls.select("row", "judge", F.when(F.col("learn"), F.col("accepted")).alias("accepted"), "url").where("accepted is not null or judge")
+    one = stash(read.transform(in_batches, _grams(order), "row long, judge boolean, accepted boolean, gram string, n long"), "url-grams", scope)
+    times = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    counts = stash(one.groupBy("gram").agg(times(F.col("accepted")).alias("a"), times(~F.col("accepted")).alias("r"), times(F.col("judge")).alias("s")), "url-counts", scope)
+    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "ars")).first()
+    if not total.a or not total.r:
         return None
-    ratio = Ratio(Markov(grams[True], order), Markov(grams[False], order))
-    held = rows.sparkSession.sparkContext.broadcast(ratio)
-    bins = F.least(F.greatest(F.floor((F.col("score") + _RANGE / 2) * (_BINS / _RANGE)), F.lit(0)), F.lit(_BINS - 1))
-    scored = rows.where(aside).transform(in_batches, _score(held, True), "score double, accepted boolean")
-    histogram = scored.groupBy("accepted", bins.alias("bin")).agg(F.count("*").alias("n")).collect()  # at most 2 * _BINS rows
-    counts = np.zeros((2, _BINS + 1))
+    ratios = stash(log_ratios(counts, order), "url-ratios", scope)
+    hot = F.col("s") >= max(2, HOT_SHARE * total.s)
+    frequent = F.broadcast(ratios.where(hot).select("gram", F.col("ratio").alias("known")))
+    near = one.where("judge").select("row", "gram", "n").join(frequent, "gram", "left")
+    rare = near.where("known is null").join(ratios.where(~hot).select("gram", "ratio").hint("merge"), "gram")
+    parts = [near.where("known is not null").select("row", (F.col("n") * F.col("known")).alias("x"), "n"), rare.select("row", (F.col("n") * F.col("ratio")).alias("x"), "n")]
+    return reduce(DataFrame.unionAll, (p.groupBy("row").agg(F.sum("x").alias("x"), F.sum("n").alias("n")) for p in parts)).groupBy("row").agg(F.round(F.sum("x") / F.sum("n"), DIGITS).alias("score"))
+
+
+def threshold_of(scored: DataFrame) -> float:
+    """scored: accepted and score of labelled URLs that taught nothing. The least score that is accepted: the
+    middle one of the bin edges with the least sum of both error rates; 0 without URLs of both classes."""
+    bins = F.least(F.greatest(F.floor((F.col("score") + RANGE / 2) * (BINS / RANGE)), F.lit(0)), F.lit(BINS - 1))
+    histogram = scored.groupBy("accepted", bins.alias("bin")).agg(F.count("*").alias("n")).collect()  # at most 2 * BINS rows
+    counts = np.zeros((2, BINS + 1))
     for r in histogram:
         counts[int(r.accepted), r.bin + 1] += r.n
-    if counts.sum(axis=1).all():
-        below = np.cumsum(counts, axis=1) / counts.sum(axis=1, keepdims=True)
-        errors = np.round(below[1] + 1 - below[0], 12)
-        best = np.flatnonzero(errors == errors.min())
-        ratio.threshold = float(best[len(best) // 2] * _RANGE / _BINS - _RANGE / 2)
-    return ratio
+    if not counts.sum(axis=1).all():
+        return 0.0
+    below = np.cumsum(counts, axis=1) / counts.sum(axis=1, keepdims=True)
+    errors = np.round(below[1] + 1 - below[0], 12)
+    best = np.flatnonzero(errors == errors.min())
+    return float(best[len(best) // 2] * RANGE / BINS - RANGE / 2)
 
 
-def filter_urls(pages: DataFrame, allow: list[str], block: list[str], labelled: DataFrame | None = None, order: int = ORDER, least_share: float = LEAST_SHARE) -> DataFrame:
+def filter_urls(pages: DataFrame, allow: list[str], block: list[str], labelled: DataFrame | None = None, order: int = ORDER, scope: str = "default") -> DataFrame:
     """page_id, url, host, path, rule, score (null without models), verdict: allow or block.
 
-    Without ``labelled`` URLs, those that a rule decides teach the models.
+    Without ``labelled`` URLs (url, accepted), those that a rule decides teach the models.
     """
     all_rules = rules(allow, block)
-    rows = pick(pages, "page_id", "url", page_id="long", url="string")
+    rows = pick(pages, "page_id", "url", page_id="long", url="string").withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit(""))).withColumn("host", F.coalesce("host", F.lit("")))
     name, verdict = rule_columns(F.col("host"), F.col("path"), all_rules)
-    rows = rows.withColumn("rule", name).withColumn("decided", verdict)
+    rows = stash(rows.withColumn("rule", name).withColumn("decided", verdict), "url-rows", scope)
     if labelled is None:
-        labelled = rows.where("decided is not null").select("url", (F.col("decided") == "allow").alias("accepted"))
-    ratio = fit_ratio(labelled, order, least_share)
-    held = pages.sparkSession.sparkContext.broadcast(ratio)
-    threshold = ratio.threshold if ratio else 0.0
-    scored = rows.transform(in_batches, _score(held, False), "score double, page_id long, url string, host string, path string, rule string, decided string")
-    by_model = F.when(F.col("score").isNotNull() & (F.col("score") < threshold), "block").otherwise("allow")
-    return scored.select("page_id", "url", "host", "path", "rule", "score", F.coalesce("decided", by_model).alias("verdict"))
+        urls = rows.select("row", "url", (F.col("decided") == "allow").alias("accepted"), F.lit(True).alias("page"))
+    else:
+        taught = pick(labelled, "url", "accepted", url="string", accepted="boolean").where("url is not null and accepted is not null")
+        taught = stash(taught.select((-1 - F.monotonically_increasing_id()).alias("row"), "url", "accepted", F.lit(False).alias("page")), "url-labels", scope)
+        urls = rows.select("row", "url", F.lit(None).cast("boolean").alias("accepted"), F.lit(True).alias("page")).unionAll(taught)
+    aside = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    marked = urls.where("url is not null").select("row", "url", "accepted", (F.col("accepted").isNotNull() & ~aside).alias("learn"), (F.col("page") | aside).alias("judge"))
+    scores = score_urls(marked, order, scope)
+    if scores is None:
+        return rows.select("page_id", "url", "host", "path", "rule", F.lit(None).cast("double").alias("score"), F.coalesce("decided", F.lit("allow")).alias("verdict"))
+    scores = stash(scores, "url-scores", scope)
+    threshold = threshold_of(marked.where("accepted is not null and not learn").join(scores, "row"))
+    by_model = F.when(F.col("score") < threshold, "block").otherwise("allow")
+    return rows.join(scores, "row", "left").select("page_id", "url", "host", "path", "rule", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("decided", by_model).alias("verdict"))

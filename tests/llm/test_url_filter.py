@@ -1,8 +1,13 @@
+import math
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from gridweave.llm import url_filter
 from gridweave.llm.catalogue import ALLOW, BLOCK
-from gridweave.llm.url_filter import Markov, filter_urls, fit_ratio
+from gridweave.llm.url_filter import ALPHABET, BINS, RANGE, filter_urls, log_ratios
 
 
 def brute(url):
@@ -44,39 +49,86 @@ def test_models_tell_classes_apart(spark):
     pages = spark.createDataFrame([(1, "http://news7.org/story/1"), (2, "http://x7.biz/win-casino-3"), (3, None)], "page_id long, url string")
     got = {r.page_id: r for r in filter_urls(pages, [], [], train).collect()}
     assert got[1].verdict == "allow" and got[2].verdict == "block" and got[1].score > 0 > got[2].score and got[3].score == 0
-    ratio = fit_ratio(train)
-    assert abs(ratio.score("http://news7.org/story/1") - got[1].score) < 1e-9
-
-
-def test_counts_against_brute_force(spark):
-    rows = labelled(60)
-    order = 3
-    ratio = fit_ratio(spark.createDataFrame(rows, "url string, accepted boolean"), order, 0.0)
-    aside = {r.url for r in spark.createDataFrame(rows, "url string, accepted boolean").where("pmod(xxhash64(url), 5) = 0").collect()}
-    for accepted, model in ((True, ratio.accepted), (False, ratio.rejected)):
-        counts = {}
-        for u, a in rows:
-            if a == accepted and u not in aside:
-                t = "\x02" * order + u.split("://")[1].lower()
-                for i in range(order, len(t)):
-                    for n in range(order + 1):
-                        own = counts.setdefault(t[i - n : i], {})
-                        own[t[i]] = own.get(t[i], 0) + 1
-        assert model.next == counts
-
-
-def test_probabilities_sum_to_one():
-    model = Markov([("a", 3), ("b", 1), ("ab", 2), ("aa", 1)], 1)
-    alphabet = ["a", "b", *(chr(500 + i) for i in range(2046))]
-    for context in ("", "a", "b"):
-        assert abs(sum(model.probability(context, c) for c in alphabet) - 1) < 1e-9
-
-
-def test_bound_on_kept_contexts(spark):
-    ratio = fit_ratio(spark.createDataFrame(labelled(), "url string, accepted boolean"), 5, 0.01)
-    for model in (ratio.accepted, ratio.rejected):
-        for n in range(6):
-            assert sum(len(c) == n for c in model.next) <= 100
+
+
+class Model:
+    """A class's counts, all contexts kept, and Witten-Bell probabilities, plainly."""
+
+    def __init__(self, urls, order):
+        self.order, self.next = order, {}
+        for u in urls:
+            t = "\x02" * order + read(u)
+            for i in range(order, len(t)):
+                for n in range(order + 1):
+                    own = self.next.setdefault(t[i - n : i], {})
+                    own[t[i]] = own.get(t[i], 0) + 1
+
+    def probability(self, context, c):
+        p = 1 / ALPHABET
+        for k in range(len(context) + 1):
+            own = self.next.get(context[len(context) - k :])
+            if own:
+                p = (own.get(c, 0) + len(own) * p) / (sum(own.values()) + len(own))
+        return p
+
+    def log_likelihood(self, text):
+        t = "\x02" * self.order + text
+        return sum(math.log(self.probability(t[i - self.order : i], t[i])) for i in range(self.order, len(t)))
+
+
+def read(url):
+    return url.split("://", 1)[1].lower() if url and "://" in url else ""
+
+
+def plain(train, aside, urls, order):
+    """Scores, threshold and verdicts of the models, without Spark."""
+    good, bad = (Model([u for u, a in train if a == w and u not in aside], order) for w in (True, False))
+    score = lambda u: round((good.log_likelihood(read(u)) - bad.log_likelihood(read(u))) / len(read(u)), 10) if read(u) else 0.0
+    seen = [(score(u), a) for u, a in train if u in aside]
+    edges = [k * RANGE / BINS - RANGE / 2 for k in range(BINS + 1)]
+    errors = [round(sum(a and s < e for s, a in seen) / sum(a for _, a in seen) + sum(not a and s >= e for s, a in seen) / sum(not a for _, a in seen), 9) for e in edges]
+    best = [e for e, x in zip(edges, errors) if x == min(errors)]
+    return [(score(u), "block" if read(u) and score(u) < best[len(best) // 2] else "allow") for u in urls]
+
+
+@pytest.mark.parametrize("order,share", [(3, 1e-3), (5, 1e-3), (2, 0.9)])
+def test_scores_and_verdicts_against_brute_force(spark, monkeypatch, order, share):
+    """Odd URLs, ties, repeated rows and characters that no class has seen; grams joined by broadcast or not."""
+    monkeypatch.setattr(url_filter, "HOT_SHARE", share)
+    rows = labelled(120) + [("http://é.org/Straße\U0001f600", True), ("http://é.biz/", False), ("http://a", True), ("http://a", False), ("http://", True)]
+    train = spark.createDataFrame([*rows, (None, True), ("http://z", None)], "url string, accepted boolean")
+    aside = {r.url for r in train.where("pmod(xxhash64(url), 5) = 0").collect()}
+    urls = [u for u in URLS if len(u or "") < 1000] + [u for u, _ in rows[:20]] + ["http://new.org/x", "http://new.org/x", "http://\u4e16\u754c/", "http://b.biz/win" * 300]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in filter_urls(pages, [], [], train, order).collect()}
+    assert len(got) == len(urls)
+    for i, (score, verdict) in enumerate(plain(rows, aside, urls, order)):
+        assert abs(got[i].score - score) < 1e-8 and got[i].verdict == verdict, urls[i]
+
+
+def test_models_of_rules_read_all_that_rules_decide(spark):
+    """Without labels the URLs that a rule decides teach; all contexts are kept, once seen too."""
+    rows = [(f"http://{h}/{p}{i}", h == "net") for i in range(40) for h, p in (("net", "de/"), ("com", "en/"))]
+    urls = [u for u, _ in rows] + ["http://other.io/de/1", "http://other.io/en/39"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    aside = {r.url for r in pages.where("pmod(xxhash64(url), 5) = 0").collect()}
+    got = {r.page_id: r for r in filter_urls(pages, ALLOW, BLOCK).collect()}
+    want = plain(rows, aside, urls, 5)
+    assert all(abs(got[i].score - w[0]) < 1e-8 for i, w in enumerate(want))
+    assert all(got[i].verdict == want[i][1] for i in range(len(rows), len(urls)))
+
+
+def test_ratios_of_known_counts(spark):
+    """The difference of both models' log-probabilities, worked out by hand from the counts."""
+    seen = [("ab", 3, 1), ("aa", 2, 0), ("cb", 1, 4)]
+    asked = [("a" + c, 0, 0) for c in "abc"]
+    counts = spark.createDataFrame([(g, a, r, 0) for g, a, r in seen] + [(g, a, r, 1) for g, a, r in asked], "gram string, a long, r long, s long").groupBy("gram").agg(*(F.sum(c).alias(c) for c in "ars"))
+    got = {r.gram: r.ratio for r in log_ratios(counts, 1).collect()}
+    base = {c: ((n + kinds / ALPHABET) / (total + kinds)) for c, n, total, kinds in (("a", 2, 6, 2), ("b", 4, 6, 2), ("c", 0, 6, 2))}
+    left = {c: (n + 2 * base[c]) / 7 for c, n in (("a", 2), ("b", 3), ("c", 0))}
+    other = {c: (n + 1 / ALPHABET) / 6 for c, n in (("a", 0), ("b", 5), ("c", 0))}
+    right = {c: (n + 1 * other[c]) / 2 for c, n in (("a", 0), ("b", 1), ("c", 0))}
+    assert set(got) == {"aa", "ab", "ac"} and all(abs(got["a" + c] - math.log(left[c] / right[c])) < 1e-12 for c in "abc")
 
 
 def test_without_classes(spark):
