@@ -485,10 +485,14 @@ def _thresholded(name: str, beta: str, contrast: str | None = None) -> str:
     """CTE {name}y: the patches of _patched thresholded and averaged: X (p I + q G), whose factors are
     max(s - beta, 0) / s at both singular values. contrast: scaled to a leading value of one before."""
     factor = (lambda s: f"greatest({s} / s1 - ({contrast}), 0) / ({s} / s1) / (1 - ({contrast}))") if contrast else (lambda s: f"greatest({s} - ({beta}), 0) / {s}")
-    return f"""{name}h AS (SELECT *, CASE WHEN s1 > 0 THEN {factor('s1')} ELSE 0 END AS h1, CASE WHEN s2 > 1e-9 * s1 THEN {factor('s2')} ELSE 0 END AS h2 FROM {name}s),
-{name}q AS (SELECT patch_id, a, b, cr, ci, h1, s1, CASE WHEN s1 * s1 - s2 * s2 > 1e-12 * s1 * s1 THEN (h1 - h2) / (s1 * s1 - s2 * s2) ELSE 0 END AS q FROM {name}h),
+    gram = ", ".join(f"sum({e}) OVER (PARTITION BY patch_id) AS {n}" for n, e in (("a", "r1 * r1 + i1 * i1"), ("b", "r2 * r2 + i2 * i2"), ("cr", "r1 * r2 + i1 * i2"), ("ci", "r1 * i2 - i1 * r2")))
+    root = "sqrt(power((a - b) / 2, 2) + cr * cr + ci * ci)"
+    return f"""{name}v AS MATERIALIZED (SELECT *, {gram} FROM {name}w),
+{name}k AS (SELECT *, sqrt((a + b) / 2 + {root}) AS s1, sqrt(greatest((a + b) / 2 - {root}, 0)) AS s2 FROM {name}v),
+{name}h AS (SELECT *, CASE WHEN s1 > 0 THEN {factor('s1')} ELSE 0 END AS h1, CASE WHEN s2 > 1e-9 * s1 THEN {factor('s2')} ELSE 0 END AS h2 FROM {name}k),
+{name}q AS (SELECT *, CASE WHEN s1 * s1 - s2 * s2 > 1e-12 * s1 * s1 THEN (h1 - h2) / (s1 * s1 - s2 * s2) ELSE 0 END AS q FROM {name}h),
 {name}y AS MATERIALIZED (SELECT x, y, z, avg(r1 * (h1 - q * s1 * s1 + q * a) + q * (r2 * cr + i2 * ci)) AS r1, avg(r2 * (h1 - q * s1 * s1 + q * b) + q * (r1 * cr - i1 * ci)) AS r2,
-  avg(i1 * (h1 - q * s1 * s1 + q * a) + q * (i2 * cr - r2 * ci)) AS i1, avg(i2 * (h1 - q * s1 * s1 + q * b) + q * (r1 * ci + i1 * cr)) AS i2 FROM {name}w JOIN {name}q USING (patch_id) GROUP BY x, y, z)"""
+  avg(i1 * (h1 - q * s1 * s1 + q * a) + q * (i2 * cr - r2 * ci)) AS i1, avg(i2 * (h1 - q * s1 * s1 + q * b) + q * (r1 * ci + i1 * cr)) AS i2 FROM {name}q GROUP BY x, y, z)"""
 
 
 def _svst_frames(patch, stride, beta: str, clamp: bool = True, contrast: str | None = None) -> str:
