@@ -6,9 +6,10 @@ is a pattern; an item of fewer words, but not none, is one pattern. The automato
 words: an item's words are numbered, all others are symbol zero. Each text is scanned once;
 matches give word positions, which map to character offsets of the original text.
 
-Only the benchmark is broadcast, in blocks of at most ``block_bytes`` of text; a benchmark of
-several blocks is scanned block by block with the matches of a document carried along in its
-row, so its size is never bounded by an executor's memory and nothing is shuffled.
+Only the benchmark is broadcast, in blocks of at most ``block_words`` windows, long items cut into
+overlapping parts; a benchmark of several blocks is scanned block by block with the matches of a
+document carried along in its row, written between blocks. So one automaton is all that a worker
+holds, the benchmark's size is never bounded by its memory, and nothing is shuffled.
 
 A null text or item has no words. Rows are kept one for one, repeated rows included; an empty
 benchmark leaves every document clean. Items with equal text match alike; a null item_id is
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, in_batches, keep_where, pick, stash
+from .common import documents, give_back, in_batches, keep_where, pick, plain_names, stash
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of UTF-8: what is not part of a word becomes a space, A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-BLOCK_BYTES = 16 << 20
+#: Windows of one automaton, which bounds a worker's memory: each makes at most ``window`` nodes, of about 80 bytes.
+BLOCK_WORDS = 400_000
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -127,25 +129,31 @@ def _offsets(text: bytes, spans: list[tuple[int, int]]) -> list[int]:
     return [x for a, b in spans for x in (at[a][0], at[b - 1][1])]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items, as their words, in blocks of at most block_words windows; a longer item is cut into parts
+    that overlap by a window less one word, so all its windows are in some block."""
     items = pick(benchmark, "item_id", "text", item_id="string", text="string").where("text is not null").select(F.coalesce("item_id", F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    block: list[tuple[str, bytes | None]] = []
+    block: list[tuple[str, bytes]] = []
     size = 0
     for r in items.toLocalIterator():
-        if block and size + len(r.text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, bytes(r.text)))
-        size += len(r.text)
+        words = normal_words(bytes(r.text))
+        for at in range(0, max(len(words) - window + 1, 1), block_words):
+            part = words[at : at + block_words + window - 1]
+            own = max(len(part) - window + 1, 1)
+            if block and size + own > block_words:
+                yield block
+                block, size = [], 0
+            block.append((r.item_id, b" ".join(part)))
+            size += own
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, scope: str = "default") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, scope: str = "default") -> DataFrame:
     """One row per document: doc_id, n_words, spans (word spans, flat), items (sorted
     item_ids as strings), offsets (character spans of the original text, flat)."""
     spark = docs.sparkSession
     out = documents(docs)
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, window, block_words)
     block = next(blocks)
     while block is not None:
         after = next(blocks, None)
@@ -174,8 +182,15 @@ def _clean(block, window: int):
     return clean
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS, scope: str = "default") -> DataFrame:
     """The rows, all columns kept, in which no window of any item occurs."""
-    for block in _blocks(benchmark, block_bytes):
-        docs = keep_where(docs, _clean(docs.sparkSession.sparkContext.broadcast(block), window), "text")
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, window, block_words)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        docs = keep_where(docs, _clean(spark.sparkContext.broadcast(block), window), "text")
+        if after is not None:  # written, so that a worker never has to hold or rebuild more than one automaton
+            docs = stash(plain_names(docs)[0], "decontamination", scope).toDF(*docs.columns)
+        block = after
     return docs

@@ -41,11 +41,11 @@ def case():
     return texts, items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 20, 7])
+def test_against_brute_force(spark, block_words):
     texts, items = case()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate(odd_docs(spark, texts), bench, block_bytes=block_bytes)
+    found = decontaminate(odd_docs(spark, texts), bench, block_words=block_words)
     got = {r.doc_id: r for r in contamination_report(found).collect()}
     offsets = {r.doc_id: r.offsets for r in found.collect()}
     some = 0
@@ -57,7 +57,7 @@ def test_against_brute_force(spark, block_bytes):
         assert sum(len(split(t[a:b])) for a, b in zip(offsets[i][::2], offsets[i][1::2])) == hit
         some += hit > 0
     assert 3 < some < len(texts)
-    kept = {r.doc_id for r in drop_contaminated(odd_docs(spark, texts), bench, block_bytes=block_bytes).select("doc_id").collect()}
+    kept = {r.doc_id for r in drop_contaminated(odd_docs(spark, texts), bench, block_words=block_words).select("doc_id").collect()}
     assert kept == {i for i, t in enumerate(texts) if not brute(t, items)[1]}
 
 
