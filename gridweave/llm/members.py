@@ -42,6 +42,17 @@ def passes(words: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     return ((words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).all(axis=1)
 
 
+def filter_of(keys: np.ndarray) -> bytes:
+    """The filter of some keys in one task; empty, which lets all pass, for too many."""
+    bits = filter_bits(len(keys))
+    if bits is None:
+        return b""
+    at = places(keys, bits).ravel()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    np.bitwise_or.at(out, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+    return out.tobytes()
+
+
 def _words(bits: int):
     def do(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
