@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives, quantised
 from .language import fit_languages, predict_languages
 from .line_dedup import line_report
+from .mixing import Mix
 from .packing import pack
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
@@ -84,6 +85,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"), run=1, window=1)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).report()
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -164,6 +169,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_mixing": op11_mixing,
         "op12_hard_negatives": op12_hard_negatives,
     }
 
