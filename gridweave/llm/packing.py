@@ -3,12 +3,12 @@
 Every document is encoded whole and ended with one end id. Pieces of exactly the sequence's
 length are cut from its front and fill sequences of their own; what is left of it is one
 shorter piece. The histogram of those lengths (at most ``limit`` entries) goes to the driver,
-which places lengths longest first, each into the pack with the least room that still takes it,
-and updates counts of packing patterns instead of packs. The pieces are joined back to the
-patterns by their rank among pieces of the same length.
+which places lengths longest first, each into the shortest pack there is (the one with the most
+room), or into a new one if it doesn't fit there, and updates counts of packing patterns instead of packs. The
+pieces are joined back to the patterns by their rank among pieces of the same length.
 
 The rank needs no sort: pieces are numbered within each task while they are written, and a
-table of counts by task and length gives what comes before.
+table of counts by task and length gives what comes before; it is broadcast while it is small.
 
 A null text counts as empty: one piece with the end id alone. Repeated rows and equal doc_ids
 are packed as separate documents. An empty table gives an empty result.
@@ -31,6 +31,8 @@ from .common import documents, give_back, in_batches, stash
 from .tokens import default_tokenizer, encoder
 
 END = b"\0\0\0\0"
+#: Rows (task, length) of the table of counts up to which it is broadcast: 24 MB; else it is joined by a shuffle.
+FEW_COUNTS = 1_000_000
 
 
 def _pieces(path: str, limit: int):
@@ -58,8 +60,9 @@ def _pieces(path: str, limit: int):
 def pack_histogram(counts: dict[int, int], limit: int) -> list[tuple[int, tuple[int, ...]]]:
     """Shortest-pack-first: (times, lengths) of every packing pattern, over a histogram.
 
-    The pack with the least room that still takes a length is filled first; a pattern is split
-    when only some of its packs take the length. Deterministic.
+    A length goes into the shortest pack, which has the most room; where it doesn't fit there it fits
+    nowhere, and a new pack is begun, which is then the shortest one and takes as many of that length
+    as fit. A pattern is split when only some of its packs take the length. Deterministic.
     """
     by_room: dict[int, list[list]] = {}
     rooms: list[int] = []  # sorted, of patterns with room
@@ -73,14 +76,17 @@ def pack_histogram(counts: dict[int, int], limit: int) -> list[tuple[int, tuple[
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            fit = next((r for r in rooms if r >= length), None)
-            if fit is None:
-                put(left, (length,), limit - length)
+            fit = rooms[-1] if rooms else 0
+            if fit < length:
+                most = limit // length
+                for times, held in ((left // most, most), (1, left % most)):
+                    if times and held:
+                        put(times, (length,) * held, limit - held * length)
                 break
             times, lengths = by_room[fit].pop()
             if not by_room[fit]:
                 del by_room[fit]
-                rooms.remove(fit)
+                rooms.pop()
             used = min(times, left)
             if times > used:
                 put(times - used, lengths, fit)
@@ -134,6 +140,6 @@ def pack(docs: DataFrame, limit: int = 1024, tokenizer: str | None = None, scope
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limit rows
     table = spark.sparkContext.broadcast(slots(pack_histogram(histogram, limit)))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["task", "length"])
+    before = stash(counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "pieces-before", scope)
+    ranked = pieces.join(F.broadcast(before) if before.count() <= FEW_COUNTS else before, ["task", "length"])
     return ranked.transform(in_batches, _place(table), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from gridweave.llm import tokens
+from gridweave.llm import packing, tokens
 from gridweave.llm.packing import pack, pack_histogram, slots
 from gridweave.llm.token_counts import attribute, field_token_counts, line_spans, line_token_counts
 from gridweave.llm.token_files import decode_block, encode_block, qualified, read_file, read_token_files, write_token_files
@@ -75,6 +75,35 @@ def test_histogram_packing():
             assert first_rank[0] == 0 and (np.diff(first_rank) > 0).all()
 
 
+def test_shortest_pack_first():
+    """Longest first, each into the pack with the most room, pack by pack."""
+    assert sorted(pack_histogram({6: 1, 5: 1, 3: 1}, 10)) == [(1, (5, 3)), (1, (6,))]
+    assert sorted(pack_histogram({6: 2, 5: 1, 3: 2, 1: 1}, 10)) == [(1, (5, 3)), (1, (6, 1)), (1, (6, 3))]
+    rng = random.Random(9)
+    for _ in range(50):
+        counts = {n: rng.randrange(1, 9) for n in rng.sample(range(1, 33), 9)}
+        packs = []
+        for n in sorted(counts, reverse=True):
+            for _ in range(counts[n]):
+                best = min(packs, key=sum, default=None)
+                if best is None or sum(best) + n > 32:
+                    packs.append([n])
+                else:
+                    best.append(n)
+        got = pack_histogram(counts, 32)
+        # Equally short packs are alike for what follows: only the sums count.
+        assert sorted(sum(p) for p in packs) == sorted(sum(p) for times, p in got for _ in range(times))
+
+
+def test_many_counts_are_joined_by_a_shuffle(spark, monkeypatch):
+    held = docs(spark, TEXTS, IDS)
+    key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32").collect())
+    one = pack(held, 64)
+    monkeypatch.setattr(packing, "FEW_COUNTS", 0)
+    other = pack(held, 64)
+    assert "BroadcastHashJoin" in one._jdf.queryExecution().executedPlan().toString() and key(one) == key(other)
+
+
 def test_pack(spark):
     limit = 64
     got = pack(odd_docs(spark, TEXTS, IDS), limit).collect()
