@@ -80,9 +80,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines (not blank), n_deleted, deleted (line numbers from 0): every
-    line that occurred before, whatever its neighbours."""
-    return line_report(_table(spark, sf_dir, "documents"), run=1, window=1)
+    """Per document: doc_id, n_lines (not blank), n_deleted, deleted (line numbers from 0, comma-joined):
+    every line that occurred before, whatever its neighbours."""
+    found = line_report(_table(spark, sf_dir, "documents"), run=1, window=4, short=True)
+    return found.select("doc_id", "n_lines", "n_deleted", F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted"))
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +134,20 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+OP9_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS n FROM s),
+k AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) > 1 AS gone
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted,
+         string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (gone) AS deleted
+  FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(deleted, '') AS deleted
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
 OP12_SQL = r"""
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -178,5 +193,6 @@ def llm_oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
         "op6_exact_dedup": OP6_SQL,
+        "op9_line_dedup": OP9_SQL,
         "op12_hard_negatives": OP12_SQL,
     }

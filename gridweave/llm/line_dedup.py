@@ -11,6 +11,11 @@ run of ``run + window - 1`` lines or more, all lines are deleted, but for up to
 either end where other earlier copies go on differently (none if ``window <= run`` and the first
 occurrence has the whole run).
 
+With ``short``, a second pass takes the repeats that are shorter than the guarantee and that no fingerprint
+reached: of the lines that are left, each one that is left in an earlier place too goes. The first
+occurrence of a line is never deleted by the first pass, so after both (with ``run`` 1) exactly the lines
+that occurred before are gone.
+
 Rows of equal doc_id and text are one document and treated alike. Null texts stay null, empty
 ones empty. Blank lines stay, but a text whose lines are all deleted becomes empty.
 """
@@ -133,7 +138,37 @@ def _runs(run: int):
     return do
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str = "default") -> tuple[DataFrame, DataFrame]:
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of the lines that are not gone: hash and line number."""
+    for b in batches:
+        lines, numbers, gone = b.column("lines"), b.column("numbers"), b.column("gone")
+        marks, places = [], []
+        for i in range(b.num_rows):
+            own, at = lines[i].values.to_numpy(), numbers[i].values.to_numpy()
+            if gone[i].is_valid:
+                keep = ~np.isin(at, gone[i].values.to_numpy())
+                own, at = own[keep], at[keep]
+            marks.append(own)
+            places.append(at)
+        g, p = _lists(marks, pa.int64()), _lists(places, pa.int32())
+        m = pa.ListArray.from_arrays(g.offsets, pa.StructArray.from_arrays([g.values, p.values], names=["g", "pos"]))
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), m], names=["doc", "h", "marks"])
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    """doc, h and the sorted, distinct numbers of rows (doc, h, gone: array)."""
+    return rows.groupBy("doc", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+
+
+def short_repeats(arrays: DataFrame, gone: DataFrame, scope: str = "default") -> DataFrame:
+    """The second pass: doc, h, gone (array of numbers) of lines that the first pass has left and that
+    are left in an earlier place too."""
+    left = arrays.join(gone, ["doc", "h"], "left").select("doc", "h", "lines", "numbers", "gone")
+    marks = stash(left.transform(in_batches, _left, "doc long, h long, marks array<struct<g:long,pos:int>>"), "left-lines", scope)
+    return first_links(marks, scope).groupBy("doc", "h").agg(F.collect_list("pos").alias("gone"))
+
+
+def repeated_lines(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str = "default", short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(all, gone): all has doc, h, lines, numbers of every row; gone has doc, h and the sorted
     numbers of deleted lines (from 0) of documents that lose any."""
     source = documents(docs).select(doc_key(F.col("doc_id")).alias("doc"), "text")
@@ -146,8 +181,10 @@ def repeated_lines(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope:
         arrays = arrays.dropDuplicates(["doc", "h"])
     both = linked.join(arrays, ["doc", "h"]).join(arrays.select(F.col("doc").alias("doc0"), F.col("h").alias("h0"), F.col("lines").alias("lines0")), ["doc0", "h0"])
     runs = both.select("doc", "h", "doc0", "h0", "at", "lines", "numbers", "lines0").transform(in_batches, _runs(run), "doc long, h long, gone array<int>")
-    gone = runs.groupBy("doc", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-    return rows, stash(gone, "gone-lines", scope)
+    gone = stash(_numbers(runs), "gone-lines", scope)
+    if short:
+        gone = stash(_numbers(gone.unionByName(short_repeats(arrays, gone, scope))), "all-gone-lines", scope)
+    return rows, gone
 
 
 def _repeats(rows: DataFrame) -> bool:
@@ -155,9 +192,9 @@ def _repeats(rows: DataFrame) -> bool:
     return not rows.groupBy("doc", "h").count().where("count > 1").isEmpty()
 
 
-def line_report(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str = "default") -> DataFrame:
+def line_report(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str = "default", short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_deleted, deleted (numbers from 0), one row per row."""
-    rows, gone = repeated_lines(docs, run, window, scope)
+    rows, gone = repeated_lines(docs, run, window, scope, short)
     deleted = F.coalesce("gone", F.array().cast("array<int>"))
     own = F.when(F.col("doc") != NO_ID, F.col("doc"))
     return rows.select("doc", "h", F.size("numbers").cast("long").alias("n_lines")).join(gone, ["doc", "h"], "left").select(own.alias("doc_id"), "n_lines", F.size(deleted).cast("long").alias("n_deleted"), deleted.alias("deleted"))
@@ -197,12 +234,12 @@ def _cut(text: str):
     return do
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str = "default") -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN, window: int = WINDOW, scope: str = "default", short: bool = False) -> DataFrame:
     """The table with repeated lines deleted from ``text``; all columns kept, and n_deleted
     (long) added as the last. Only rows that may lose lines are shuffled."""
     spark = docs.sparkSession
     small_batches(spark)
-    _, gone = repeated_lines(docs, run, window, scope)
+    _, gone = repeated_lines(docs, run, window, scope, short)
     bits = spark.sparkContext.broadcast(member_filter(gone.select("h")))
     plain, names = plain_names(docs)
     text, doc_id = column_at(docs, "text"), column_at(docs, "doc_id")
