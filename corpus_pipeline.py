@@ -29,8 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occurred before are deleted, single ones too; a document of which nothing is left goes."""
-    done = line_dedup(docs, run=1, window=1, scope="pipeline-lines")
+    """Lines that occurred before are deleted: runs by winnowing, shorter repeats in a second pass. A document of which
+    nothing is left goes."""
+    done = line_dedup(docs, run=1, window=4, scope="pipeline-lines", short=True)
     left = done.where((F.col("n_deleted") == 0) | (F.col("text") != ""))
     sizes = {"n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return left.withColumns(sizes).drop("n_deleted")
