@@ -3,7 +3,7 @@
 A patch is the matrix of its voxels' series (rows: voxels, columns: frames). Strategies:
 
 * one voxel a patch: its series is shrunk by its own norm; native expressions, no grouping;
-* small patches: grouped by patch, one SVD each, in Arrow batches;
+* small patches: cut inside blocks of voxels with a halo (``operators.tiling``), decomposed in stacks;
 * large patches: the frames-by-frames Gram matrix is summed over partitions, its spectral
   function is applied to the rows where they lie; no patch ever meets in one task.
 """
@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.complexes import array_dot
+from gridweave.operators import tiling
 from gridweave.operators.patches import Patches, combine_packed, extract
 from gridweave.schema import require
 
@@ -73,16 +75,25 @@ def shrink_voxels(series: DataFrame, beta: Column | float) -> DataFrame:
     return out.withColumns({c: F.transform(c, lambda v: v * F.col("_f")) for c in ("re", "im")}).drop("_f")
 
 
-def threshold_grouped(patches: DataFrame, beta: float | None, contrast: bool = False) -> DataFrame:
-    """patches: patch_id, x, y, z, re, im and, if beta is None, a column beta by patch."""
-    step = contrast_svst if contrast else svst
+def shrink_stack(m: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """svst() of a stack of matrices, a threshold each, by one decomposition of them all."""
+    try:
+        u, s, vh = np.linalg.svd(m, full_matrices=False)
+    except np.linalg.LinAlgError:
+        return np.stack([svst(x, b) for x, b in zip(m, beta)])
+    return (u * np.maximum(s - beta[:, None], 0)[:, None, :]) @ vh
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = float(pdf["beta"].iloc[0]) if beta is None else beta
-        return _rows(pdf, step(_matrix(pdf), b))
 
-    columns = ["patch_id", "x", "y", "z", "re", "im"] + (["beta"] if beta is None else [])
-    return patches.select(*columns).groupBy("patch_id").applyInPandas(one, PACKED)
+def contrast_stack(m: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """contrast_svst() of a stack of matrices."""
+    try:
+        u, s, vh = np.linalg.svd(m, full_matrices=False)
+    except np.linalg.LinAlgError:
+        return np.stack([contrast_svst(x, b) for x, b in zip(m, beta)])
+    lead = s[:, :1]
+    kept = np.maximum(np.divide(s, lead, out=np.zeros_like(s), where=lead > 0) - beta[:, None], 0)
+    kept *= np.divide(lead, kept[:, :1], out=np.zeros_like(lead), where=kept[:, :1] > 0)
+    return (u * kept[:, None, :]) @ vh
 
 
 def _pack(g: np.ndarray) -> np.ndarray:
@@ -152,15 +163,15 @@ def patch_svst(series: DataFrame, geometry: Patches, beta: float | DataFrame, *,
     beta: one threshold, or a table (patch_id, beta). Voxels in no patch become zero.
     """
     require(series, "x", "y", "z", "re[", "im[")
-    patches = extract(series, geometry)
     table = isinstance(beta, DataFrame)
     if geometry.volume > grouped_rows:
-        found = combine_packed(threshold_gram(patches, beta), geometry)
+        found = combine_packed(threshold_gram(extract(series, geometry), beta), geometry)
     elif geometry.volume == 1:
+        patches = extract(series, geometry)
         held = patches.join(beta, "patch_id") if table else patches
         found = shrink_voxels(held, F.col("beta") if table else beta).select("x", "y", "z", "re", "im")
     else:
-        found = combine_packed(threshold_grouped(patches.join(beta, "patch_id"), None) if table else threshold_grouped(patches, beta), geometry)
+        found = tiling.shrink(series, tiling.Tiles.of(geometry), shrink_stack, beta)
     return found if geometry.covers else _zero_elsewhere(found, series)
 
 
@@ -168,7 +179,7 @@ def patch_svst_2d(series: DataFrame, grid: tuple[int, int, int], patch: tuple[in
     """Contrast-preserving thresholding within planes of equal x; patch and stride are (y, z). No
     clipping or clamping: trailing voxels in no patch become zero."""
     geometry = Patches(grid, (1, *patch), (1, *stride), "drop_tail")
-    found = combine_packed(threshold_grouped(extract(series, geometry), beta, contrast=True), geometry)
+    found = tiling.shrink(series, tiling.Tiles.of(geometry), contrast_stack, beta)
     return found if geometry.covers else _zero_elsewhere(found, series)
 
 
@@ -178,38 +189,58 @@ def _zero_elsewhere(found: DataFrame, series: DataFrame) -> DataFrame:
     return cells.join(found, ["x", "y", "z"], "left").select("x", "y", "z", F.coalesce("re", zero).alias("re"), F.coalesce("im", zero).alias("im"))
 
 
-def nuclear_norms(patches: DataFrame, *, volume: int, grouped_rows: int = GROUPED_ROWS) -> DataFrame:
-    """(patch_id, nn, lead): the sum of singular values and the largest one of each patch."""
-    require(patches, "patch_id", "re[", "im[")
-    if volume == 1:
+_NORMS = pa.schema([("patch_id", pa.int32()), ("nn", pa.float64()), ("lead", pa.float64())])
+
+
+def _stack_norms(ids: list[int], m: np.ndarray) -> pa.Table:
+    s = np.linalg.svd(m, compute_uv=False)
+    return pa.table([pa.array(ids, pa.int32()), pa.array(s.sum(axis=1)), pa.array(s.max(axis=1))], schema=_NORMS)
+
+
+def nuclear_norms(series: DataFrame, geometry: Patches, *, grouped_rows: int = GROUPED_ROWS) -> DataFrame:
+    """(patch_id, nn, lead): the sum of singular values and the largest one of each patch of packed series."""
+    require(series, "x", "y", "z", "re[", "im[")
+    if geometry.volume == 1:
         norm = F.sqrt(array_dot(F.col("re"), F.col("re")) + array_dot(F.col("im"), F.col("im")))
-        return patches.select("patch_id", norm.alias("nn"), norm.alias("lead"))
-    if volume > grouped_rows:
+        return extract(series, geometry).select("patch_id", norm.alias("nn"), norm.alias("lead"))
+    if geometry.volume > grouped_rows:
 
         def spectral(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
                 s = [_spectrum(g)[0] for g in pdf["g"]]
                 yield pd.DataFrame({"patch_id": pdf["patch_id"], "nn": [x.sum() for x in s], "lead": [x.max() for x in s]})
 
-        return gram(patches).mapInPandas(spectral, "patch_id int, nn double, lead double")
+        return gram(extract(series, geometry)).mapInPandas(spectral, "patch_id int, nn double, lead double")
+    return tiling.each_patch(series, tiling.Tiles.of(geometry), _stack_norms, "patch_id int, nn double, lead double", _NORMS)
+
+
+_GRAMS = pa.schema([("patch_id", pa.int32()), ("g", pa.list_(pa.float64()))])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.linalg.svd(_matrix(pdf), compute_uv=False)
-        return pd.DataFrame({"patch_id": [pdf["patch_id"].iloc[0]], "nn": [s.sum()], "lead": [s.max()]})
 
-    return patches.select("patch_id", "re", "im").groupBy("patch_id").applyInPandas(one, "patch_id int, nn double, lead double")
+def _stack_grams(ids: list[int], m: np.ndarray) -> pa.Table:
+    g = m.conj().transpose(0, 2, 1) @ m
+    flat = np.concatenate([g.real.reshape(len(m), -1), g.imag.reshape(len(m), -1)], axis=1)
+    ends = pa.array(np.arange(len(m) + 1, dtype=np.int32) * flat.shape[1], pa.int32())
+    return pa.table([pa.array(ids, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))], schema=_GRAMS)
+
+
+def grams(series: DataFrame, geometry: Patches, *, grouped_rows: int = GROUPED_ROWS) -> DataFrame:
+    """(patch_id, g) as gram() has them, of packed series: small patches are cut inside blocks, large ones
+    summed over partitions."""
+    if geometry.volume > grouped_rows:
+        return gram(extract(series, geometry))
+    return tiling.each_patch(series, tiling.Tiles.of(geometry), _stack_grams, "patch_id int, g array<double>", _GRAMS)
 
 
 def nuclear_norm(series: DataFrame, geometry: Patches) -> DataFrame:
     """One row (nn): the sum of nuclear norms over all patches."""
-    norms = nuclear_norms(extract(series, geometry), volume=geometry.volume)
-    return norms.agg(F.coalesce(F.sum("nn"), F.lit(0.0)).alias("nn"))
+    return nuclear_norms(series, geometry).agg(F.coalesce(F.sum("nn"), F.lit(0.0)).alias("nn"))
 
 
 def weighted_nuclear_norm(series: DataFrame, geometry: Patches, weights: DataFrame) -> DataFrame:
     """One row (nn): the mean over patches of weight times nuclear norm; patches whose leading
     singular value is zero count as zero. weights: (patch_id, weight)."""
-    norms = nuclear_norms(extract(series, geometry), volume=geometry.volume).join(weights, "patch_id")
+    norms = nuclear_norms(series, geometry).join(weights, "patch_id")
     return norms.agg((F.sum(F.when(F.col("lead") > 0, F.col("weight") * F.col("nn")).otherwise(0.0)) / F.count(F.lit(1))).alias("nn"))
 
 

@@ -245,7 +245,7 @@ def patch_svst_by_patch(spark, d):
 
 def nucnorm_general(spark, d):
     g = _geometry(spark, d)
-    return rounded(lowrank.nuclear_norms(pt.extract(two_frames(spark, d), g), volume=g.volume), "nn", "lead")
+    return rounded(lowrank.nuclear_norms(two_frames(spark, d), g), "nn", "lead")
 
 
 def svst_global_gram(spark, d):
@@ -256,7 +256,7 @@ def svst_global_gram(spark, d):
 
 def gram_matrices(spark, d):
     """Gram matrices of overlapping patches, all frames: patch_id, k, v, real parts row by row, then imaginary ones."""
-    g = lowrank.gram(pt.extract(packed_series(spark, d), _geometry(spark, d)))
+    g = lowrank.grams(packed_series(spark, d), _geometry(spark, d))
     return g.select("patch_id", F.posexplode("g").alias("k", "v")).withColumn("v", F.round("v", 5) + F.lit(0.0))
 
 

@@ -87,9 +87,8 @@ def test_norms(spark):
     v[2:] = 0
     g = Patches((4, 2, 1), (2, 2, 1), (2, 2, 1))
     s = np.linalg.svd(v[:2, :, 0].reshape(4, 3), compute_uv=False)
-    patches = extract(packed(spark, v), g)
     for rows in (4096, 1):
-        got = {r.patch_id: (r.nn, r.lead) for r in lr.nuclear_norms(patches, volume=4, grouped_rows=rows).collect()}
+        got = {r.patch_id: (r.nn, r.lead) for r in lr.nuclear_norms(packed(spark, v), g, grouped_rows=rows).collect()}
         assert got[0] == pytest.approx((s.sum(), s[0])) and got[1] == pytest.approx((0, 0), abs=1e-6)
     assert lr.nuclear_norm(packed(spark, v), g).first().nn == pytest.approx(s.sum())
     weights = spark.createDataFrame([(0, 2.0), (1, 5.0)], "patch_id int, weight double")
