@@ -1,7 +1,10 @@
-"""Multi-channel Fourier encoding: forward, adjoint, gradient of the data cost, combination.
+"""Multi-channel Fourier encoding: forward, adjoint, cost and gradient of the data, combination.
 
-Maps are one volume per coil and small beside the measurements; they are sent to every task only
-while their size is below ``max_map_bytes``, else they are joined to the rows by voxel.
+While the coil maps are proven to fit ``max_map_bytes``, a frame of all coils fits a task too: they are sent to
+every task once, and a frame is encoded, gathered, scattered and decoded where it lies, after one exchange by
+t. Its mask comes along as a bitmap, a bit a cell, so only sampled cells are ever rows and no samples
+are joined by cell. Larger problems join the maps by voxel and transform by pencils, where no task
+holds a volume.
 """
 
 from __future__ import annotations
@@ -9,36 +12,80 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.complexes import conj_multiply, multiply, pair, squared_magnitude
+from gridweave.operators import pencils
 from gridweave.operators.fourier import centred
 from gridweave.schema import EPS32
+from gridweave.scratch import Scratch
 
 MAX_MAP_BYTES = 256 << 20
+#: Bytes of a volume up to which it is transformed in one task; larger ones go by pencils.
+MAX_VOLUME_BYTES = 64 << 20
 _IMAGE = "x int, y int, z int, t int, re double, im double"
 _SAMPLES = "x int, y int, z int, coil int, t int, re double, im double"
 
 
-def _volume(pdf: pd.DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
+def _complex(table: pa.Table) -> np.ndarray:
+    return table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
+
+
+def _volume(table: pa.Table, shape: tuple[int, int, int]) -> np.ndarray:
     out = np.zeros(shape, complex)
-    out[pdf["x"], pdf["y"], pdf["z"]] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+    out[tuple(table.column(c).to_numpy() for c in "xyz")] = _complex(table)
     return out
 
 
-def _cells(volume: np.ndarray, **constant: int) -> pd.DataFrame:
-    x, y, z = (a.ravel() for a in np.indices(volume.shape, dtype=np.int32))
-    flat = volume.ravel()
-    return pd.DataFrame({"x": x, "y": y, "z": z, **{k: np.int32(v) for k, v in constant.items()}, "re": flat.real, "im": flat.imag})
+def _rows(at: tuple[np.ndarray, ...], values: np.ndarray, **constant) -> pa.Table:
+    """Rows of cells (x, y, z) with constants, in the order of _IMAGE or _SAMPLES."""
+    held = {k: v if isinstance(v, np.ndarray) else np.full(len(values), v) for k, v in constant.items()}
+    columns = {**dict(zip("xyz", at)), **held}
+    return pa.table([*(pa.array(c.astype(np.int32)) for c in columns.values()), pa.array(values.real), pa.array(values.imag)], names=[*columns, "re", "im"])
+
+
+def _every(volume: np.ndarray, **constant) -> pa.Table:
+    return _rows(tuple(a.ravel() for a in np.indices(volume.shape)), volume.ravel(), **constant)
+
+
+def _transformed(cells: DataFrame, shape: tuple[int, int, int], forward: bool, norm: str) -> DataFrame:
+    """Every cell of the transform of long samples, by coil and frame; a volume in one task only while it is
+    small."""
+    if 16 * shape[0] * shape[1] * shape[2] > MAX_VOLUME_BYTES:
+        return pencils.transform(cells, shape, forward=forward, norm=norm)
+
+    def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _every(centred(_volume(table, shape), forward=forward, norm=norm), coil=key[0].as_py(), t=key[1].as_py())
 
+    return cells.groupBy("coil", "t").applyInArrow(one, _SAMPLES)
 
-def _transform(shape: tuple[int, int, int], forward: bool, norm: str):
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _cells(centred(_volume(pdf, shape), forward=forward, norm=norm), coil=pdf["coil"].iloc[0], t=pdf["t"].iloc[0])[["x", "y", "z", "coil", "t", "re", "im"]]
 
-    return one
+class _Frame:
+    """One frame: its image, mask and measurements as rows that arrived together."""
+
+    def __init__(self, table: pa.Table, shape: tuple[int, int, int]):
+        mark = table.column("bits").is_valid()
+        bits = table.filter(mark).column("bits").to_pylist()
+        n = shape[0] * shape[1] * shape[2]
+        inside = np.unpackbits(np.frombuffer(bits[0], np.uint8), count=n) if bits else np.zeros(n, np.uint8)
+        # Bits run x fastest.
+        self.inside = inside.astype(bool).reshape(shape[::-1]).transpose(2, 1, 0)
+        self.rows = table.filter(pa.compute.invert(mark))
+
+    def sampled(self) -> tuple[np.ndarray, ...]:
+        return np.nonzero(self.inside)
+
+
+def _measured(table: pa.Table, coils: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
+    """Measurements as an array (coil, x, y, z); cells without one are zero, coils without a map don't count."""
+    out = np.zeros((len(coils), *shape), complex)
+    coil = table.column("coil").to_numpy()
+    own = np.isin(coil, coils)
+    out[np.searchsorted(coils, coil[own]), *(table.column(c).to_numpy()[own] for c in "xyz")] = _complex(table)[own]
+    return out
 
 
 @dataclass(frozen=True)
@@ -51,7 +98,8 @@ class SenseOp:
     fft_forward: bool = True
     unitary: bool = True
     max_map_bytes: int = MAX_MAP_BYTES
-    _small: list = field(default_factory=list, repr=False)
+    chunk: int = pencils.CHUNK
+    _held: dict = field(default_factory=dict, repr=False)
 
     @property
     def _norms(self) -> tuple[str, str]:
@@ -60,28 +108,79 @@ class SenseOp:
 
     def small_maps(self) -> bool:
         """Whether the maps are proven to fit the limit; counted once."""
-        if not self._small:
-            self._small.append(self.maps.count() * 28 <= self.max_map_bytes)
-        return self._small[0]
+        if "small" not in self._held:
+            self._held["small"] = self.maps.count() * 28 <= self.max_map_bytes
+        return self._held["small"]
 
     def _maps(self) -> DataFrame:
-        maps = self.maps.select("x", "y", "z", "coil", F.col("re").alias("s_re"), F.col("im").alias("s_im"))
-        return F.broadcast(maps) if self.small_maps() else maps
+        return self.maps.select("x", "y", "z", "coil", F.col("re").alias("s_re"), F.col("im").alias("s_im"))
+
+    def _sent_maps(self):
+        """Broadcast of (coils, maps), only while the maps are small; built once."""
+        if "maps" not in self._held:
+            table = self.maps.select("x", "y", "z", "coil", "re", "im").toArrow()
+            coils = np.unique(table.column("coil").to_numpy())
+            self._held["maps"] = self.maps.sparkSession.sparkContext.broadcast((coils, _measured(table, coils, self.grid)))
+        return self._held["maps"]
+
+    def bitmaps(self) -> DataFrame:
+        """The mask as bitmaps: a row a frame while maps are small, else one for each frame and bar."""
+        if "bitmaps" not in self._held:
+            self._held["bitmaps"] = pencils.mask_bitmaps(self.mask, self.grid, None if self.small_maps() else self.chunk)
+        return self._held["bitmaps"]
+
+    def keep_mask(self, scratch: Scratch) -> SenseOp:
+        """Writes the bitmaps, for operators that are applied many times."""
+        self._held["bitmaps"] = scratch.keep(self.bitmaps())
+        return self
+
+    def _by_frame(self, rows: DataFrame):
+        """Rows grouped by t, each frame's bitmap among them."""
+        marked = rows.withColumn("bits", F.lit(None).cast("binary"))
+        return marked.unionByName(self.bitmaps().select("t", "bits"), allowMissingColumns=True).groupBy("t")
 
     def forward(self, image: DataFrame) -> DataFrame:
-        """Image cells (x, y, z, t, re, im) to samples of the mask's cells for all coils."""
-        re, im = multiply(pair("s_re", "s_im"), pair())
-        coils = image.join(self._maps(), ["x", "y", "z"]).select("x", "y", "z", "coil", "t", re.alias("re"), im.alias("im"))
-        norm = self._norms[0]
-        spectra = coils.groupBy("t", "coil").applyInPandas(_transform(self.grid, self.fft_forward, norm), _SAMPLES)
-        return spectra.join(self.mask, ["x", "y", "z", "t"], "left_semi")
+        """Image cells (x, y, z, t, re, im) to samples of the mask's cells for all coils; frames without a
+        cell are zero."""
+        shape, forward, norm = self.grid, self.fft_forward, self._norms[0]
+        if not self.small_maps():
+            re, im = multiply(pair("s_re", "s_im"), pair())
+            coils = image.join(self._maps(), ["x", "y", "z"]).select("x", "y", "z", "coil", "t", re.alias("re"), im.alias("im"))
+            found = pencils.bars(coils, shape, forward=forward, norm=norm, chunk=self.chunk)
+            return pencils.cells_of(found, shape, bitmaps=self.bitmaps(), chunk=self.chunk)
+        held = self._sent_maps()
+
+        def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            coils, maps = held.value
+            frame = _Frame(table, shape)
+            spectra = centred(maps * _volume(frame.rows, shape), forward=forward, norm=norm)
+            at = frame.sampled()
+            n = len(at[0])
+            return _rows(tuple(np.tile(a, len(coils)) for a in at), spectra[:, *at].ravel(), coil=np.repeat(coils, n), t=key[0].as_py())
+
+        return self._by_frame(image.select("x", "y", "z", "t", "re", "im")).applyInArrow(one, _SAMPLES)
 
     def adjoint(self, samples: DataFrame) -> DataFrame:
-        """Samples to the image: absent cells are zero, so scattering costs nothing."""
-        norm = self._norms[1]
-        coils = samples.join(self.mask, ["x", "y", "z", "t"], "left_semi").groupBy("t", "coil").applyInPandas(_transform(self.grid, not self.fft_forward, norm), _SAMPLES)
-        re, im = conj_multiply(pair("s_re", "s_im"), pair())
-        return coils.join(self._maps(), ["x", "y", "z", "coil"]).groupBy("x", "y", "z", "t").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+        """Samples to the image: absent cells are zero, so scattering costs nothing; cells outside the mask
+        don't count."""
+        shape, back, norm = self.grid, not self.fft_forward, self._norms[1]
+        own = samples.select("x", "y", "z", "coil", "t", "re", "im")
+        if not self.small_maps():
+            masked = own.join(self.mask, ["x", "y", "z", "t"], "left_semi")
+            re, im = conj_multiply(pair("s_re", "s_im"), pair())
+            coils = pencils.transform(masked, shape, forward=back, norm=norm, chunk=self.chunk)
+            return coils.join(self._maps(), ["x", "y", "z", "coil"]).groupBy("x", "y", "z", "t").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+        held = self._sent_maps()
+
+        def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            coils, maps = held.value
+            frame = _Frame(table, shape)
+            if not frame.rows.num_rows:
+                return _every(np.zeros((0, 0, 0), complex), t=0)
+            y = _measured(frame.rows, coils, shape) * frame.inside
+            return _every((maps.conj() * centred(y, forward=back, norm=norm)).sum(axis=0), t=key[0].as_py())
+
+        return self._by_frame(own).applyInArrow(one, _IMAGE)
 
     def residual(self, image: DataFrame, samples: DataFrame) -> DataFrame:
         """A x - y on the mask's cells."""
@@ -90,45 +189,50 @@ class SenseOp:
         both = self.forward(image).join(y, keys, "left")
         return both.select(*keys, (F.col("re") - F.coalesce("y_re", F.lit(0.0))).alias("re"), (F.col("im") - F.coalesce("y_im", F.lit(0.0))).alias("im"))
 
+    def _fused(self, image: DataFrame, samples: DataFrame, finish, schema: str) -> DataFrame:
+        """``finish(t, coils' maps, residual)`` of every frame, its residual on the mask's cells at hand: one
+        exchange of either side by t."""
+        held, shape, forward, norm = self._sent_maps(), self.grid, self.fft_forward, self._norms[0]
+
+        def one(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+            coils, maps = held.value
+            frame = _Frame(left, shape)
+            away = centred(maps * _volume(frame.rows, shape), forward=forward, norm=norm) - _measured(right, coils, shape)
+            return finish(key[0].as_py(), maps, away * frame.inside)
+
+        own = samples.select("x", "y", "z", "coil", "t", "re", "im").groupBy("t")
+        return self._by_frame(image.select("x", "y", "z", "t", "re", "im")).cogroup(own).applyInArrow(one, schema)
+
     def cost(self, image: DataFrame, samples: DataFrame) -> float:
-        """Half the squared norm of the residual."""
-        return self.residual(image, samples).agg(F.coalesce(F.sum(squared_magnitude(pair())), F.lit(0.0)).alias("s")).first().s / 2
+        """Half the squared norm of the residual; with small maps only a number a frame leaves the tasks."""
+        if not self.small_maps():
+            parts = self.residual(image, samples).select(squared_magnitude(pair()).alias("c"))
+        else:
+
+            def finish(t: int, maps: np.ndarray, away: np.ndarray) -> pa.Table:
+                return pa.table({"c": pa.array([float(np.vdot(away, away).real)])})
 
-    def _map_array(self):
-        pdf = self.maps.toPandas()
-        coils = np.sort(pdf["coil"].unique())
-        return coils, np.stack([_volume(pdf[pdf["coil"] == c], self.grid) for c in coils])
+            parts = self._fused(image, samples, finish, "c double")
+        return parts.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("s")).first().s / 2
 
     def gradient(self, image: DataFrame, samples: DataFrame) -> DataFrame:
         """A^H (A x - y) on the mask's cells; a cell without a sample has zero, samples elsewhere don't
-        count. With small maps all of it happens frame by frame in one task each (one shuffle of
-        either side by t, the mask's cells as rows of coil 0); else as forward, residual and adjoint."""
+        count. With small maps all of it happens frame by frame in one task each; else as forward, residual
+        and adjoint."""
         if not self.small_maps():
             return self.adjoint(self.residual(image, samples))
-        held = image.sparkSession.sparkContext.broadcast(self._map_array())
-        shape, forward, norms = self.grid, self.fft_forward, self._norms
+        back, norm = not self.fft_forward, self._norms[1]
 
-        def frame(key, own: pd.DataFrame, measured: pd.DataFrame) -> pd.DataFrame:
-            coils, maps = held.value
-            spectra = centred(maps * _volume(own, shape), forward=forward, norm=norms[0])
-            cells, measured = measured[measured["coil"] == 0], measured[measured["coil"].isin(coils)]
-            inside = np.zeros(shape, bool)
-            inside[cells["x"], cells["y"], cells["z"]] = True
-            out = spectra.copy()
-            out[np.searchsorted(coils, measured["coil"]), measured["x"], measured["y"], measured["z"]] -= measured["re"].to_numpy() + 1j * measured["im"].to_numpy()
-            out *= inside
-            back = centred(out, forward=not forward, norm=norms[1])
-            return _cells((maps.conj() * back).sum(axis=0), t=key[0])[["x", "y", "z", "t", "re", "im"]]
+        def finish(t: int, maps: np.ndarray, away: np.ndarray) -> pa.Table:
+            return _every((maps.conj() * centred(away, forward=back, norm=norm)).sum(axis=0), t=t)
 
-        zero = F.lit(0.0)
-        marked = samples.select("x", "y", "z", "coil", "t", "re", "im").unionByName(self.mask.select("x", "y", "z", F.lit(0).alias("coil"), "t", zero.alias("re"), zero.alias("im")))
-        return image.groupBy("t").cogroup(marked.groupBy("t")).applyInPandas(frame, _IMAGE)
+        return self._fused(image, samples, finish, _IMAGE)
 
 
 def sense_combine(kspace: DataFrame, maps: DataFrame, grid: tuple[int, int, int]) -> DataFrame:
     """Zero-filled image: inverse transform with 1/n, then the map-weighted sum of coils over the
     maps' summed squared magnitude plus eps."""
-    coils = kspace.groupBy("t", "coil").applyInPandas(_transform(grid, False, "backward"), _SAMPLES)
+    coils = _transformed(kspace.select("x", "y", "z", "coil", "t", "re", "im"), grid, False, "backward")
     m = maps.select("x", "y", "z", "coil", F.col("re").alias("s_re"), F.col("im").alias("s_im"))
     re, im = conj_multiply(pair("s_re", "s_im"), pair())
     weight = F.sum(squared_magnitude(pair("s_re", "s_im"))) + F.lit(EPS32)

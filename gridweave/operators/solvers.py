@@ -166,21 +166,43 @@ def solve(
     return solution
 
 
-def power_iteration(apply_normal: Callable[[DataFrame], DataFrame], apply_forward: Callable[[DataFrame], DataFrame], x0: DataFrame, *, keys: tuple[str, ...] = ("x", "y", "z"), iterations: int = 200, tolerance: float = 1e-6, chat: Callable[[int, float], None] | None = None) -> tuple[DataFrame, float]:
+def power_iteration(
+    apply_normal: Callable[[DataFrame], DataFrame] | None,
+    apply_forward: Callable[[DataFrame], DataFrame],
+    x0: DataFrame,
+    *,
+    apply_adjoint: Callable[[DataFrame], DataFrame] | None = None,
+    keys: tuple[str, ...] = ("x", "y", "z"),
+    iterations: int = 200,
+    tolerance: float = 1e-6,
+    chat: Callable[[int, float], None] | None = None,
+) -> tuple[DataFrame, float]:
     """The leading right singular vector and singular value of A. apply_forward is A, apply_normal
-    is A^H A; stops when the value's relative change is below the tolerance."""
+    is A^H A; stops when the value's relative change is below the tolerance. With apply_adjoint, A x is
+    written once a step and serves for the value and for A^H (A x); apply_normal is then not needed."""
+    if apply_normal is None and apply_adjoint is None:
+        raise ValueError("either A^H A or A^H is needed")
     scratch = Scratch(x0.sparkSession, "power")
-    square = lambda df: df.agg(F.coalesce(F.sum(array_dot(F.col("re"), F.col("re")) + array_dot(F.col("im"), F.col("im"))), F.lit(0.0)).alias("n")).first().n
+
+    def square(df: DataFrame) -> float:
+        one = "array" in dict(df.dtypes)["re"]
+        own = array_dot(F.col("re"), F.col("re")) + array_dot(F.col("im"), F.col("im")) if one else F.col("re") * F.col("re") + F.col("im") * F.col("im")
+        return df.agg(F.coalesce(F.sum(own), F.lit(0.0)).alias("n")).first().n
+
+    def forward(x: DataFrame) -> DataFrame:
+        return scratch.keep(apply_forward(x)) if apply_adjoint else apply_forward(x)
+
     x, ratio = scratch.keep(x0.select(*keys, *PARTS)), 0.0
     for k in range(1, iterations + 1):
-        new = math.sqrt(square(apply_forward(x)) / square(x))
+        encoded = forward(x)
+        new = math.sqrt(square(encoded) / square(x))
         if chat:
             chat(k, new)
         if new == 0 or abs(new - ratio) / new < tolerance:
-            break
+            return x, new
         ratio = new
-        y = scratch.keep(apply_normal(x).select(*keys, *PARTS))
+        y = scratch.keep((apply_adjoint(encoded) if apply_adjoint else apply_normal(x)).select(*keys, *PARTS))
         norm = math.sqrt(square(y))
         x = scratch.keep(y.select(*keys, *(F.transform(p, lambda v: v / F.lit(norm)).alias(p) for p in PARTS)))
         scratch.drop(but_last=1)
-    return x, math.sqrt(square(apply_forward(x)) / square(x))
+    return x, math.sqrt(square(forward(x)) / square(x))

@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import complexes as cx
-from gridweave.functions.scalars import lipschitz, strongly_convex_momentum, threshold_weight_column
+from gridweave.functions.scalars import strongly_convex_momentum, threshold_weight_column
 from gridweave.operators import analysis, kspace as ks, lowrank, patches as pt
 from gridweave.operators.fourier import dft
-from gridweave.operators.sense import SenseOp, sense_combine
+from gridweave.operators.sense import SenseOp, pack, sense_combine, unpack
 from gridweave.operators.solvers import power_iteration, solve
 from gridweave.plans.pipeline import reconstruct
 from gridweave.schema import EPS32, PARAMETER_SETS, ReconConfig, require
-from gridweave.sources.grids import FRAMES, complex_series, event_grid, grid_of, packed_series, two_frames, voxel_series
+from gridweave.sources.grids import FRAMES, complex_series, event_grid, grid_of, packed_series, place, two_frames, voxel_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,12 +73,16 @@ def axpy_step(spark, d):
     return rounded(_long(p.select("x", "y", "z", re.alias("re"), im.alias("im"))), "re", "im")
 
 
-SCHEDULE = [(1, 486000, 300), (2, 27000, 300), (3, 1000, 300), (4, 486000, 387), (5, 216, 387), (6, 1, 387)]
+#: Patches of the scales; None is the whole depth.
+RECON_PATCHES = ((10, 10, None), (5, 5, None), (1, 1, 1))
 
 
 def lambda_weights(spark, d):
-    rows = spark.createDataFrame(SCHEDULE, "k int, p int, nt int")
-    return rows.select("k", "p", "nt", r6(threshold_weight_column(F.col("p"), F.col("nt"), F.lit(486000))).alias("weight"))
+    """Threshold weights of three scales on the grid and for the frames of the table."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").agg((F.floor(F.max("vec_id") / 100) + 1).alias("nz"), F.max(F.size("embedding")).cast("long").alias("nt"))
+    p = F.array(*(F.lit(x * y) * (F.lit(z).cast("long") if z else F.col("nz")) for x, y, z in RECON_PATCHES))
+    rows = e.select("nz", "nt", F.posexplode(p).alias("k", "p"))
+    return rows.select((F.col("k") + 1).alias("k"), "p", "nt", r6(threshold_weight_column(F.col("p"), F.col("nt"), 100 * F.col("nz"))).alias("weight"))
 
 
 # --- sampling ------------------------------------------------------------------------------
@@ -265,6 +270,14 @@ def svst_all_frames(spark, d):
     return rounded(_long(lowrank.patch_svst(packed_series(spark, d), _geometry(spark, d), BETA)), "re", "im")
 
 
+def svst_rank3(spark, d):
+    """Patches of three voxels, all 64 elements: three singular values, which SQL has in closed form."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(*place(), F.col("embedding").cast("array<double>").alias("re"))
+    series = v.withColumn("im", F.transform("re", lambda v: F.lit(0.0)))
+    cells = lowrank.patch_svst(series, _geometry(spark, d, (3, 1, 1), (3, 1, 1)), 0.75)
+    return rounded(_long(cells).drop("im"), "re")
+
+
 def packed_lengths(spark, d):
     """The schema of packed series, checked, and how many series have how many frames."""
     p = packed_series(spark, d)
@@ -273,9 +286,12 @@ def packed_lengths(spark, d):
 
 
 def step_bounds(spark, d):
-    """Lipschitz bounds of the parameter sets: number of scales times the squared norm of the encoding."""
-    rows = [(name, c.scales, c.frames, c.coils, c.iterations, lipschitz(c.scales, c.sigma1)) for name, c in sorted(PARAMETER_SETS.items())]
-    return spark.createDataFrame(rows, "name string, scales int, frames int, coils int, iterations int, bound double")
+    """Lipschitz bounds of the parameter sets with the coil maps of the grid: scales times the largest summed
+    squared magnitude of the maps at a voxel, which bounds the squared norm of the encoding."""
+    weight = _maps(spark, d).groupBy("x", "y", "z").agg(F.sum(cx.squared_magnitude(cx.pair())).alias("w"))
+    sets = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(c.scales).alias("scales")) for name, c in sorted(PARAMETER_SETS.items())))).alias("s")
+    norm = weight.agg(F.sqrt(F.max("w")).alias("norm"))
+    return norm.select("norm", sets).select("s.name", "s.scales", r6(F.col("s.scales") * F.col("norm") * F.col("norm")).alias("bound"))
 
 
 # --- Fourier ---------------------------------------------------------------------------------------
@@ -321,6 +337,31 @@ def sense_adjoint(spark, d):
     return rounded(_op(spark, d).adjoint(_measured(spark, d)), "re", "im")
 
 
+def sense_forward_pencils(spark, d):
+    """The same by pencils: maps joined by voxel, no volume in a task."""
+    return rounded(replace(_op(spark, d), max_map_bytes=0, chunk=3).forward(complex_series(spark, d)), "re", "im")
+
+
+def sense_adjoint_pencils(spark, d):
+    return rounded(replace(_op(spark, d), max_map_bytes=0, chunk=3).adjoint(_measured(spark, d)), "re", "im")
+
+
+def sense_cost(spark, d):
+    """Half the squared residual of the series against its measurements."""
+    value = _op(spark, d).cost(complex_series(spark, d), _measured(spark, d))
+    return spark.range(1).select(F.round(F.lit(value), 4).alias("cost"))
+
+
+SIGMA_STEPS = 2
+
+
+def sigma1_encoding(spark, d):
+    """Norm of the encoding operator by power iteration from the series, a fixed number of steps."""
+    op = _op(spark, d)
+    found = power_iteration(None, lambda v: op.forward(unpack(v)), packed_series(spark, d), apply_adjoint=lambda v: pack(op.adjoint(v)), iterations=SIGMA_STEPS, tolerance=0.0)
+    return spark.range(1).select(F.round(F.lit(found[1]), 6).alias("sigma1"))
+
+
 def dc_gradient(spark, d):
     return rounded(_op(spark, d).gradient(complex_series(spark, d), _measured(spark, d)), "re", "im")
 
@@ -389,8 +430,6 @@ def tsnr_summary(spark, d):
 
 
 RECON_STEPS = 2
-#: Patches of the scales; None is the whole depth.
-RECON_PATCHES = ((10, 10, None), (5, 5, None), (1, 1, 1))
 
 
 def _reconstruction(spark, d):
@@ -578,6 +617,41 @@ def _adjoint(source: str, factor: str, over: str = "1") -> str:
     return _ADJOINT.format(r=_r(f"sum(sr * re + si * im) / ({over})"), i=_r(f"sum(sr * im - si * re) / ({over})"), src=_inverse(source, factor))
 
 
+def _sigma_sql() -> str:
+    """Steps of the power iteration without scaling: the ratio of norms at the end is the same."""
+    out = _SENSE.split(",\nfwd AS (")[0].replace("maps AS (", "maps AS MATERIALIZED (").replace("ph AS (", "ph AS MATERIALIZED (")
+    x = "f"
+    for k in range(SIGMA_STEPS + 1):
+        out += f""",
+y{k} AS MATERIALIZED (SELECT * FROM (SELECT kx AS x, ky AS y, kz AS z, coil, t, sum(re * co + im * sn) / sqrt({_N}) AS re, sum(im * co - re * sn) / sqrt({_N}) AS im
+  FROM (SELECT x, y, z, coil, t, sr * re - si * im AS re, sr * im + si * re AS im FROM {x} JOIN maps USING (x, y, z)) JOIN ph USING (x, y, z) GROUP BY ALL) SEMI JOIN msk USING (x, y, z, t))"""
+        if k < SIGMA_STEPS:
+            out += f""",
+x{k + 1} AS MATERIALIZED (SELECT x, y, z, t, sum(sr * re + si * im) AS re, sum(sr * im - si * re) AS im FROM {_inverse(f'y{k}', f'1 / sqrt({_N})')} JOIN maps USING (x, y, z, coil) GROUP BY ALL)"""
+            x = f"x{k + 1}"
+    return f"{out} SELECT round(sqrt((SELECT sum(re * re + im * im) FROM y{SIGMA_STEPS}) / (SELECT sum(re * re + im * im) FROM {x})), 6) AS sigma1"
+
+
+#: Patches of three voxels along x (the last one moved inward). With G the Gram matrix of the rows and its
+#: eigenvalues by the trigonometric formula, the thresholded rows are h(G) X, h in Newton's form.
+_RANK3 = f"""WITH s AS (SELECT vec_id % 10 AS x, vec_id // 10 % 10 AS y, vec_id // 100 AS z, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS t FROM embeddings),
+w AS (SELECT o, y, z, t, x - o AS k, CAST(v AS DOUBLE) AS v FROM s, (SELECT unnest([0, 3, 6, 7]) AS o) WHERE x BETWEEN o AND o + 2),
+r AS (SELECT o, y, z, t, coalesce(max(v) FILTER (k = 0), 0) AS a, coalesce(max(v) FILTER (k = 1), 0) AS b, coalesce(max(v) FILTER (k = 2), 0) AS c FROM w GROUP BY ALL),
+g AS (SELECT o, y, z, sum(a * a) AS aa, sum(b * b) AS bb, sum(c * c) AS cc, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * c) AS bc FROM r GROUP BY ALL),
+q AS (SELECT *, (aa + bb + cc) / 3 AS m, ab * ab + ac * ac + bc * bc AS p1 FROM g),
+p AS (SELECT *, sqrt(((aa - m) * (aa - m) + (bb - m) * (bb - m) + (cc - m) * (cc - m) + 2 * p1) / 6) AS p FROM q),
+d AS (SELECT *, ((aa - m) * ((bb - m) * (cc - m) - bc * bc) - ab * (ab * (cc - m) - bc * ac) + ac * (ab * bc - (bb - m) * ac)) / (2 * p * p * p) AS r FROM p),
+e AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM d),
+l AS (SELECT *, m + 2 * p * cos(phi) AS l1, m + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM e),
+h AS (SELECT *, 3 * m - l1 - l3 AS l2 FROM l),
+f AS (SELECT *, {', '.join(f'CASE WHEN l{i} > 0 THEN greatest(sqrt(l{i}) - 0.75, 0) / sqrt(l{i}) ELSE 0 END AS h{i}' for i in (1, 2, 3))} FROM h),
+n AS (SELECT *, (h2 - h1) / (l2 - l1) AS d12, (h3 - h2) / (l3 - l2) AS d23 FROM f),
+k AS (SELECT *, (d23 - d12) / (l3 - l1) AS d123 FROM n),
+y1 AS (SELECT o, y, z, t, a, b, c, h1, d12, d123, l1, l2, aa, bb, cc, ab, ac, bc, aa * a + ab * b + ac * c AS ga, ab * a + bb * b + bc * c AS gb, ac * a + bc * b + cc * c AS gc FROM r JOIN k USING (o, y, z)),
+y2 AS (SELECT *, aa * ga + ab * gb + ac * gc AS gga, ab * ga + bb * gb + bc * gc AS ggb, ac * ga + bc * gb + cc * gc AS ggc FROM y1),
+u AS ({' UNION ALL '.join(f"SELECT o + {i} AS x, y, z, t, h1 * {v} + d12 * (g{v} - l1 * {v}) + d123 * (gg{v} - (l1 + l2) * g{v} + l1 * l2 * {v}) AS re FROM y2" for i, v in enumerate('abc'))})
+SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, CAST(t AS INTEGER) AS t, {_r('avg(re)')} AS re FROM u JOIN s USING (x, y, z, t) GROUP BY ALL"""
+
 _SCALES = [str(k) for k in range(1, len(RECON_PATCHES) + 1)]
 _PARTS = ("r1", "r2", "i1", "i2")
 _UNROLL = "(VALUES (1), (2)) AS k(t)"
@@ -662,7 +736,7 @@ SQL: dict[str, str] = {
     "conj_multiply": f"WITH {_C} SELECT x, y, z, t, {_r('2 * re * im')} AS cre, {_r('re * re - im * im')} AS cim, 0.0 AS pre, {_r('re * re + im * im')} AS pim FROM c",
     "smap_normalise": f"WITH {_C}, n AS (SELECT x, y, z, sqrt(sum(re * re + im * im)) + {EPS32!r} AS n FROM c GROUP BY ALL) SELECT x, y, z, t AS coil, {_r('re / n')} AS re, {_r('im / n')} AS im FROM c JOIN n USING (x, y, z)",
     "axpy_step": f"WITH {_C} SELECT x, y, z, t, {_r('1.5 * re - 0.25 * im')} AS re, {_r('0.5 * re - im')} AS im FROM c",
-    "lambda_weights": f"SELECT k, p, nt, {_r('sqrt(p) + sqrt(nt) + sqrt(ln(486000.0 * nt / greatest(p, nt)))')} AS weight FROM (VALUES {', '.join(map(str, SCHEDULE))}) AS t(k, p, nt)",
+    "lambda_weights": f"WITH e AS (SELECT max(vec_id) // 100 + 1 AS nz, CAST(max(len(embedding)) AS BIGINT) AS nt FROM embeddings), s AS (SELECT CAST(k AS INTEGER) AS k, a * coalesce(b, nz) AS p, nt, nz FROM e, (VALUES {', '.join(f"({k}, {x * y}, {z or 'NULL'})" for k, (x, y, z) in enumerate(RECON_PATCHES, 1))}) AS t(k, a, b)) SELECT k, p, nt, {_r('sqrt(p) + sqrt(nt) + sqrt(ln(100.0 * nz * nt / greatest(p, nt)))')} AS weight FROM s",
     "sampling_mask": f"WITH {_K} SELECT x, 0 AS y, 0 AS z, t FROM m",
     "acceleration_factor": f"WITH {_K} SELECT {_r('1000.0 / count(*)')} AS acceleration FROM m WHERE t = 1",
     "mask_compaction": f"WITH {_K} SELECT x, coil, t, re FROM k SEMI JOIN m USING (x, t)",
@@ -690,6 +764,11 @@ SQL: dict[str, str] = {
     "sense_comb": f"{_SENSE} {_adjoint('meas', f'1.0 / {_N}', f'sum(sr * sr + si * si) + {EPS32!r}')}",
     "sense_forward": f"{_SENSE} SELECT x, y, z, CAST(coil AS INTEGER) AS coil, t, {_r('re')} AS re, {_r('im')} AS im FROM fwd SEMI JOIN msk USING (x, y, z, t)",
     "sense_adjoint": f"{_SENSE} {_adjoint('meas', f'1 / sqrt({_N})')}",
+    "sense_forward_pencils": f"{_SENSE} SELECT x, y, z, CAST(coil AS INTEGER) AS coil, t, {_r('re')} AS re, {_r('im')} AS im FROM fwd SEMI JOIN msk USING (x, y, z, t)",
+    "sense_adjoint_pencils": f"{_SENSE} {_adjoint('meas', f'1 / sqrt({_N})')}",
+    "sense_cost": f"{_SENSE} SELECT round(sum((a.re - b.re) * (a.re - b.re) + (a.im - b.im) * (a.im - b.im)) / 2, 4) AS cost FROM fwd a JOIN meas b USING (x, y, z, coil, t)",
+    "sigma1_encoding": _sigma_sql(),
+    "svst_rank3": _RANK3,
     "dc_gradient": f"{_SENSE}, res AS (SELECT a.x, a.y, a.z, a.coil, a.t, a.re - b.re AS re, a.im - b.im AS im FROM fwd a JOIN meas b USING (x, y, z, coil, t)) {_adjoint('res', f'1 / sqrt({_N})')}",
     "power_iteration": f"WITH {_S} SELECT round(sqrt(sum(power(1.0 + x % 3, 18)) / sum(power(1.0 + x % 3, 16))), 6) AS sigma1 FROM s WHERE t <= 32",
     "detrend_linear": f"{_DETREND} SELECT x, y, z, t, {_r('v')} AS v FROM d",
@@ -708,7 +787,7 @@ w AS (SELECT ox.i + ox.n * (oy.i + oy.n * oz.i) AS patch_id, x, y, z, t, re, im
 e AS (SELECT a.patch_id, 32 * (a.t - 1) + b.t - 1 AS k, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im FROM w a JOIN w b USING (patch_id, x, y, z) GROUP BY ALL)
 SELECT CAST(patch_id AS INTEGER) AS patch_id, CAST(k AS INTEGER) AS k, {_r('re', 5)} AS v FROM e UNION ALL SELECT CAST(patch_id AS INTEGER), CAST(k + 1024 AS INTEGER), {_r('im', 5)} FROM e""",
     "packed_lengths": "SELECT CAST(len(embedding) // 2 AS INTEGER) AS n_re, CAST(len(embedding) // 2 AS INTEGER) AS n_im, count(*) AS n FROM embeddings GROUP BY ALL",
-    "step_bounds": f"SELECT name, scales, frames, coils, iterations, CAST(bound AS DOUBLE) AS bound FROM (VALUES ('20241017', 3, 300, 10, 50, 3), ('20251106', 3, 300, 18, 50, 3), ('20260317', 3, 387, 18, 50, 3), ('20260409', 3, 387, 18, 100, 3)) AS t(name, scales, frames, coils, iterations, bound)",
+    "step_bounds": f"WITH {_C}, m AS (SELECT max(power(1 + 0.1 * x, 2) + power(0.05 * y, 2) + power(1 + 0.2 * x, 2) + power(0.1 * y, 2)) AS w FROM v) SELECT name, CAST(scales AS INTEGER) AS scales, {_r('scales * w')} AS bound FROM m, (VALUES {', '.join(f"('{n}', {c.scales})" for n, c in sorted(PARAMETER_SETS.items()))}) AS t(name, scales)",
     "multiscale_recon": f"{_recon_sql()} SELECT x, y, z, {_FRAME} FROM image{RECON_STEPS}, {_UNROLL}",
     "recon_components": f"{_recon_sql()} SELECT CAST(scale AS INTEGER) AS scale, x, y, z, {_FRAME} FROM ({' UNION ALL '.join(f'SELECT {s} AS scale, * FROM x{RECON_STEPS}_{s}' for s in _SCALES)}), {_UNROLL}",
     "convergence_table": f"{_recon_sql()} SELECT CAST(iter AS INTEGER) AS iter, {_r('dc')} AS dc_cost, {_r('reg')} AS reg_cost, false AS restart, {_r('dc + reg')} AS total, {_r('log10(dc + reg)')} AS log_total FROM ({' UNION ALL '.join(f'SELECT * FROM cost{k}' for k in range(RECON_STEPS + 1))})",
@@ -721,9 +800,9 @@ QUERIES: dict[str, Query] = {
         voxel_series_scan, magnitude, conj_multiply, smap_normalise, axpy_step, lambda_weights, sampling_mask, acceleration_factor, mask_compaction, mask_scatter,
         validate_frame_counts, validate_coil_masks, scale_quantile99, kspace_normalise, viewshare_nearest, patch_extract_3d, patch_roundtrip_3d, patch_extract_2d,
         patch_roundtrip_2d, scale_sum, component_first_frame, frobenius_cost, dot_nonconj, nucnorm_rank2, nucnorm_weighted, svst_single_voxel, svst_rank2, svst_perpatch,
-        svst2d_contrast, patch_svst_grouped, patch_svst_general, patch_svst_by_patch, nucnorm_general, svst_global_gram, svst_all_frames, gram_matrices, packed_lengths, step_bounds,
+        svst2d_contrast, patch_svst_grouped, patch_svst_general, patch_svst_by_patch, nucnorm_general, svst_global_gram, svst_all_frames, svst_rank3, gram_matrices, packed_lengths, step_bounds,
         dft_forward, dft_inverse, sense_comb, sense_forward, sense_adjoint,
-        dc_gradient, detrend_linear, tsnr_map, tsnr_summary, multiscale_recon, recon_components, convergence_table, recon_facts,
+        sense_forward_pencils, sense_adjoint_pencils, sense_cost, sigma1_encoding, dc_gradient, detrend_linear, tsnr_map, tsnr_summary, multiscale_recon, recon_components, convergence_table, recon_facts,
     )
 } | {"power_iteration": power_iteration_diagonal} | {name: _solved(*case) for name, case in SOLVES.items()}
 

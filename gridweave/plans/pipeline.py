@@ -18,6 +18,7 @@ from gridweave.operators.patches import Patches
 from gridweave.operators.sense import SenseOp, pack, sense_combine, unpack
 from gridweave.operators.solvers import power_iteration, solve
 from gridweave.schema import ReconConfig
+from gridweave.scratch import Scratch
 from gridweave.sources import tables
 
 log = logging.getLogger("gridweave")
@@ -42,26 +43,27 @@ class Reconstruction:
         return {name: getattr(self, name) for name in tables.PARTS}
 
 
-def reconstruct(kspace: DataFrame, maps: DataFrame, config: ReconConfig) -> Reconstruction:
+def reconstruct(kspace: DataFrame, maps: DataFrame, config: ReconConfig, *, log_every: int = 1) -> Reconstruction:
     """Multi-scale low-rank reconstruction.
 
     Minimises half the squared residual of the encoded sum of scales plus each scale's weighted
-    sum of patch nuclear norms. kspace: long samples; maps: normalised coil maps.
+    sum of patch nuclear norms. kspace: long samples; maps: normalised coil maps. Costs take a pass over all
+    patches: they are logged every ``log_every`` iterations, and after the last one.
     """
     spark = kspace.sparkSession
+    scratch = Scratch(spark, "reconstruction")
     samples = ks.drop_unsampled(kspace)
     factor = ks.validate(samples, config.grid, config.coils, config.frames)
-    zero_filled = sense_combine(samples, maps, config.grid)
+    # Written first: the quantile takes several passes over it.
+    zero_filled = scratch.keep(sense_combine(samples, maps, config.grid))
     scale = ks.quantile_scale(zero_filled, magnitude(pair())).first().scale
     samples = ks.normalise(samples, scale)
     mask = ks.sampling_mask(samples)
-    op = SenseOp(config.grid, mask, maps)
+    op = SenseOp(config.grid, mask, maps).keep_mask(scratch)
     sigma1 = config.sigma1
     if sigma1 is None:
-        forward = lambda v: _samples_as_arrays(op.forward(unpack(v)))
-        normal = lambda v: pack(op.adjoint(op.forward(unpack(v))))
         ones = pack(_all_cells(spark, config))
-        sigma1 = power_iteration(normal, forward, ones)[1]
+        sigma1 = power_iteration(None, lambda v: op.forward(unpack(v)), ones, apply_adjoint=lambda v: pack(op.adjoint(v)))[1]
     bound = lipschitz(config.scales, sigma1)
     weights = [threshold_weight(p, config.frames, config.grid) for p in config.patch_sizes]
     shapes = [Patches(config.grid, p, s) for p, s in zip(config.patch_sizes, config.strides)]
@@ -90,7 +92,9 @@ def reconstruct(kspace: DataFrame, maps: DataFrame, config: ReconConfig) -> Reco
     entries: list[tuple[int, float, float, bool]] = []
 
     def note(k: int, x: DataFrame, y: DataFrame, again: bool) -> None:
-        entries.append((k, *costs(x if config.mode == "pogm" else y), again))
+        if k % log_every and k != config.iterations:
+            return
+        entries.append((k, *costs(x), again))
         log.info("iteration %d: data %.6g, regulariser %.6g%s", *entries[-1][:3], ", restart" if again else "")
 
     found = solve(start, gradient, bound, keys=KEYS, prox=prox, cost=lambda v: sum(costs(v)), mode=config.mode, restart=config.restart, iterations=config.iterations, parity_alias=config.parity_alias, fun=note)
@@ -105,10 +109,6 @@ def _all_cells(spark: SparkSession, config: ReconConfig) -> DataFrame:
     return cells.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(config.frames)))).withColumns({"re": F.lit(1.0), "im": F.lit(0.0)})
 
 
-def _samples_as_arrays(samples: DataFrame) -> DataFrame:
-    return samples.select(F.array("re").alias("re"), F.array("im").alias("im"))
-
-
 @dataclass
 class Analysis:
     tsnr: DataFrame

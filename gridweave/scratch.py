@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session. Where that is unset, a local folder of our own, but only if driver and
+    executors are one machine; a cluster without a shared folder is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="gridweave-")
             spark.sparkContext.setCheckpointDir(root)

@@ -13,10 +13,11 @@ def voxel_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """x, y, z, t (from 1), v: each vector is a voxel, its elements are frames."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     cells = vectors.select("vec_id", F.posexplode("embedding").alias("p", "v"))
-    return cells.select(*_place(), (F.col("p") + 1).alias("t"), F.col("v").cast("double").alias("v"))
+    return cells.select(*place(), (F.col("p") + 1).alias("t"), F.col("v").cast("double").alias("v"))
 
 
-def _place() -> list:
+def place() -> list:
+    """x, y, z of a vector, by its id."""
     return [F.expr(f"CAST(vec_id % {NX} AS INT)").alias("x"), F.expr(f"CAST(vec_id div {NX} % {NY} AS INT)").alias("y"), F.expr(f"CAST(vec_id div {NX * NY} AS INT)").alias("z")]
 
 
@@ -24,7 +25,7 @@ def packed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """x, y, z, re, im: even elements are real parts, odd ones imaginary."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     half = lambda r: F.filter("e", lambda v, i: i % 2 == r)
-    return vectors.select(*_place(), half(0).alias("re"), half(1).alias("im"))
+    return vectors.select(*place(), half(0).alias("re"), half(1).alias("im"))
 
 
 def complex_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def two_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     two of four as real parts, the others as imaginary parts."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     part = lambda r: F.aggregate(F.filter("e", lambda v, i: i % 4 == r), F.lit(0.0), lambda s, v: s + v)
-    return vectors.select(*_place(), F.array(part(0), part(1)).alias("re"), F.array(part(2), part(3)).alias("im"))
+    return vectors.select(*place(), F.array(part(0), part(1)).alias("re"), F.array(part(2), part(3)).alias("im"))
 
 
 def grid_of(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
