@@ -84,12 +84,12 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_built: dict[int, Windows] = {}
+_built: dict[tuple, Windows] = {}
 
 
 def _windows(block, window: int) -> Windows:
     """One automaton at a time is kept in a worker."""
-    key = hash((block._path or id(block), window))
+    key = (block._path or id(block), window)
     if key not in _built:
         _built.clear()
         _built[key] = Windows(block.value, window)

@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, least_partitions, pick, small_batches, stash
 
 BUCKET, BLOCK = 1024, 4096
+#: Full buckets that a stream has at least, on average.
+STREAM_BUCKETS = 8
 #: Bytes of block bounds that may be broadcast: 40 a block, so 1.6 million blocks of 4,096 anchors.
 MAX_BOUNDS = 64 << 20
 _FITS = float(1 << 62)
@@ -283,7 +285,9 @@ def _best(buckets: DataFrame, blocks: DataFrame, keep: int, same: bool) -> DataF
     """anchor, anchor_tie, w, score, id, tie, rank: the first ``keep`` of each window."""
     spark = buckets.sparkSession
     bounds = _bounds(blocks)
-    salts = max(1, -(-2 * least_partitions(spark) // max(1, len(bounds["block"]))))
+    # Streams enough for all tasks, each with buckets enough that its kth score may rule out others.
+    rows = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    salts = max(1, min(-(-2 * least_partitions(spark) // max(1, len(bounds["block"]))), -(-rows // (STREAM_BUCKETS * BUCKET))))
     held = spark.sparkContext.broadcast(bounds)
     sent = buckets.transform(in_batches, _route(held, salts, same), _STREAM)
     own = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *(n for n, _ in _PACKED_ARROW))

@@ -1,7 +1,7 @@
 """Joins of positions that share a fingerprint, without pairs inside a group.
 
-Every occurrence of a repeated fingerprint is linked to the first one alone, by document, text
-hash and position. So links grow with the occurrences, however frequent a fingerprint is.
+Every occurrence of a repeated fingerprint is linked to the first one, and on demand to the one right
+before it too, by document, text hash and position. So links grow with the occurrences, however frequent a fingerprint is.
 A document is known by ``doc`` (its doc_id, nulls last as the largest long) and ``h`` (a hash of
 its text): rows that repeat both are one document.
 """
@@ -47,7 +47,7 @@ def first_links(rows: DataFrame, scope: str = "default", previous: bool = False)
     first occurrence doc0, h0, pos0, for every occurrence but the first. With ``previous``, also
     of the occurrence right before it.
 
-    Fingerprints are counted first; a filter of fixed size then keeps nearly all others out of
+    Fingerprints are counted first; a filter, whose size follows their number, then keeps nearly all others out of
     the shuffle that brings the occurrences of one fingerprint together.
     """
     spark = rows.sparkSession

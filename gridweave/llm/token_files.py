@@ -7,7 +7,7 @@ block is decoded by a table lookup on its control bytes and a gather.
 
 A file holds a consecutive range of documents in ascending doc_id order:
 
-    "GWIDS1\\0\\0", u32 number of ranks, u32 id of each rank,
+    "GWIDS2\\0\\0", u32 number of ranks, u32 id of each rank, u32 CRC-32 of those ids,
     blocks: u32 documents, u32 ids, u32 data bytes, u32 CRC-32 of what follows in the block,
             u8 a document whether it has a doc_id, i64 doc_id a document, u32 ids a document,
             control bytes, data bytes
