@@ -46,8 +46,8 @@ def samples(rows: DataFrame, config: dict) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, *, by: str = "channel") -> None:
-    """Partitions that ``df`` has are replaced, others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Partitions that ``df`` has are replaced, others stay. Files of a fitting size, large partitions split."""
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def _read(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
@@ -60,7 +60,7 @@ def run(spark: SparkSession, source: str, out: str, config: dict | None = None)
     rows = spark.read.parquet(source)
     own = samples(rows, config)
     # All later passes read what is written here, not the source.
-    own.write.mode("overwrite").partitionBy("channel").parquet(f"{out}/samples")
+    own.hint("rebalance", "channel").write.mode("overwrite").partitionBy("channel").parquet(f"{out}/samples")
     own = _read(spark, own, f"{out}/samples")
     first, frames, n = own.agg(F.min("t"), F.max("t"), F.count("t")).first()
     log.info("read %s; wrote %d samples to %s/samples", source, n, out)

@@ -8,7 +8,7 @@ micro-batch is reduced to sums a series and written to ``OUT/moments/batch=N``;
 replayed after a failure replaces its own partition, so nothing counts twice. Then ``OUT/series``, a
 folder a channel, is written anew from all moments: location, channel, rows, n, mean, slope, sd, tsnr.
 
-A run without new files leaves the same result. Samples are read once; what later runs read again are
+OUT and CHECKPOINT belong together: with a new checkpoint, take a new OUT. A run without new files leaves the same result. Samples are read once; what later runs read again are
 the sums, a row a series and batch. Times count in units of ``unit_seconds`` from the start of the
 day ``origin``.
 Rows whose time or value is null or not finite are counted in ``rows``, not in ``n``; null locations and
@@ -47,21 +47,20 @@ def samples(rows: DataFrame, config: dict) -> DataFrame:
     return rows.select(F.col(config["location"]).alias("location"), F.col(config["channel"]).cast("string").alias("channel"), t.alias("t"), F.col(config["value"]).cast("double").alias("v"))
 
 
-def take_new(spark: SparkSession, source: str, out: str, checkpoint: str, config: dict, schema: T.StructType) -> int:
-    """Adds the moments of files that the checkpoint has not seen; rows taken."""
-    taken = [0]
+def take_new(spark: SparkSession, source: str, out: str, checkpoint: str, config: dict, schema: T.StructType) -> list[int]:
+    """Adds the moments of files that the checkpoint has not seen; the numbers of the batches written."""
+    taken: list[int] = []
 
     def add(batch: DataFrame, number: int) -> None:
         part = moments(samples(batch, config), t=F.col("t"), v=F.col("v"), keys=KEYS).withColumn("batch", F.lit(number).cast("long"))
         part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/moments")
+        taken.append(number)
         log.info("wrote batch %d to %s/moments", number, out)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(source)
     query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(add).start()
     query.awaitTermination()
-    for progress in query.recentProgress:
-        taken[0] += progress["numInputRows"]
-    return taken[0]
+    return taken
 
 
 def _moments_schema(schema: T.StructType, config: dict) -> T.StructType:
@@ -80,13 +79,15 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
     """Takes what is new in ``source`` and writes the series anew; returns them read back."""
     config = {**DEFAULTS, **(config or {})}
     schema = spark.read.parquet(source).schema
-    rows = take_new(spark, source, out, checkpoint, config, schema)
-    log.info("read %d new rows of %s", rows, source)
+    batches = take_new(spark, source, out, checkpoint, config, schema)
     held = _moments_schema(schema, config)
     spark.createDataFrame([], held).write.mode("append").parquet(f"{out}/moments")  # there is a folder to read, even without a batch
     parts = spark.read.schema(held).parquet(f"{out}/moments")
+    rows = parts.where(F.col("batch").isin(batches)).agg(F.sum("rows")).first()[0] if batches else 0
+    log.info("read %d new rows of %s in %d batches", rows or 0, source, len(batches))
     series = trend(merged(parts, KEYS), KEYS)
-    series.repartition("channel", F.pmod(F.hash("location"), F.lit(16))).write.mode("overwrite").partitionBy("channel").parquet(f"{out}/series")
+    # Files of a fitting size; a channel with much of the series is split.
+    series.hint("rebalance", "channel").write.mode("overwrite").partitionBy("channel").parquet(f"{out}/series")
     result = read_series(spark, out, held["location"].dataType)
     log.info("wrote %d series to %s/series", result.count(), out)
     return result
