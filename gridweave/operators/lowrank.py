@@ -4,8 +4,8 @@ A patch is the matrix of its voxels' series (rows: voxels, columns: frames). Str
 
 * one voxel a patch: its series is shrunk by its own norm; native expressions, no grouping;
 * small patches: cut inside blocks of voxels with a halo (``operators.tiling``), decomposed in stacks;
-* large patches: the frames-by-frames Gram matrix is summed over partitions, its spectral
-  function is applied to the rows where they lie; no patch ever meets in one task.
+* large patches: a tree of QR decompositions (``operators.tsqr``) gives the singular values and right
+  vectors, whose spectral function is applied to the rows where they lie; no patch ever meets in one task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.complexes import array_dot
-from gridweave.operators import tiling
+from gridweave.operators import tiling, tsqr
 from gridweave.operators.patches import Patches, combine_packed, extract
 from gridweave.schema import require
 
@@ -120,30 +120,20 @@ def gram(patches: DataFrame) -> DataFrame:
     return sums.groupBy("patch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s.v).alias("g"))
 
 
-def _spectrum(flat) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.asarray(flat)
-    n = int(round((len(flat) / 2) ** 0.5))
-    w, v = np.linalg.eigh(flat[: n * n].reshape(n, n) + 1j * flat[n * n :].reshape(n, n))
-    return np.sqrt(np.maximum(w, 0)), v
-
-
-def threshold_gram(patches: DataFrame, beta: float | DataFrame) -> DataFrame:
-    """Large patches: rows times V diag(max(s - beta, 0) / s) V^H, the spectral function of the
-    Gram matrix, one small matrix a patch; beta: one threshold, or a table (patch_id, beta).
-
-    The factors lie between 0 and 1, so what a Gram matrix can't tell of singular values below 1e-8
-    of the leading one changes the result by no more than those values, whatever the threshold."""
+def threshold_tall(patches: DataFrame, beta: float | DataFrame) -> DataFrame:
+    """Large patches: rows times V diag(max(s - beta, 0) / s) V^H, singular values and right vectors by a
+    tree of QR decompositions; beta: one threshold, or a table (patch_id, beta)."""
 
     def function(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for patch, flat, b in zip(pdf["patch_id"], pdf["g"], pdf["beta"]):
-            s, v = _spectrum(flat)
-            h = (v * np.divide(np.maximum(s - b, 0), s, out=np.zeros_like(s), where=s > 0)) @ v.conj().T
+        for patch, re, im, b in zip(pdf["patch_id"], pdf["re"], pdf["im"], pdf["beta"]):
+            _, s, vh = singular(tsqr.square(re, im))
+            h = (vh.conj().T * np.divide(np.maximum(s - b, 0), s, out=np.zeros_like(s), where=s > 0)) @ vh
             out.append((patch, _pack(h)))
         return pd.DataFrame(out, columns=["patch_id", "h"])
 
-    matrices = gram(patches)
-    matrices = matrices.join(beta, "patch_id").select("patch_id", "g", "beta") if isinstance(beta, DataFrame) else matrices.withColumn("beta", F.lit(float(beta)))
+    matrices = tsqr.triangles(patches)
+    matrices = matrices.join(beta, "patch_id").select("patch_id", "re", "im", "beta") if isinstance(beta, DataFrame) else matrices.withColumn("beta", F.lit(float(beta)))
     functions = matrices.mapInPandas(lambda frames: map(function, frames), "patch_id int, h array<double>")
     joined = patches.select("patch_id", "x", "y", "z", "re", "im").join(functions, "patch_id")
 
@@ -165,7 +155,7 @@ def patch_svst(series: DataFrame, geometry: Patches, beta: float | DataFrame, *,
     require(series, "x", "y", "z", "re[", "im[")
     table = isinstance(beta, DataFrame)
     if geometry.volume > grouped_rows:
-        found = combine_packed(threshold_gram(extract(series, geometry), beta), geometry)
+        found = combine_packed(threshold_tall(extract(series, geometry), beta), geometry)
     elif geometry.volume == 1:
         patches = extract(series, geometry)
         held = patches.join(beta, "patch_id") if table else patches
@@ -207,10 +197,10 @@ def nuclear_norms(series: DataFrame, geometry: Patches, *, grouped_rows: int = G
 
         def spectral(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                s = [_spectrum(g)[0] for g in pdf["g"]]
+                s = [np.linalg.svd(tsqr.square(re, im), compute_uv=False) for re, im in zip(pdf["re"], pdf["im"])]
                 yield pd.DataFrame({"patch_id": pdf["patch_id"], "nn": [x.sum() for x in s], "lead": [x.max() for x in s]})
 
-        return gram(extract(series, geometry)).mapInPandas(spectral, "patch_id int, nn double, lead double")
+        return tsqr.triangles(extract(series, geometry)).mapInPandas(spectral, "patch_id int, nn double, lead double")
     return tiling.each_patch(series, tiling.Tiles.of(geometry), _stack_norms, "patch_id int, nn double, lead double", _NORMS)
 
 

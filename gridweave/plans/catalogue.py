@@ -254,7 +254,7 @@ def nucnorm_general(spark, d):
 
 
 def svst_global_gram(spark, d):
-    """One patch over the whole volume, by its Gram matrix."""
+    """One patch over the whole volume, by a tree of QR decompositions of its rows."""
     grid = grid_of(spark, d)
     return rounded(_long(lowrank.patch_svst(two_frames(spark, d), pt.Patches(grid, grid, grid), BETA, grouped_rows=1)), "re", "im")
 

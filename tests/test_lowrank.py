@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from gridweave.operators import lowrank as lr
+from gridweave.operators import lowrank as lr, tsqr
 from gridweave.operators.patches import Patches, extract
 
 PACKED = "x int, y int, z int, re array<double>, im array<double>"
@@ -106,16 +106,42 @@ def test_two_voxels(spark):
         assert r.nn == pytest.approx(np.linalg.svd(m, compute_uv=False).sum(), abs=1e-6)
 
 
-@pytest.mark.parametrize("beta", [0.0, 1e-9, 1e-3])
-def test_gram_at_tiny_thresholds(spark, beta):
-    """On a spectrum of 1 to 1e-10 the Gram form differs from the full decomposition by no more than what the
-    Gram matrix can't tell apart: 1e-7 of the leading value."""
-    rng = np.random.default_rng(8)
+WIDE = np.logspace(0, -10, 6)
+
+
+def wide(rows=32, seed=8):
+    """A matrix of that spectrum, as a volume too."""
+    rng = np.random.default_rng(seed)
     q = lambda n, k: np.linalg.qr(rng.normal(size=(n, k)) + 1j * rng.normal(size=(n, k)))[0]
-    m = (q(32, 6) * np.logspace(0, -10, 6)) @ q(6, 6)
-    v = m.reshape(4, 4, 2, 6)
+    m = (q(rows, 6) * WIDE) @ q(6, 6)
+    return m, m.reshape(4, 4, -1, 6)
+
+
+@pytest.mark.parametrize("beta", [0.0, 1e-9, 1e-3])
+def test_tall_patches_at_tiny_thresholds(spark, beta):
+    """To working precision, where a Gram matrix can't tell values below 1e-8 of the leading one apart."""
+    m, v = wide()
     g = Patches((4, 4, 2), (4, 4, 2), (4, 4, 2))
     got = np.zeros_like(v)
     for r in lr.patch_svst(packed(spark, v), g, beta, grouped_rows=1).collect():
         got[r.x, r.y, r.z] = np.array(r.re) + 1j * np.array(r.im)
-    assert np.abs(got.reshape(32, 6) - plain_svst(m, beta)).max() < 1e-7
+    assert np.abs(got.reshape(32, 6) - plain_svst(m, beta)).max() < 1e-14
+
+
+def test_tree_of_triangles(spark):
+    """Over many tasks: the triangle has the singular values of the whole to working precision."""
+    m, v = wide(16 * 40)
+    g = Patches((4, 4, 40), (4, 4, 40), (4, 4, 40))
+    series = packed(spark, v).repartition(37)
+    row = lr.nuclear_norms(series, g, grouped_rows=1).first()
+    assert row.nn == pytest.approx(WIDE.sum(), rel=1e-14) and row.lead == pytest.approx(1, rel=1e-14)
+    r = tsqr.triangles(extract(series, g)).first()
+    s = np.linalg.svd(tsqr.square(r.re, r.im), compute_uv=False)
+    assert np.abs(s - WIDE).max() < 1e-15 and s[-1] == pytest.approx(1e-10, rel=1e-4)
+    # The smallest one is lost in the Gram matrix.
+    gram = np.linalg.eigvalsh(m.conj().T @ m)
+    assert abs(np.sqrt(max(gram[0], 0)) - 1e-10) > 1e-11
+    # Fewer rows than frames, and several patches.
+    small, u = Patches((4, 2, 1), (2, 2, 1), (2, 2, 1)), random((4, 2, 1, 7), 3)
+    got = {x.patch_id: x.nn for x in lr.nuclear_norms(packed(spark, u), small, grouped_rows=1).collect()}
+    assert got == pytest.approx({k: np.linalg.svd(u[2 * k : 2 * k + 2].reshape(4, 7), compute_uv=False).sum() for k in range(2)})
