@@ -57,3 +57,46 @@ def test_quantile_and_normalisation(spark):
     assert ks.normalise(k, 0.0).first().re == pytest.approx(11 / ks.EPS32)
     maps = ks.normalise_maps(spark.createDataFrame([(0, 0, 0, 1, 3.0, 0.0), (0, 0, 0, 2, 0.0, 4.0)], "x int, y int, z int, coil int, re double, im double"))
     assert {(r.coil): (r.re, r.im) for r in maps.collect()} == {1: (pytest.approx(0.6), 0.0), 2: (0.0, pytest.approx(0.8))}
+
+
+def counted(spark, df):
+    """The same rows, and a counter of how many were read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.99, 1.0])
+@pytest.mark.parametrize("kind", ["normal", "ties", "constant", "heavy"])
+def test_quantile_takes_two_scans(spark, monkeypatch, q, kind):
+    monkeypatch.setattr(ks, "_FEW", 50)
+    rng = np.random.default_rng(4)
+    n = 30_000
+    v = {"normal": rng.normal(size=n), "ties": rng.integers(0, 40, n).astype(float), "constant": np.full(n, 2.5), "heavy": np.exp(8 * rng.normal(size=n))}[kind]
+    df, seen = counted(spark, spark.createDataFrame([(float(x),) for x in v], "v double").repartition(6))
+    assert ks.quantile_scale(df, df.v, q).first().scale == pytest.approx(np.quantile(v, q), rel=1e-12)
+    assert seen.value == 2 * n
+
+
+def test_quantile_widens_a_bracket_that_misses(spark, monkeypatch):
+    monkeypatch.setattr(ks, "_RANK_ERROR", 1e-9)
+    monkeypatch.setattr(ks, "_SKETCH", 8)
+    v = np.random.default_rng(5).permutation(20_000).astype(float)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    for q in (0.25, 0.99):
+        assert ks.quantile_scale(df, df.v, q).first().scale == pytest.approx(np.quantile(v, q))
+
+
+def test_quantile_without_values(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    assert ks.quantile_scale(df, df.v).first().scale is None and ks.quantile_scale(df.limit(0), df.v).first().scale is None
+
+
+def test_validation_reads_once(spark):
+    df, seen = counted(spark, samples(spark, [(0, 1), (1, 1), (2, 2), (0, 2)]))
+    assert ks.validate(df, (4, 1, 1), 2, 2) == 2.0 and seen.value == 8
