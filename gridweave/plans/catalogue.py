@@ -7,6 +7,7 @@ are irregular samples of users by day.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -19,8 +20,10 @@ from gridweave.operators import analysis, kspace as ks, lowrank, patches as pt
 from gridweave.operators.fourier import dft
 from gridweave.operators.sense import SenseOp, pack, sense_combine, unpack
 from gridweave.operators.solvers import power_iteration, solve
-from gridweave.plans.pipeline import reconstruct
+from gridweave.plans.pipeline import analyse, reconstruct
 from gridweave.schema import EPS32, PARAMETER_SETS, ReconConfig, require
+from gridweave.scratch import shared_folder
+from gridweave.sources import tables
 from gridweave.sources.grids import FRAMES, complex_series, event_grid, grid_of, packed_series, place, two_frames, voxel_series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,6 +432,30 @@ def tsnr_summary(spark, d):
     return rounded(analysis.tsnr_summary(analysis.tsnr(voxel_series(spark, d), F.col("v"))), "mean_tsnr", "max_tsnr")
 
 
+def _bundle(spark, d) -> dict[str, DataFrame]:
+    """The series as a result on disk: image, two components that add up to it, read back."""
+    image = complex_series(spark, d)
+    share = F.explode(F.array(F.struct(F.lit(1).alias("scale"), F.lit(0.75).alias("f")), F.struct(F.lit(2).alias("scale"), F.lit(0.25).alias("f"))))
+    parts = image.withColumn("c", share).select("c.scale", "x", "y", "z", "t", *((F.col(v) * F.col("c.f")).alias(v) for v in ("re", "im")))
+    path = f"{shared_folder(spark)}/analysed-{uuid.uuid4().hex}"
+    tables.write_result(path, {"recon": image, "components": parts})
+    return tables.read_result(spark, path)
+
+
+def analysed_tsnr(spark, d):
+    """Signal-to-noise of the detrended magnitude of a written result."""
+    return rounded(analyse(_bundle(spark, d)).tsnr, "tsnr")
+
+
+def analysed_summary(spark, d):
+    return rounded(analyse(_bundle(spark, d)).summary, "mean_tsnr", "max_tsnr")
+
+
+def analysed_components(spark, d):
+    """First frames of the components of a written result."""
+    return rounded(analyse(_bundle(spark, d), detrended=False, show_components=True).components, "re", "im")
+
+
 RECON_STEPS = 2
 
 
@@ -730,7 +757,14 @@ SELECT x, y, z, t, {{re}} AS re, {{im}} AS im FROM c JOIN n USING (x, y, z)"""
 _FACTOR = f"CASE WHEN n > 0 THEN greatest(1 - {BETA} / n, 0) ELSE 0 END"
 _DETREND = f"WITH {_S}, b AS (SELECT x, y, z, regr_slope(v, t) AS b FROM s GROUP BY ALL), d AS (SELECT x, y, z, t, v - b * t AS v FROM s JOIN b USING (x, y, z))"
 
+_ANALYSED = f"""WITH {_C}, b AS (SELECT x, y, z, regr_slope(re, t) AS br, regr_slope(im, t) AS bi FROM c GROUP BY ALL),
+g AS (SELECT x, y, z, t, sqrt(power(re - br * t, 2) + power(im - bi * t, 2)) AS m FROM c JOIN b USING (x, y, z)),
+n AS (SELECT x, y, z, avg(m) / (stddev_samp(m) + {EPS32!r}) AS tsnr FROM g GROUP BY ALL)"""
+
 SQL: dict[str, str] = {
+    "analysed_tsnr": f"{_ANALYSED} SELECT x, y, z, {_r('tsnr')} AS tsnr FROM n",
+    "analysed_summary": f"{_ANALYSED} SELECT {_r('avg(tsnr)')} AS mean_tsnr, {_r('max(tsnr)')} AS max_tsnr FROM n WHERE tsnr > 0",
+    "analysed_components": f"WITH {_C} SELECT CAST(scale AS INTEGER) AS scale, x, y, z, t, {_r('re * f')} AS re, {_r('im * f')} AS im FROM c, (VALUES (1, 0.75), (2, 0.25)) AS k(scale, f) WHERE t = 1",
     "voxel_series_scan": f"WITH {_S} SELECT * FROM s",
     "magnitude": f"WITH {_C} SELECT x, y, z, t, {_r('sqrt(re * re + im * im)')} AS mag, {_r('re * re + im * im')} AS mag2 FROM c",
     "conj_multiply": f"WITH {_C} SELECT x, y, z, t, {_r('2 * re * im')} AS cre, {_r('re * re - im * im')} AS cim, 0.0 AS pre, {_r('re * re + im * im')} AS pim FROM c",
@@ -802,7 +836,7 @@ QUERIES: dict[str, Query] = {
         patch_roundtrip_2d, scale_sum, component_first_frame, frobenius_cost, dot_nonconj, nucnorm_rank2, nucnorm_weighted, svst_single_voxel, svst_rank2, svst_perpatch,
         svst2d_contrast, patch_svst_grouped, patch_svst_general, patch_svst_by_patch, nucnorm_general, svst_global_gram, svst_all_frames, svst_rank3, gram_matrices, packed_lengths, step_bounds,
         dft_forward, dft_inverse, sense_comb, sense_forward, sense_adjoint,
-        sense_forward_pencils, sense_adjoint_pencils, sense_cost, sigma1_encoding, dc_gradient, detrend_linear, tsnr_map, tsnr_summary, multiscale_recon, recon_components, convergence_table, recon_facts,
+        sense_forward_pencils, sense_adjoint_pencils, sense_cost, sigma1_encoding, dc_gradient, analysed_tsnr, analysed_summary, analysed_components, detrend_linear, tsnr_map, tsnr_summary, multiscale_recon, recon_components, convergence_table, recon_facts,
     )
 } | {"power_iteration": power_iteration_diagonal} | {name: _solved(*case) for name, case in SOLVES.items()}
 
