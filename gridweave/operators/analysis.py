@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.schema import EPS32
 
 
-def _slope(v: Column, t: Column, n: Column, frames_sum: Column) -> Column:
-    """Least-squares slope; a single frame's minimum-norm fit of (1, t) gives v t / (1 + t^2)."""
-    return F.when(n > 1, F.regr_slope(v, t)).otherwise(F.max(v) * frames_sum / (1 + frames_sum * frames_sum))
-
-
 def detrend(series: DataFrame, *, values: tuple[str, ...] = ("re", "im"), keys: tuple[str, ...] = ("x", "y", "z"), preserve_mean: bool = False) -> DataFrame:
     """Subtracts slope * t from each series (keys, t, values), or slope * (t - mean t), which
-    keeps its mean. One aggregation by voxel; the series is then joined with its slopes."""
-    n, total = F.count(F.lit(1)), F.sum("t")
-    slopes = series.groupBy(*keys).agg(*(_slope(F.col(v), F.col("t"), n, total).alias(f"_b_{v}") for v in values), F.avg("t").alias("_m"))
+    keeps its mean. A single frame's slope is that of the minimum-norm fit of (1, t), v t / (1 + t^2).
+
+    One exchange by voxel: slopes are window aggregates beside the rows, and what aggregates by voxel
+    afterwards needs no further one."""
+    own = Window.partitionBy(*keys)
+    n, total = F.count(F.lit(1)).over(own), F.sum("t").over(own)
+    slope = lambda v: F.when(n > 1, F.regr_slope(F.col(v), F.col("t")).over(own)).otherwise(F.max(v).over(own) * total / (1 + total * total))
+    held = series.withColumns({**{f"_b_{v}": slope(v) for v in values}, "_m": F.avg("t").over(own)})
     shift = F.col("t") - F.col("_m") if preserve_mean else F.col("t")
-    joined = series.join(slopes, list(keys))
-    return joined.withColumns({v: F.col(v) - F.col(f"_b_{v}") * shift for v in values}).drop("_m", *(f"_b_{v}" for v in values))
+    return held.withColumns({v: F.col(v) - F.col(f"_b_{v}") * shift for v in values}).drop("_m", *(f"_b_{v}" for v in values))
 
 
 def tsnr(series: DataFrame, magnitude: Column, *, keys: tuple[str, ...] = ("x", "y", "z"), eps: float = EPS32) -> DataFrame:

@@ -59,3 +59,9 @@ def test_settings_round_trip():
         assert ReconConfig.from_json(c.to_json()) == c and c.scales == 3
     with pytest.raises(ValueError):
         ReconConfig((1, 1, 1), 1, 1, ((1, 1, 1),), ())
+
+
+def test_detrend_and_tsnr_share_one_exchange(spark):
+    plain = spark.range(64).selectExpr("cast(id % 8 as int) x", "0 y", "0 z", "cast(id div 8 + 1 as int) t", "cast(id * id as double) re", "0d im")
+    plan = analysis.tsnr(analysis.detrend(plain), F.hypot("re", "im"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
