@@ -1,7 +1,9 @@
 """First-order proximal solvers on tables, and power iteration.
 
 The state of a solver is one table with a column per iterate; it is written to the shared folder
-each iteration, so plans stay short and a lost executor costs at most one iteration.
+each iteration, so plans stay short and a lost executor costs at most one iteration. It is bucketed by its
+keys: neither the gradient nor the proximal point that is joined to it makes it move, and a gradient or proximal map
+that works row by row joins it without any exchange.
 Iterates are packed rows: keys (say scale, x, y, z) and arrays re, im.
 """
 
@@ -93,7 +95,7 @@ def solve(
     scratch = Scratch(x0.sparkSession, "solver")
     names = ("x", "y", "u", "z")
     start = x0.select(*keys, *PARTS)
-    state = scratch.keep(start.select(*keys, *(F.col(p).alias(f"{n}_{p}") for n in names for p in PARTS), *(F.transform(p, lambda v: F.lit(0.0)).alias(f"g_{p}") for p in PARTS)))
+    state = scratch.keep(start.select(*keys, *(F.col(p).alias(f"{n}_{p}") for n in names for p in PARTS), *(F.transform(p, lambda v: F.lit(0.0)).alias(f"g_{p}") for p in PARTS)), keys)
     solution = Solution(_iterate(state, keys, "x"))
     t = sigma = zeta = 1.0
     q = mu / lipschitz
@@ -116,7 +118,7 @@ def solve(
                 beta, gamma = (t - 1) / t2, sigma * t / t2
             # z2 = u2 + beta (u2 - u) + gamma (u2 - x) - (beta alpha / zeta) (x - z)
             drift = 0.0 if parity_alias else beta * alpha / zeta
-            work = scratch.keep(work.withColumns(_mix("z2", (1 + beta + gamma, "u2"), (-beta, "u"), (-gamma - drift, "x"), (drift, "z"))))
+            work = scratch.keep(work.withColumns(_mix("z2", (1 + beta + gamma, "u2"), (-beta, "u"), (-gamma - drift, "x"), (drift, "z"))), keys)
             zeta = alpha * (1 + beta + gamma)
             work = work.join(_named(prox(_iterate(work, keys, "z2"), zeta), keys, "x2"), list(keys))
             if parity_alias:
@@ -124,11 +126,11 @@ def solve(
             work = work.withColumns(_mix("g2", (1, "d"), (-1 / zeta, "x2"), (1 / zeta, "z2")))
             work = work.withColumns(_mix("y2", (1, "x"), (-alpha, "g2")))
         else:
-            work = scratch.keep(work.withColumns(_mix("z2", (1, "x"), (-alpha, "d"))))
+            work = scratch.keep(work.withColumns(_mix("z2", (1, "x"), (-alpha, "d"))), keys)
             work = work.join(_named(prox(_iterate(work, keys, "z2"), alpha), keys, "y2"), list(keys))
             work = work.withColumns(_mix("g2", (-1 / alpha, "y2"), (1 / alpha, "x")))
             work = work.withColumns(_mix("u2", (1, "u")))
-        work = scratch.keep(work.withColumns(_mix("step", (1, "y2"), (-1, "y"))))
+        work = scratch.keep(work.withColumns(_mix("step", (1, "y2"), (-1, "y"))), keys)
         if restart == "fr":
             now = cost(_iterate(work, keys, "x2" if mode == "pogm" else "y2"))
             again, held = now > held, now

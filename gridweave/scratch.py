@@ -29,21 +29,33 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: list[str] = []
+        self.held: list[tuple[str, str | None]] = []
         self.written = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """The table written and read back. ``by``: in buckets of those columns, as many as a shuffle has
+        partitions, so that joins by them move the other side alone, or none that is bucketed likewise."""
         path = f"{self.root}/{self.written}"
         self.written += 1
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if not by:
+            self.held.append((path, None))
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        name = f"gridweave_{uuid.uuid4().hex}"
+        self.held.append((path, name))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # The first table is dealt to its buckets; later ones follow from joins that lie so already.
+        dealt = df.repartition(buckets, *by) if self.written == 1 else df
+        dealt.write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+        return self.spark.table(name)
 
     def drop(self, *, but_last: int = 0) -> None:
         """Delete all tables but the last few."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        gone = self.paths[: len(self.paths) - but_last]
-        for path in gone:
+        gone = self.held[: len(self.held) - but_last]
+        for path, name in gone:
+            if name:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
-        self.paths = self.paths[len(gone) :]
+        self.held = self.held[len(gone) :]

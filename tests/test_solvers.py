@@ -119,3 +119,29 @@ def test_power_iteration(spark):
         v = D * D * v
         v /= np.linalg.norm(v)
     assert value == pytest.approx(np.linalg.norm(D * v)) and np.allclose(vector(x).real, v)
+
+
+def test_state_does_not_move(spark):
+    """State and a slope that follows from it row by row are joined in their buckets; of a slope from
+    elsewhere, the slope alone is exchanged."""
+    plans = {}
+
+    def step(x):
+        plans["own"] = x.join(x.selectExpr("x", "y", "z", "transform(re, v -> v / 2) d"), ["x", "y", "z"])
+        other = x.groupBy("x", "y", "z").agg({"re": "max"})
+        plans["grouped"] = x.join(other, ["x", "y", "z"])
+        plans["elsewhere"] = x.join(table(spark, Y), ["x", "y", "z"])
+        plans.update({k: (v._jdf.queryExecution().executedPlan().toString() if not isinstance(v, str) else v) for k, v in plans.items()})
+        return x.selectExpr("x", "y", "z", "transform(re, v -> v / 2) re", "im")
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = {t.name for t in spark.catalog.listTables()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = solve(table(spark, Y), step, 1.0, mode="pogm", iterations=2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert [plans[k].count("Exchange hashpartitioning") for k in ("own", "grouped", "elsewhere")] == [0, 0, 1]
+    assert np.isfinite(vector(found.x)).all()
+    # One table is left, the one that the solution reads.
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 1
