@@ -20,6 +20,17 @@ def test_without_the_text_subpackage(tmp_path):
     assert "tsnr_map" in left and not any(n.startswith("op") or n == "pipeline" for n in left)
 
 
+def test_a_mistake_is_not_passed_over(tmp_path):
+    """An import that fails inside a module that is there stops the entry."""
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "tests", "llm", "corpus_pipeline.py", ".pytest_cache"))
+    held = tmp_path / "repo/gridweave/llm"
+    held.mkdir()
+    (held / "__init__.py").write_text("")
+    (held / "catalogue.py").write_text("import no_such_module_of_ours\n")
+    done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120)
+    assert done.returncode != 0 and "no_such_module_of_ours" in done.stderr
+
+
 def test_entry(spark):
     sys.path.insert(0, str(ROOT))
     import __spark_entry__
