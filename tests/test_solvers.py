@@ -145,3 +145,18 @@ def test_state_does_not_move(spark):
     assert np.isfinite(vector(found.x)).all()
     # One table is left, the one that the solution reads.
     assert len({t.name for t in spark.catalog.listTables()} - before) == 1
+
+
+@pytest.mark.parametrize("bad", [{"lipschitz": 0.0}, {"lipschitz": -1.0}, {"mu": -0.1}, {"mu": 1.0}, {"cutoff": 1.0}, {"cutoff": -1.0}, {"bsig": -1.0}, {"iterations": -1}, {"mode": "gd"}, {"restart": "now"}, {"restart": "fr"}])
+def test_settings_are_checked(spark, bad):
+    """A bound of zero is refused as well as negative ones: the step is its inverse."""
+    settings = {"lipschitz": 1.0, **bad}
+    with pytest.raises(ValueError):
+        solve(table(spark, Y), gradient, settings.pop("lipschitz"), **settings)
+
+
+def test_cutoff_near_its_limits(spark):
+    """A cutoff near 1 restarts unless slope and step are all but opposite, as they are in the first iteration; one near -1
+    restarts nowhere here."""
+    runs = {c: solve(table(spark, Y), gradient, 1.0, prox=prox, iterations=4, cutoff=c).restarts[1:] for c in (0.999, -0.999)}
+    assert runs[0.999] == [False, True, True, True] and not any(runs[-0.999])
