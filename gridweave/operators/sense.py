@@ -99,7 +99,7 @@ class SenseOp:
     unitary: bool = True
     max_map_bytes: int = MAX_MAP_BYTES
     chunk: int = pencils.CHUNK
-    _held: dict = field(default_factory=dict, repr=False)
+    _held: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     @property
     def _norms(self) -> tuple[str, str]:
