@@ -68,10 +68,10 @@ def restated(y, inside, maps):
     return x, log, marks
 
 
-@pytest.mark.parametrize("seed,size", [(0, 60.0), (3, 8.0)])
-def test_against_numpy(spark, seed, size):
+@pytest.mark.parametrize("seed", [0, 3])
+def test_against_numpy(spark, seed):
     rng = np.random.default_rng(seed)
-    truth = size * (rng.normal(size=(32, 3)) @ rng.normal(size=(3, FRAMES)) + 1j * rng.normal(size=(32, 1)) @ rng.normal(size=(1, FRAMES))).reshape(*GRID, FRAMES)
+    truth = (rng.normal(size=(32, 3)) @ rng.normal(size=(3, FRAMES)) + 1j * rng.normal(size=(32, 1)) @ rng.normal(size=(1, FRAMES))).reshape(*GRID, FRAMES)
     raw = rng.normal(size=(COILS, *GRID)) + 1j * rng.normal(size=(COILS, *GRID)) + 2
     maps = raw / (np.sqrt((np.abs(raw) ** 2).sum(0)) + EPS32)
     inside = np.indices((*GRID, FRAMES)).sum(0) % 2 == 0  # as many samples in each frame
@@ -79,6 +79,7 @@ def test_against_numpy(spark, seed, size):
     zero = np.stack([(maps.conj() * centred(y[..., t], forward=False, norm="backward")).sum(0) for t in range(FRAMES)], -1) / ((np.abs(maps) ** 2).sum(0) + EPS32)[..., None]
     scale = np.quantile(np.abs(zero), 0.99)
     want, log, marks = restated(y / scale, inside, maps)
+    assert any(marks) and np.abs(want[:2]).max(axis=(1, 2, 3, 4)).min() > 0
     samples = spark.createDataFrame([(*i[1:4], i[0] + 1, i[4] + 1, float(y[i].real), float(y[i].imag)) for i in np.ndindex(y.shape) if inside[i[1:]]], "x int, y int, z int, coil int, t int, re double, im double")
     coils = spark.createDataFrame([(*i[1:], i[0] + 1, float(raw[i].real), float(raw[i].imag)) for i in np.ndindex(raw.shape)], "x int, y int, z int, coil int, re double, im double")
     config = ReconConfig(GRID, FRAMES, COILS, PATCHES, STRIDES, iterations=STEPS, restart="gr")
